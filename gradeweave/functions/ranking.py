@@ -4,23 +4,16 @@ A ranking is an array of 0-based candidate positions, best first. All scores wor
 inside one row, so they run the same on a batch table and on a stream.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
-from .text import strip
+from .text import let, strip
 
 FAILED = -1.0
 SCORES = ("score", "ndcg", "pairacc", "top1_acc")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with the value computed once per row, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def parse_ranking(response: Column, n_candidates: Column) -> Column:
     """The ranking named in a response, or null unless every candidate appears.
 

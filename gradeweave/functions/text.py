@@ -1,11 +1,18 @@
 """Text columns: questions, prompts, token estimates, code extraction, ranking prompts."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends (one linear pass, no regex)."""
     return F.btrim(text, F.lit(fx.WHITESPACE))
@@ -90,9 +97,13 @@ def _longest_match(text: Column, pattern: str) -> Column:
     return strip(F.array_max(ranked)["body"])
 
 
-def extract_code(text: Column) -> Column:
-    """Code in the text's fences: tagged ones first, else bare ones, else null."""
-    return F.coalesce(_longest_match(text, fx.TAGGED_FENCE), _longest_match(text, fx.BARE_FENCE))
+def extract_code(text: Column, empty_is_none: bool = False) -> Column:
+    """Code in the text's fences: tagged ones first, else bare ones, else null.
+
+    Fences with nothing in them give '', or null with `empty_is_none`.
+    """
+    code = F.coalesce(_longest_match(text, fx.TAGGED_FENCE), _longest_match(text, fx.BARE_FENCE))
+    return let(code, lambda c: F.when(c != "", c)) if empty_is_none else code
 
 
 def extract_code_or_text(text: Column) -> Column:

@@ -1,11 +1,12 @@
 """Completions: attach them to problems, nest and unnest the per-problem arrays."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions import text
 from .chunks import CHUNK_ROWS, chunk_number, join_by_key
+from .rows import each
 
 
 def attach_completions(
@@ -52,20 +53,23 @@ def nest_samples(samples: DataFrame, part_rows: int = CHUNK_ROWS) -> DataFrame:
     )
 
 
-def unnest_samples(generated: DataFrame, *keep: str, part_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Rows (sample_idx, output, pass_rate) of the arrays, cut to the shorter of the two."""
-    both = F.least(F.size(fx.OUTPUTS), F.size(fx.PASS_RATES))
-    pairs = F.when(
+def paired(outputs: str = fx.OUTPUTS, rates: str = fx.PASS_RATES) -> Column:
+    """Array of (output, pass_rate) by place, cut to the shorter; null when there is none."""
+    both = F.least(F.size(outputs), F.size(rates))
+    return F.when(
         both > 0,
         F.arrays_zip(
-            F.slice(fx.OUTPUTS, F.lit(1), both).alias("output"),
-            F.slice(fx.PASS_RATES, F.lit(1), both).alias("pass_rate"),
+            F.slice(outputs, F.lit(1), both).alias("output"),
+            F.slice(rates, F.lit(1), both).alias("pass_rate"),
         ),
     )
-    offset = F.col("part") * part_rows if "part" in generated.columns else F.lit(0)
-    return generated.select(
-        *keep, offset.alias("_offset"), F.posexplode(pairs).alias("_pos", "_pair")
-    ).select(
+
+
+def unnest_samples(generated: DataFrame, *keep: str, part_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows (sample_idx, output, pass_rate) of the nested table, after the `keep` columns."""
+    part = F.col("part") if "part" in generated.columns else F.lit(0)
+    numbered = generated.withColumn("_offset", part * part_rows)
+    return each(numbered, [*keep, "_offset"], paired(), "_pos", "_pair").select(
         *keep,
         (F.col("_offset") + F.col("_pos")).cast("bigint").alias("sample_idx"),
         F.col("_pair.output").alias("output"),

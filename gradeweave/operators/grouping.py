@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions import text
+from ..functions.text import let
 from .chunks import CHUNK_ROWS, chunk_number
+from .completions import paired
+from .rows import each, with_known
 
 KEPT, ALL_CORRECT, ALL_WRONG, HIGH_RATIO = "kept", "all_correct", "all_wrong", "high_ratio"
 
@@ -180,35 +183,39 @@ def problem_outcomes(
 # --- nested form
 
 
-def valid_candidates(generated: DataFrame) -> DataFrame:
-    """Rows with at least one valid sample; `valid` is the array of (output, pass_rate).
+def _known_pairs() -> Column:
+    """The row's (output, pass_rate) pairs whose rate is known.
 
-    Outputs and rates are matched by place, up to the shorter array. Null prompts mark
-    rows of files without that column and are dropped.
+    A null prompt marks a row of a file without that column: it has no pairs.
     """
-    both = F.least(F.size(fx.OUTPUTS), F.size(fx.PASS_RATES))
-    pairs = F.when(
-        both > 0,
-        F.arrays_zip(
-            F.slice(fx.OUTPUTS, F.lit(1), both).alias("output"),
-            F.slice(fx.PASS_RATES, F.lit(1), both).alias("pass_rate"),
-        ),
-    )
-    known = F.filter(pairs, lambda pair: pair["pass_rate"].isNotNull())
-    return (
-        generated.where(F.col("prompt").isNotNull())
-        .withColumn("valid", known)
-        .where(F.size("valid") > 0)
-        .drop(fx.OUTPUTS, fx.PASS_RATES)
-    )
+    known = F.filter(paired(), lambda pair: pair["pass_rate"].isNotNull())
+    return F.when(F.col("prompt").isNotNull(), known)
 
 
-def _nested_outcomes(generated: DataFrame, max_pass_ratio: float) -> DataFrame:
-    rates = F.col("valid.pass_rate")
-    full = F.size(F.filter(rates, lambda r: r == 1.0)) / F.size(rates)
-    return valid_candidates(generated).withColumn(
-        "drop_reason", drop_reason(F.array_min(rates), F.array_max(rates), full, max_pass_ratio)
-    )
+def valid_candidates(generated: DataFrame) -> DataFrame:
+    """Rows with at least one valid sample; `valid` is the array of (output, pass_rate)."""
+    valid = let(_known_pairs(), lambda pairs: F.when(F.size(pairs) > 0, pairs))
+    return with_known(generated, "valid", valid).drop(fx.OUTPUTS, fx.PASS_RATES)
+
+
+def _array_reason(rates: Column, max_pass_ratio: float) -> Column:
+    full_share = F.size(F.filter(rates, lambda r: r == 1.0)) / F.size(rates)
+    return drop_reason(F.array_min(rates), F.array_max(rates), full_share, max_pass_ratio)
+
+
+def _mixed_groups(pairs: Column, group_size: int, max_pass_ratio: float) -> Column:
+    """Array of (group_idx, members): the mixed groups of a problem that is kept."""
+
+    def group(g):
+        return F.struct(
+            g.alias("group_idx"),
+            F.slice(pairs, g * group_size + 1, F.lit(group_size)).alias("members"),
+        )
+
+    n_groups = F.floor(F.size(pairs) / group_size).cast("int")
+    kept = (n_groups > 0) & (_array_reason(pairs["pass_rate"], max_pass_ratio) == KEPT)
+    groups = F.transform(F.sequence(F.lit(0), n_groups - 1), group)
+    return F.when(kept, F.filter(groups, lambda g: mixed(g["members"]["pass_rate"])))
 
 
 def candidate_groups_nested(
@@ -221,37 +228,45 @@ def candidate_groups_nested(
 
     `keep` names the problem's columns that each group repeats.
     """
-    n_groups = F.floor(F.size("valid") / group_size).cast("int")
-    cut = F.transform(
-        F.when(n_groups > 0, F.sequence(F.lit(0), n_groups - 1)),
-        lambda g: F.slice("valid", g * group_size + 1, F.lit(group_size)),
+    found = let(_known_pairs(), lambda pairs: _mixed_groups(pairs, group_size, max_pass_ratio))
+    groups = each(generated, keep, found, "_pos", "_group").select(
+        *keep,
+        F.col("_group.group_idx").cast("bigint").alias("group_idx"),
+        F.col("_group.members.output").alias("candidates"),
+        F.col("_group.members.pass_rate").alias("pass_rates"),
     )
-    groups = (
-        _nested_outcomes(generated, max_pass_ratio)
-        .where(F.col("drop_reason") == KEPT)
-        .select(*keep, F.posexplode(cut).alias("group_idx", "members"))
-        .select(
-            *keep,
-            F.col("group_idx").cast("bigint").alias("group_idx"),
-            F.col("members.output").alias("candidates"),
-            F.col("members.pass_rate").alias("pass_rates"),
-        )
-    )
-    return _finish(groups.where(mixed(F.col("pass_rates"))))
+    return _finish(groups)
 
 
 def nested_outcomes(
-    generated: DataFrame, max_pass_ratio: float = fx.MAX_PASS_RATIO
+    generated: DataFrame,
+    group_size: int = fx.GROUP_SIZE,
+    max_pass_ratio: float = fx.MAX_PASS_RATIO,
 ) -> DataFrame:
-    """Drop reason per row of the nested table, for the statistics."""
-    return _nested_outcomes(generated, max_pass_ratio).select("drop_reason")
+    """Per problem with a valid sample: the drop reason and the number of mixed groups."""
+    outcome = let(
+        _known_pairs(),
+        lambda pairs: F.when(
+            F.size(pairs) > 0,
+            F.struct(
+                _array_reason(pairs["pass_rate"], max_pass_ratio).alias("drop_reason"),
+                F.coalesce(
+                    F.size(_mixed_groups(pairs, group_size, max_pass_ratio)), F.lit(0)
+                ).alias("n_groups"),
+            ),
+        ),
+    )
+    return with_known(generated, "_outcome", outcome).select("_outcome.*")
 
 
 # --- statistics
 
 
-def grouping_stats(outcomes: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row: problems seen, dropped by reason and kept, groups, shares and averages."""
+def grouping_stats(outcomes: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One row: problems seen, dropped by reason and kept, groups, shares and averages.
+
+    The groups are counted from `groups` or, without it, by the outcomes' `n_groups`.
+    """
 
     def of(reason):
         return F.count_if(F.col("drop_reason") == reason)
@@ -259,28 +274,22 @@ def grouping_stats(outcomes: DataFrame, groups: DataFrame) -> DataFrame:
     def percent(part):
         return 100 * F.col(part) / F.greatest("total_queries", F.lit(1))
 
-    counts = outcomes.agg(
+    in_outcomes = groups is None
+    stats = outcomes.agg(
         F.count("*").alias("total_queries"),
         of(ALL_CORRECT).alias("all_correct"),
         of(ALL_WRONG).alias("all_wrong"),
         of(HIGH_RATIO).alias("high_ratio"),
+        of(KEPT).alias("remaining"),
+        *([F.sum("n_groups").alias("total_groups")] if in_outcomes else []),
     )
-    n_groups = groups.agg(F.count("*")).scalar()
-    return (
-        counts.withColumn(
-            "remaining",
-            F.col("total_queries")
-            - F.col("all_correct")
-            - F.col("all_wrong")
-            - F.col("high_ratio"),
-        )
-        .withColumn("total_groups", n_groups)
-        .withColumns(
-            {
-                "all_correct_pct": percent("all_correct"),
-                "all_wrong_pct": percent("all_wrong"),
-                "remaining_pct": percent("remaining"),
-                "groups_per_query": F.col("total_groups") / F.greatest("remaining", F.lit(1)),
-            }
-        )
+    if not in_outcomes:
+        stats = stats.withColumn("total_groups", groups.agg(F.count("*")).scalar())
+    return stats.withColumns(
+        {
+            "all_correct_pct": percent("all_correct"),
+            "all_wrong_pct": percent("all_wrong"),
+            "remaining_pct": percent("remaining"),
+            "groups_per_query": F.col("total_groups") / F.greatest("remaining", F.lit(1)),
+        }
     )

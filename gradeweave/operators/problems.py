@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions import starter, text
+from .rows import each
 
 
 def normalize_problem_type(problems: DataFrame) -> DataFrame:
@@ -83,9 +84,8 @@ def flatten_test_cases(
     problems: DataFrame, key: str = "problem_id", max_tests: int = fx.MAX_TESTS
 ) -> DataFrame:
     """One row per problem and test: (key, test_idx, input, expected_output)."""
-    return problems.select(
-        key, F.posexplode(test_cases(F.col("test_suites"), max_tests)).alias("test_idx", "case")
-    ).select(
+    cases = test_cases(F.col("test_suites"), max_tests)
+    return each(problems, [key], cases, "test_idx", "case").select(
         key,
         F.col("test_idx").cast("bigint").alias("test_idx"),
         F.col("case.input").alias("input"),

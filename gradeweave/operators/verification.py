@@ -7,6 +7,7 @@ from .. import fixed_values as fx
 from ..functions import text
 from .chunks import CHUNK_ROWS, join_by_key
 from .problems import test_cases
+from .rows import each, with_known
 
 RUN = ("problem_id", "sample_idx", "test_idx")
 
@@ -22,30 +23,24 @@ def execution_worklist(
     samples: (problem_id, sample_idx, output); problems: (problem_id, test_suites,
     function_name). Blank outputs and outputs without code give no rows.
     """
-    coded = samples.select(
-        "problem_id", "sample_idx", text.extract_code(F.col("output")).alias("code")
-    ).where(text.filled(F.col("code")))
+    coded = with_known(
+        samples.select("problem_id", "sample_idx", "output"),
+        "code",
+        text.extract_code(F.col("output"), empty_is_none=True),
+    ).drop("output")
     tested = problems.select(
         "problem_id", "function_name", test_cases(F.col("test_suites"), max_tests).alias("tests")
-    ).where(F.size("tests") > 0)
-    return (
-        join_by_key(coded, tested, "problem_id", "sample_idx", chunk_rows)
-        .select(
-            "problem_id",
-            "sample_idx",
-            "code",
-            "function_name",
-            F.posexplode("tests").alias("test_idx", "test"),
-        )
-        .select(
-            "problem_id",
-            "sample_idx",
-            F.col("test_idx").cast("bigint").alias("test_idx"),
-            "code",
-            "function_name",
-            F.col("test.input").alias("input"),
-            F.col("test.output").alias("expected_output"),
-        )
+    )
+    joined = join_by_key(coded, tested, "problem_id", "sample_idx", chunk_rows)
+    sample = ("problem_id", "sample_idx", "code", "function_name")
+    return each(joined, sample, F.col("tests"), "test_idx", "test").select(
+        "problem_id",
+        "sample_idx",
+        F.col("test_idx").cast("bigint").alias("test_idx"),
+        "code",
+        "function_name",
+        F.col("test.input").alias("input"),
+        F.col("test.output").alias("expected_output"),
     )
 
 

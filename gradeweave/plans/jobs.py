@@ -59,7 +59,9 @@ def group_job(
         group_size,
     )
     written = tables.read_table(spark, path)
-    return path, G.grouping_stats(G.nested_outcomes(generated, max_pass_ratio), written)
+    return path, G.grouping_stats(
+        G.nested_outcomes(generated, group_size, max_pass_ratio), written
+    )
 
 
 def record_job(

@@ -283,7 +283,7 @@ def oracle_sql():
             FROM completion JOIN problem USING (problem_id) JOIN test USING (problem_id)
             WHERE code IS NOT NULL""",
         "attach_completions": f"""WITH {COMPLETION}
-            SELECT p.problem_id, c.sample_idx, c.output, c.finish_reason, p.over_budget
+            SELECT p.problem_id, coalesce(c.sample_idx, -1) AS sample_idx, c.output, c.finish_reason, p.over_budget
             FROM problem p LEFT JOIN completion c ON p.problem_id = c.problem_id AND NOT p.over_budget""",
         "generate_and_verify": f"""{TESTS}, {COMPLETION},
             kept AS (SELECT c.* FROM completion c JOIN problem p USING (problem_id) WHERE NOT over_budget),

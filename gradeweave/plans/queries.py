@@ -10,6 +10,7 @@ from ..operators import problems as P
 from ..operators import records as R
 from ..operators import scoring, sweep
 from ..operators import verification as V
+from ..operators.rows import each, with_known
 from ..session import scratch_path
 from ..sources import results, tables
 from . import derived, jobs
@@ -54,11 +55,8 @@ def json_array_column(spark, sf):
         "pass_rates",
     )
     read = R.read_groups_columns(stored)
-    return read.select(
-        "problem_id",
-        "group_idx",
-        F.posexplode(F.arrays_zip("candidates_code", "pass_rates")).alias("place", "pair"),
-    ).select(
+    pairs = F.arrays_zip("candidates_code", "pass_rates")
+    return each(read, ["problem_id", "group_idx"], pairs, "place", "pair").select(
         "problem_id",
         "group_idx",
         "place",
@@ -167,7 +165,8 @@ def limit_problems(spark, sf):
 def attach_completions(spark, sf):
     problems = derived.tested_problems(spark, sf)
     joined = C.attach_completions(problems, derived.completions(spark, sf))
-    return joined.select("problem_id", "sample_idx", "output", "finish_reason", "over_budget")
+    number = F.coalesce("sample_idx", F.lit(-1)).alias("sample_idx")
+    return joined.select("problem_id", number, "output", "finish_reason", "over_budget")
 
 
 def execution_worklist(spark, sf):
@@ -234,13 +233,8 @@ def _long_samples(spark, sf):
 
 def _group_rows(groups):
     """A row per candidate, with its place in the group."""
-    return groups.select(
-        "problem_id",
-        "group_idx",
-        F.posexplode(F.arrays_zip("candidates", "candidates_code", "pass_rates")).alias(
-            "place", "member"
-        ),
-    ).select(
+    members = F.arrays_zip("candidates", "candidates_code", "pass_rates")
+    return each(groups, ["problem_id", "group_idx"], members, "place", "member").select(
         "problem_id",
         "group_idx",
         "place",
@@ -252,7 +246,7 @@ def _group_rows(groups):
 
 def valid_candidates(spark, sf):
     nested = G.valid_candidates(derived.generated(spark, sf))
-    return nested.select("problem_id", F.posexplode("valid").alias("place", "sample")).select(
+    return each(nested, ["problem_id"], F.col("valid"), "place", "sample").select(
         "problem_id",
         "place",
         F.col("sample.output").alias("output"),
@@ -274,8 +268,7 @@ def max_pass_ratio(spark, sf):
 
 def grouping_stats(spark, sf):
     generated = derived.generated(spark, sf)
-    groups = G.candidate_groups_nested(generated, "problem_id", max_pass_ratio=0.35)
-    stats = G.grouping_stats(G.nested_outcomes(generated, 0.35), groups)
+    stats = G.grouping_stats(G.nested_outcomes(generated, max_pass_ratio=0.35))
     shares = ("all_correct_pct", "all_wrong_pct", "remaining_pct", "groups_per_query")
     return stats.withColumns({name: F.round(name, 9) for name in shares})
 
@@ -289,6 +282,12 @@ def _groups(spark, sf):
     )
 
 
+def _stored_groups(spark, sf):
+    """The groups as the grouping stage leaves them: a written table."""
+    folder = scratch_path(spark, "stored-groups")
+    return tables.read_table(spark, tables.write_groups(_groups(spark, sf), folder))
+
+
 def candidate_block(spark, sf):
     return _groups(spark, sf).select(
         "problem_id", "group_idx", text.candidate_block(F.col("candidates_code")).alias("block")
@@ -304,11 +303,11 @@ def ranking_prompt(spark, sf):
 
 
 def record_index(spark, sf):
-    return R.record_index(_groups(spark, sf).select("problem_id", "group_idx"))
+    return R.record_index(_stored_groups(spark, sf).select("problem_id", "group_idx"))
 
 
 def training_record(spark, sf):
-    records = R.training_records(R.record_index(_groups(spark, sf)), "problem_id", "group_idx")
+    records = R.training_records(R.record_index(_stored_groups(spark, sf)), "problem_id", "group_idx")
     turn = F.col("prompt")[0]
     return records.select(
         "problem_id",
@@ -342,11 +341,11 @@ def length_check(spark, sf):
 
 
 def train_val_split(spark, sf):
-    return R.train_val_split(_groups(spark, sf).select("problem_id", "group_idx"))
+    return R.train_val_split(_stored_groups(spark, sf).select("problem_id", "group_idx"))
 
 
 def train_val_split_by_problem(spark, sf):
-    return R.train_val_split(_groups(spark, sf).select("problem_id", "group_idx"), by="problem")
+    return R.train_val_split(_stored_groups(spark, sf).select("problem_id", "group_idx"), by="problem")
 
 
 def split_counts(spark, sf):
@@ -354,9 +353,9 @@ def split_counts(spark, sf):
 
 
 def group_and_split(spark, sf):
-    """The second stage end to end: write groups and records, read the records back."""
+    """The second stage end to end: write groups, write records, read those back."""
     folder = scratch_path(spark, "records")
-    path = jobs.record_job(_groups(spark, sf), folder)
+    path = jobs.record_job(_stored_groups(spark, sf), folder)
     return tables.read_table(spark, path).select(
         F.col("extra_info.index").alias("index"),
         "split",
@@ -386,13 +385,13 @@ def parse_ranking(spark, sf):
 
 def _ranked(spark, sf):
     rollouts = derived.rollouts(spark, sf)
-    return rollouts.withColumn(
-        "ranking", ranking.parse_ranking(F.col("response"), F.size("pass_rates"))
-    )
+    ranked = ranking.parse_ranking(F.col("response"), F.size("pass_rates"))
+    return rollouts.withColumn("ranking", ranked)
 
 
 def _metric(spark, sf, name, column):
-    known = _ranked(spark, sf).where(F.col("ranking").isNotNull())
+    ranked = ranking.parse_ranking(F.col("response"), F.size("pass_rates"))
+    known = with_known(derived.rollouts(spark, sf), "ranking", ranked)
     return known.select("problem_id", "rollout_idx", F.round(column, 9).alias(name))
 
 
