@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
+from ..functions.text import let, strip
+from .rows import with_known
 
 NUMERIC_TYPES = "^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"
 
@@ -14,23 +16,32 @@ def metric_object(document: Column) -> Column:
     From `results`: the first task, in document order, whose name holds a known
     benchmark's; without `results`: the document itself if it has a known metric.
     """
-    text = F.trim(F.regexp_replace(document, r"\s+\z", ""))
-    top = F.from_json(F.when(text.endswith("}"), text), "map<string,string>")
-    tasks = F.from_json(top["results"], "map<string,string>")
-    known = F.filter(
-        F.map_entries(tasks), lambda task: task["key"].rlike("|".join(fx.TASK_NAME_PARTS))
-    )
-    flat = F.arrays_overlap(F.map_keys(top), F.array(*[F.lit(k) for k in fx.FLAT_RESULT_KEYS]))
-    return F.when(F.map_contains_key(top, F.lit("results")), F.get(known, F.lit(0))["value"]).when(
-        flat, text
+    names = "|".join(fx.TASK_NAME_PARTS)
+    flat_keys = F.array(*[F.lit(key) for key in fx.FLAT_RESULT_KEYS])
+
+    def first_known(tasks):
+        known = F.filter(F.map_entries(tasks), lambda task: task["key"].rlike(names))
+        return F.get(known, F.lit(0))["value"]
+
+    def pick(body, top):
+        of_task = first_known(F.from_json(top["results"], "map<string,string>"))
+        return F.when(F.map_contains_key(top, F.lit("results")), of_task).when(
+            F.arrays_overlap(F.map_keys(top), flat_keys), body
+        )
+
+    # Text after the closing brace would be overlooked by the parser; that is no JSON.
+    return let(
+        strip(document),
+        lambda body: let(
+            F.from_json(F.when(body.endswith("}"), body), "map<string,string>"),
+            lambda top: pick(body, top),
+        ),
     )
 
 
 def run_documents(files: DataFrame) -> DataFrame:
     """The metrics text of each (step, repeat): its first file by path that has one."""
-    found = files.withColumn("metrics", metric_object(F.col("value"))).where(
-        F.col("metrics").isNotNull()
-    )
+    found = with_known(files, "metrics", metric_object(F.col("value")))
     return found.groupBy("step", "repeat_idx").agg(F.min_by("metrics", "path").alias("metrics"))
 
 

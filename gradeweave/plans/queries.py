@@ -71,9 +71,13 @@ def written_results(spark, sf):
     Spark's text writer ends the names in .txt, so the reads ask for that.
     """
     folder = scratch_path(spark, "results")
-    derived.result_documents(spark, sf).withColumnsRenamed(
+    place = ("step", "repeat", "file")
+    documents = derived.result_documents(spark, sf).withColumnsRenamed(
         {"repeat_idx": "repeat", "file_idx": "file"}
-    ).write.partitionBy("step", "repeat", "file").text(folder)
+    )
+    # Small files, so the time goes into making them: share them among all cores.
+    shared = documents.repartition(spark.sparkContext.defaultParallelism, *place)
+    shared.write.partitionBy(*place).text(folder)
     return folder
 
 
@@ -324,10 +328,12 @@ def training_record(spark, sf):
 
 
 def overlong_filter(spark, sf):
-    prompts = ranking_prompt(spark, sf)
-    return R.within_prompt_limit(
-        prompts, text.token_estimate(F.col("content")), SMALL_PROMPT
-    ).select("problem_id", "group_idx", text.token_estimate(F.col("content")).alias("tokens"))
+    counted = with_known(
+        ranking_prompt(spark, sf), "tokens", text.token_estimate(F.col("content"))
+    )
+    return R.within_prompt_limit(counted, F.col("tokens"), SMALL_PROMPT).select(
+        "problem_id", "group_idx", "tokens"
+    )
 
 
 def length_check(spark, sf):
