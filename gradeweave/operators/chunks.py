@@ -62,10 +62,11 @@ def dense_index(rows: DataFrame, key: str, index: str, name: str) -> DataFrame:
         .limit(SPLITTERS)
         .agg(F.collect_list("place").alias("bounds"))
     ).scalar()
-    ranged = units.withColumn("_bounds", bounds).withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: b <= place))
+    # Never null, or joins on it would add a filter that runs for each row, not each unit.
+    below = F.size(F.filter("_bounds", lambda bound: bound <= place))
+    ranged = units.withColumn("_bounds", bounds).select(
+        key, "_chunk", "_rows", F.coalesce(below, F.lit(0)).alias("_range")
     )
-    ranged = ranged.select(key, "_chunk", "_rows", "_range")
 
     # At most SPLITTERS + 1 rows, so one task may hold them.
     totals = ranged.groupBy("_range").agg(F.sum("_rows").alias("_n"))

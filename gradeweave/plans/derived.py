@@ -1,6 +1,7 @@
 """The library's tables, derived row by row from the given ones.
 
-No derivation needs a shuffle except `metrics`, which averages before it shuffles.
+At scale no derivation needs a shuffle except `metrics`, which averages before it shuffles;
+`spread` shuffles only inputs of few splits.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,16 +9,25 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions import text
+from ..sources.tables import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, sf_dir):
+    return spread(load(spark, sf_dir, "documents"), "doc_id")
+
+
+def orders(spark, sf_dir):
+    return spread(load(spark, sf_dir, "orders"), "o_orderkey")
+
+
 def problems(spark, sf_dir):
     """Orders as problems: statements with and without each part, starter code, type."""
     sample = "struct<input:string,output:string,explanation:string>"
-    return load(spark, sf_dir, "orders").selectExpr(
+    return orders(spark, sf_dir).selectExpr(
         "o_orderkey AS problem_id",
         "o_custkey",
         f"""CASE WHEN o_orderkey % 11 <> 0 THEN named_struct(
@@ -48,7 +58,7 @@ def problems(spark, sf_dir):
 
 def fenced_documents(spark, sf_dir):
     """Whole documents inside fences of each kind, unclosed, blank, bare and null."""
-    return load(spark, sf_dir, "documents").selectExpr(
+    return documents(spark, sf_dir).selectExpr(
         "doc_id AS problem_id",
         r"""CASE doc_id % 7
             WHEN 0 THEN concat('```python\n', text, '\n```')
@@ -66,7 +76,7 @@ def generated(spark, sf_dir):
     Some problems have no outputs, some one rate too few, some only right or only wrong
     samples.
     """
-    pieces = load(spark, sf_dir, "documents").select(
+    pieces = documents(spark, sf_dir).select(
         "doc_id", "lang", "source", F.split("text", "[.]").alias("pieces")
     )
     output = r"""transform(pieces, (p, i) -> CASE i % 5
@@ -105,7 +115,7 @@ def completions(spark, sf_dir):
 def tested_problems(spark, sf_dir):
     """Documents as problems with tests: a suite of their lines, a suite of their sentences."""
     case = "array<struct<input:string,output:string>>"
-    return load(spark, sf_dir, "documents").selectExpr(
+    return documents(spark, sf_dir).selectExpr(
         "doc_id AS problem_id",
         "text AS prompt",
         "CASE WHEN doc_id % 3 = 0 THEN 'solve' END AS function_name",
@@ -158,7 +168,7 @@ def run_samples(spark, sf_dir):
 
 def rollouts(spark, sf_dir):
     """Orders as ranking prompts of 3 to 5 candidates, with 8 responses each."""
-    base = load(spark, sf_dir, "orders").selectExpr(
+    base = orders(spark, sf_dir).selectExpr(
         "o_orderkey AS problem_id",
         "o_orderstatus AS generator",
         "o_orderpriority AS difficulty",

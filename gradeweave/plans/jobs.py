@@ -72,18 +72,16 @@ def record_job(
     by: str = "group",
 ) -> str:
     """Write the records of groups (problem_id, group_idx, prompt, ...) by split side."""
-    indexed = R.record_index(R.read_groups_columns(groups))
-    labelled = R.train_val_split(
-        R.training_records(indexed, "problem_id", "group_idx"), val_ratio, seed, by
-    )
-    return tables.write_split(labelled.drop("problem_id", "group_idx"), target)
+    # The split is a comparison on the stored keys; done first, it runs on the scan alone.
+    labelled = R.train_val_split(R.read_groups_columns(groups), val_ratio, seed, by)
+    records = R.training_records(R.record_index(labelled), "shuffle_key", "split")
+    return tables.write_split(records, target)
 
 
 def sweep_job(
     spark: SparkSession, root: str, target: str, names: str = "*.json"
 ) -> DataFrame:
-    """Summarise the result files below `root`; writes and returns the summary."""
+    """Summarise the result files below `root`; writes the summary and returns it as written."""
     runs = S.run_documents(results.read_result_files(spark, root, names))
-    summary = S.sweep_summary(S.metric_values(runs))
-    results.write_summary(summary, target)
-    return summary
+    results.write_summary(S.sweep_summary(S.metric_values(runs)), target)
+    return results.read_summary(spark, target)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sweep import nested_summary
 
+SUMMARY = "step int, metric string, mean double, stderr double, n bigint"
 RUN_FOLDER = r"/step[_=](\d+)/repeat[_=](\d+)/"
 
 
@@ -26,5 +27,12 @@ def write_summary(summary: DataFrame, folder: str) -> str:
     """The long table (step, metric, mean, stderr, n), and one nested object per step."""
     base = folder.rstrip("/")
     summary.write.json(f"{base}/sweep_results.json")
-    nested_summary(summary).write.json(f"{base}/sweep_results_by_step.json")
+    read_summary(summary.sparkSession, base).transform(nested_summary).write.json(
+        f"{base}/sweep_results_by_step.json"
+    )
     return base
+
+
+def read_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The long table that `write_summary` wrote."""
+    return spark.read.schema(SUMMARY).json(f"{folder.rstrip('/')}/sweep_results.json")

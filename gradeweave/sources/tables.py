@@ -15,6 +15,16 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """The table over all cores, for costly work on an input of few splits.
+
+    A large input has more splits than there are cores and is left alone; the check reads
+    no data.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+
+
 def read_generated(spark: SparkSession, folder: str) -> DataFrame:
     """The columns grouping needs, of the folder's `train-*.parquet` only.
 
@@ -57,14 +67,19 @@ def write_groups(groups: DataFrame, folder: str, group_size: int = fx.GROUP_SIZE
 
 
 def write_split(records: DataFrame, folder: str, shuffled: bool = True) -> str:
-    """Write labelled records by side. `shuffled` stores each side in shuffle order, by a
-    range exchange on the hash, which is even whatever the rows are."""
+    """Write labelled records by side.
+
+    `shuffled` stores them in the order of the shuffle key, file after file. The key is a
+    hash, so its first digits cut the rows into equal ranges, and no pass over the data
+    is needed to find the cuts.
+    """
     path = f"{folder.rstrip('/')}/records"
     if shuffled:
-        records = records.repartitionByRange("split", "shuffle_key").sortWithinPartitions(
-            "split", "shuffle_key"
-        )
+        parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        prefix = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("bigint")
+        part = F.floor(prefix * parts / 16**8).cast("int")
+        records = records.repartitionById(parts, part)
+        # The writer wants rows sorted by side; sorting by both keeps the order within one.
+        records = records.sortWithinPartitions("split", "shuffle_key")
     records.drop("shuffle_key").write.partitionBy("split").parquet(path)
     return path
-
-
