@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..functions import text
 from ..functions.text import let
-from .chunks import CHUNK_ROWS, chunk_number
-from .completions import paired
+from .chunks import CHUNK_ROWS, chunk_number, join_by_key
+from .completions import paired, unnest_samples
 from .rows import each, with_known
 
+# Ids, 8 bytes each, that a join may copy to every executor.
+BROADCAST_IDS = 100_000
+
 KEPT, ALL_CORRECT, ALL_WRONG, HIGH_RATIO = "kept", "all_correct", "all_wrong", "high_ratio"
 
 
@@ -157,6 +160,13 @@ def _finish(groups: DataFrame) -> DataFrame:
     )
 
 
+def with_problems(
+    groups: DataFrame, problems: DataFrame, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """The groups with the columns (canonical_id, prompt, ...) of their problem."""
+    return join_by_key(groups, problems, "problem_id", "group_idx", chunk_rows)
+
+
 def problem_outcomes(
     samples: DataFrame, max_pass_ratio: float = fx.MAX_PASS_RATIO
 ) -> DataFrame:
@@ -226,7 +236,8 @@ def candidate_groups_nested(
 ) -> DataFrame:
     """As `candidate_groups`, from one row per problem; no shuffle at all.
 
-    `keep` names the problem's columns that each group repeats.
+    `keep` names the problem's columns that each group repeats. The rows must hold whole
+    problems; see `candidate_groups_of_parts` for tables where one may fill several rows.
     """
     found = let(_known_pairs(), lambda pairs: _mixed_groups(pairs, group_size, max_pass_ratio))
     groups = each(generated, keep, found, "_pos", "_group").select(
@@ -238,6 +249,59 @@ def candidate_groups_nested(
     return _finish(groups)
 
 
+def in_several_parts(generated: DataFrame) -> DataFrame:
+    """Ids of the problems that fill more than one row. Usually none: the filter is on a
+    stored column, so the scan skips what has only first parts."""
+    return generated.where(F.col("part") > 0).select("problem_id").distinct()
+
+
+def by_parts(generated: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that hold whole problems, and those that hold parts of one (None if none).
+
+    Counts the ids of the latter, up to a bound, to choose how to look them up.
+    """
+    several = in_several_parts(generated)
+    n = several.limit(BROADCAST_IDS + 1).count()
+    if n == 0:
+        return generated, None
+    if n <= BROADCAST_IDS:
+        several = F.broadcast(several)
+    return (
+        generated.join(several, "problem_id", "left_anti"),
+        generated.join(several, "problem_id", "left_semi"),
+    )
+
+
+def candidate_groups_of_parts(
+    generated: DataFrame,
+    group_size: int = fx.GROUP_SIZE,
+    max_pass_ratio: float = fx.MAX_PASS_RATIO,
+    part_rows: int = CHUNK_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Groups (canonical_id, prompt, group_idx, ...) and outcomes of a nested table with
+    `problem_id` and `part`.
+
+    Whole problems are grouped inside their row, without a shuffle; the few that fill
+    several rows go through the long form.
+    """
+    names = ("canonical_id", "prompt", "group_idx", "candidates", "pass_rates", "candidates_code")
+    whole, parts = by_parts(generated)
+    groups = candidate_groups_nested(
+        whole, "canonical_id", "prompt", group_size=group_size, max_pass_ratio=max_pass_ratio
+    ).select(*names)
+    outcomes = nested_outcomes(whole, group_size, max_pass_ratio).select("drop_reason")
+    if parts is None:
+        return groups, outcomes
+    usable = parts.where(F.col("prompt").isNotNull())
+    long = unnest_samples(usable, "problem_id", part_rows=part_rows)
+    problems = usable.where(F.col("part") == 0).select("problem_id", "canonical_id", "prompt")
+    more = with_problems(
+        candidate_groups(long, group_size, max_pass_ratio, part_rows), problems, part_rows
+    )
+    reasons = problem_outcomes(long, max_pass_ratio).select("drop_reason")
+    return groups.unionByName(more.select(*names)), outcomes.unionByName(reasons)
+
+
 def nested_outcomes(
     generated: DataFrame,
     group_size: int = fx.GROUP_SIZE,

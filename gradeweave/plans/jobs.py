@@ -50,18 +50,13 @@ def group_job(
 ) -> tuple[str, DataFrame]:
     """Read `train-*.parquet`, write the groups; returns their path and the statistics."""
     generated = tables.read_generated(spark, folder)
-    groups = G.candidate_groups_nested(
-        generated, "canonical_id", "prompt", group_size=group_size, max_pass_ratio=max_pass_ratio
-    ).drop("group_idx")
+    groups, outcomes = G.candidate_groups_of_parts(generated, group_size, max_pass_ratio)
     path = tables.write_groups(
         groups.select("canonical_id", "prompt", "candidates", "candidates_code", "pass_rates"),
         target,
         group_size,
     )
-    written = tables.read_table(spark, path)
-    return path, G.grouping_stats(
-        G.nested_outcomes(generated, group_size, max_pass_ratio), written
-    )
+    return path, G.grouping_stats(outcomes, tables.read_table(spark, path))
 
 
 def record_job(

@@ -43,7 +43,8 @@ member AS (
  SELECT * FROM placed WINDOW g AS (PARTITION BY problem_id, group_idx)
  QUALIFY max(pass_rate) OVER g = 1 AND min(pass_rate) OVER g < 1),
 grp AS (
- SELECT problem_id, group_idx, any_value(prompt) AS prompt, count(*) AS k,
+ SELECT problem_id, group_idx, any_value(canonical_id) AS canonical_id,
+  any_value(prompt) AS prompt, count(*) AS k,
   string_agg('--- CANDIDATE ' || (place + 1) || ' ---' || chr(10) || '```python' || chr(10)
    || code || chr(10) || '```' || chr(10), chr(10) ORDER BY place) AS block,
   '[' || string_agg(CAST(pass_rate AS VARCHAR), ', ' ORDER BY place) || ']' AS ground_truth
@@ -252,6 +253,8 @@ def oracle_sql():
     return {
         "candidate_groups": f"{groups} {GROUP_ROWS}",
         "candidate_groups_nested": f"{groups} {GROUP_ROWS}",
+        "candidate_groups_with_problems": f"""{groups}
+            SELECT problem_id, group_idx, canonical_id, prompt, ground_truth FROM grp""",
         "valid_candidates": f"""{SAMPLE}
             SELECT problem_id, CAST(position AS INT) AS place, output, pass_rate FROM valid""",
         "max_pass_ratio": f"{grouped(0.35)} {GROUP_ROWS}",

@@ -266,6 +266,21 @@ def candidate_groups_nested(spark, sf):
     return _group_rows(G.candidate_groups_nested(derived.generated(spark, sf), "problem_id"))
 
 
+def candidate_groups_with_problems(spark, sf):
+    """Groups of the long form with their problem's columns joined to them."""
+    generated = derived.generated(spark, sf)
+    groups = G.candidate_groups(_long_samples(spark, sf))
+    return G.with_problems(
+        groups, generated.select("problem_id", "canonical_id", "prompt")
+    ).select(
+        "problem_id",
+        "group_idx",
+        "canonical_id",
+        "prompt",
+        text.json_array(F.col("pass_rates")).alias("ground_truth"),
+    )
+
+
 def max_pass_ratio(spark, sf):
     return _group_rows(G.candidate_groups(_long_samples(spark, sf), max_pass_ratio=0.35))
 
@@ -498,6 +513,7 @@ def sweep_report(spark, sf):
 ALL = (
     candidate_groups,
     candidate_groups_nested,
+    candidate_groups_with_problems,
     valid_candidates,
     max_pass_ratio,
     grouping_stats,

@@ -29,11 +29,11 @@ def read_generated(spark: SparkSession, folder: str) -> DataFrame:
     """The columns grouping needs, of the folder's `train-*.parquet` only.
 
     A file that lacks one of them gives nulls for it (the schema is fixed, so no footer
-    is merged), and `valid_candidates` then drops its rows; without `canonical_id` the
-    rows stay.
+    is merged), and `valid_candidates` then drops its rows; without `canonical_id`, or
+    the numbers of problem and part, the rows stay.
     """
     schema = (
-        f"canonical_id string, prompt string, {fx.OUTPUTS} array<string>, "
+        f"problem_id bigint, part bigint, canonical_id string, prompt string, {fx.OUTPUTS} array<string>, "
         f"{fx.PASS_RATES} array<double>"
     )
     return spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{GENERATED_GLOB}")

@@ -86,6 +86,28 @@ def test_groups_long_and_nested(spark, k, limit):
     assert stats.remaining == sum(r == G.KEPT for r in reasons.values())
 
 
+def test_problems_in_several_parts(spark):
+    rows = make(seed=5, problems=30)
+    groups, reasons = wanted(rows, 4, 1.0)
+    nested = spark.createDataFrame(rows, SCHEMA)
+    long = C.unnest_samples(nested, "problem_id").withColumn("finish_reason", F.lit("stop"))
+    parted = C.nest_samples(long, part_rows=9).join(
+        nested.select("problem_id", "canonical_id", "prompt"), "problem_id"
+    )
+    assert parted.agg(F.max("part")).first()[0] > 2
+    for bound in (100, 1):  # ids looked up by broadcast, and beyond that by a plain join
+        G.BROADCAST_IDS, kept = bound, G.BROADCAST_IDS
+        try:
+            made, outcomes = G.candidate_groups_of_parts(parted, part_rows=9)
+        finally:
+            G.BROADCAST_IDS = kept
+        got = {
+            (int(r.prompt[1:]), r.group_idx): (r.candidates, r.pass_rates) for r in made.collect()
+        }
+        assert got == groups
+        assert sorted(r.drop_reason for r in outcomes.collect()) == sorted(reasons.values())
+
+
 def test_small_example(spark):
     rows = [(0, None, "q", ["a", "b", "c", "d", "e"], [0.0, 1.0, None, 0.5, 1.0])]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -22,7 +22,7 @@ def test_required_and_optional_columns(spark, tmp_path):
         tables.write_generated(full.drop(gone), folder, part)
     full.write.parquet(f"{folder}/test-000.parquet")
     read = tables.read_generated(spark, folder)
-    assert read.columns == ["canonical_id", "prompt", fx.OUTPUTS, fx.PASS_RATES]
+    assert read.columns == ["problem_id", "part", "canonical_id", "prompt", fx.OUTPUTS, fx.PASS_RATES]
     usable = G.valid_candidates(read).select("canonical_id").collect()
     assert sorted((r.canonical_id or "-") for r in usable) == ["-", "c"]
     assert tables.unusable_rows(read).first()[:] == (1, 1, 1)
