@@ -53,9 +53,9 @@ CANDIDATE_CLOSE = "\n```\n"
 RECORD_KIND = "code_ranking"
 REWARD_STYLE = "rule"
 
-# --- fixed values: end of a thinking trace, and the longest number read as a candidate id
+# --- fixed values: end of a thinking trace, and a number short enough for a candidate id
 THINK_END = "</think>"
-MAX_ID_DIGITS = 4
+SHORT_NUMBER = "(?<![0-9])[0-9]{1,4}(?![0-9])"
 
 # --- fixed values: characters that count as white space (those of Python's str.strip)
 WHITESPACE = (

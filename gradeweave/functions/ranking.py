@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
-from .text import let, strip
+from .text import let
 
 FAILED = -1.0
 SCORES = ("score", "ndcg", "pairacc", "top1_acc")
@@ -20,28 +20,29 @@ def parse_ranking(response: Column, n_candidates: Column) -> Column:
     Numbers in ASCII digits after the last end-of-thinking mark count; longer than
     four digits, out of range, or seen before do not.
     """
-    answer = F.element_at(F.split(strip(response), fx.THINK_END), -1)
-    numbers = F.regexp_extract_all(answer, F.lit("([0-9]+)"), F.lit(1))
-    short = F.filter(numbers, lambda d: F.length(d) <= fx.MAX_ID_DIGITS)
-    ids = F.transform(short, lambda d: d.cast("int"))
-    named = F.array_distinct(F.filter(ids, lambda i: (i >= 1) & (i <= n_candidates)))
+    answer = F.substring_index(response, fx.THINK_END, -1)
+    numbers = F.regexp_extract_all(answer, F.lit(fx.SHORT_NUMBER), F.lit(0)).cast("array<int>")
+    # The intersection keeps the order and the first occurrences of its left side.
+    named = F.array_intersect(numbers, F.sequence(F.lit(1), n_candidates))
     return let(
-        named,
-        lambda ids: F.when(
-            (F.size(ids) == n_candidates) & (n_candidates > 0), F.transform(ids, lambda i: i - 1)
-        ),
+        F.when(n_candidates > 0, named),
+        lambda ids: F.when(F.size(ids) == n_candidates, F.transform(ids, lambda i: i - 1)),
     )
 
 
-def _gain(rates: Column) -> Column:
-    """Discounted sum of 2^rate - 1 over rates in ranked order; null rates add nothing."""
-    terms = F.transform(
-        rates,
-        lambda rate, i: F.coalesce(
-            (F.pow(F.lit(2.0), rate) - 1) / F.log2((i + 2).cast("double")), F.lit(0.0)
-        ),
-    )
-    return F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
+def _gain(rates: Column, candidates: Column | None = None) -> Column:
+    """Discounted sum of 2^rate - 1, in the given order or that of the candidates.
+
+    A candidate without a rate adds nothing.
+    """
+
+    def term(item, i):
+        rate = item if candidates is None else F.get(rates, item)
+        gain = (F.pow(F.lit(2.0), rate) - 1) / F.log2((i + 2).cast("double"))
+        return F.coalesce(gain, F.lit(0.0))
+
+    terms = F.transform(rates if candidates is None else candidates, term)
+    return F.aggregate(terms, F.lit(0.0), lambda total, gain: total + gain)
 
 
 def _unless_missing(ranking: Column, rates: Column, value: Column) -> Column:
@@ -58,11 +59,8 @@ def ndcg(ranking: Column, rates: Column, k: int | None = None) -> Column:
     seen = ranking
     if k is not None:
         ideal, seen = F.slice(ideal, 1, k), F.slice(ranking, 1, k)
-    # F.get gives null for a place outside the rates, which then gains nothing.
-    got = _gain(F.transform(seen, lambda i: F.get(rates, i)))
-    return _unless_missing(
-        ranking, rates, F.coalesce(F.try_divide(got, _gain(ideal)), F.lit(1.0))
-    )
+    share = F.try_divide(_gain(rates, seen), _gain(ideal))
+    return _unless_missing(ranking, rates, F.coalesce(share, F.lit(1.0)))
 
 
 def top1_acc(ranking: Column, rates: Column) -> Column:
@@ -78,35 +76,38 @@ def pairacc(ranking: Column, rates: Column) -> Column:
     A candidate the ranking leaves out counts as placed last; without an unequal pair
     the score is 1.
     """
+    ranked = F.transform(ranking, lambda i: F.get(rates, i))
+    # Those left out share one place, so none of their pairs is right: neither is one in
+    # ascending order.
+    left_out = F.filter(rates, lambda rate, i: ~F.array_contains(ranking, i))
+    complete = (F.size(ranking) == F.size(rates)) & (F.array_max(ranking) < F.size(rates))
+    in_order = F.when(complete, ranked).otherwise(
+        F.array_compact(F.concat(ranked, F.sort_array(left_out)))
+    )
 
-    def placed(rate, i):
-        place = F.array_position(ranking, i)
-        return F.struct(
-            rate.alias("rate"),
-            F.when(place > 0, place).otherwise(F.size(rates) + 1).alias("place"),
-        )
+    def share(order):
+        # What an item is better or worse than, among those placed after it.
+        def tally(item, i):
+            later = F.slice(order, i + 2, F.size(order))
+            return F.struct(
+                F.size(F.filter(later, lambda other: other < item)).alias("right"),
+                F.size(F.filter(later, lambda other: other > item)).alias("wrong"),
+            )
 
-    def share(candidates):
-        # A pair counts once, from the better candidate's side.
-        def tally(total, better):
-            worse = F.filter(candidates, lambda other: other["rate"] < better["rate"])
-            right = F.filter(worse, lambda other: other["place"] > better["place"])
+        def add(total, item):
             return F.struct(
-                (total["right"] + F.size(right)).alias("right"),
-                (total["unequal"] + F.size(worse)).alias("unequal"),
+                (total["right"] + item["right"]).alias("right"),
+                (total["wrong"] + item["wrong"]).alias("wrong"),
             )
 
-        return F.aggregate(
-            candidates,
-            F.struct(F.lit(0).alias("right"), F.lit(0).alias("unequal")),
-            tally,
-            lambda total: F.coalesce(
-                F.try_divide(total["right"].cast("double"), total["unequal"].cast("double")),
-                F.lit(1.0),
-            ),
-        )
+        def divide(total):
+            right, wrong = total["right"].cast("double"), total["wrong"].cast("double")
+            return F.coalesce(F.try_divide(right, right + wrong), F.lit(1.0))
+
+        none = F.struct(F.lit(0).alias("right"), F.lit(0).alias("wrong"))
+        return F.aggregate(F.transform(order, tally), none, add, divide)
 
-    return _unless_missing(ranking, rates, let(F.transform(rates, placed), share))
+    return _unless_missing(ranking, rates, let(in_order, share))
 
 
 def reward(response: Column, ground_truth: Column, mode: str = "pairacc") -> Column:
