@@ -26,16 +26,22 @@ def join_by_key(
     chunk_rows: int = CHUNK_ROWS,
     keep_all_keys: bool = False,
     only: Column | None = None,
+    numbering: DataFrame | None = None,
 ) -> DataFrame:
     """`rows` with the columns of their key's one row in `per_key`.
 
     The key's row is copied once per chunk that its rows fill, and the join is on
     (key, chunk), so no task gets more than `chunk_rows` of a key's rows. With
     `keep_all_keys`, keys without rows stay, with nulls in the columns of `rows`;
-    `only`, a condition on `per_key`, says which keys take rows at all.
+    `only`, a condition on `per_key`, says which keys take rows at all. `numbering` gives
+    the (key, index) of these rows, and maybe of more, where it is cheaper to read than the
+    rows themselves; it needs inner joins.
     """
     chunked = rows.withColumn("_chunk", chunk_number(index, chunk_rows))
-    filled = chunked.select(F.col(key).alias("_key"), "_chunk").distinct()
+    numbered = rows if numbering is None else numbering
+    filled = numbered.select(
+        F.col(key).alias("_key"), chunk_number(index, chunk_rows).alias("_chunk")
+    ).distinct()
     how = "left" if keep_all_keys else "inner"
     takes = F.col(key) == F.col("_key")
     if only is not None:

@@ -161,10 +161,23 @@ def _finish(groups: DataFrame) -> DataFrame:
 
 
 def with_problems(
-    groups: DataFrame, problems: DataFrame, chunk_rows: int = CHUNK_ROWS
+    groups: DataFrame,
+    problems: DataFrame,
+    samples: DataFrame,
+    group_size: int = fx.GROUP_SIZE,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """The groups with the columns (canonical_id, prompt, ...) of their problem."""
-    return join_by_key(groups, problems, "problem_id", "group_idx", chunk_rows)
+    """The groups with the columns (canonical_id, prompt, ...) of their problem.
+
+    The sample numbers bound the group numbers, so the groups are not made a second time
+    to count them.
+    """
+    possible = samples.select(
+        "problem_id", F.expr(f"sample_idx div {int(group_size)}").alias("group_idx")
+    )
+    return join_by_key(
+        groups, problems, "problem_id", "group_idx", chunk_rows, numbering=possible
+    )
 
 
 def problem_outcomes(
@@ -295,9 +308,8 @@ def candidate_groups_of_parts(
     usable = parts.where(F.col("prompt").isNotNull())
     long = unnest_samples(usable, "problem_id", part_rows=part_rows)
     problems = usable.where(F.col("part") == 0).select("problem_id", "canonical_id", "prompt")
-    more = with_problems(
-        candidate_groups(long, group_size, max_pass_ratio, part_rows), problems, part_rows
-    )
+    made = candidate_groups(long, group_size, max_pass_ratio, part_rows)
+    more = with_problems(made, problems, long, group_size, part_rows)
     reasons = problem_outcomes(long, max_pass_ratio).select("drop_reason")
     return groups.unionByName(more.select(*names)), outcomes.unionByName(reasons)
 

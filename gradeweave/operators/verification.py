@@ -31,7 +31,10 @@ def execution_worklist(
     tested = problems.select(
         "problem_id", "function_name", test_cases(F.col("test_suites"), max_tests).alias("tests")
     )
-    joined = join_by_key(coded, tested, "problem_id", "sample_idx", chunk_rows)
+    # The samples tell their chunks without a look at their texts.
+    joined = join_by_key(
+        coded, tested, "problem_id", "sample_idx", chunk_rows, numbering=samples
+    )
     sample = ("problem_id", "sample_idx", "code", "function_name")
     return each(joined, sample, F.col("tests"), "test_idx", "test").select(
         "problem_id",

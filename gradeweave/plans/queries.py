@@ -269,10 +269,9 @@ def candidate_groups_nested(spark, sf):
 def candidate_groups_with_problems(spark, sf):
     """Groups of the long form with their problem's columns joined to them."""
     generated = derived.generated(spark, sf)
-    groups = G.candidate_groups(_long_samples(spark, sf))
-    return G.with_problems(
-        groups, generated.select("problem_id", "canonical_id", "prompt")
-    ).select(
+    samples = _long_samples(spark, sf)
+    problems = generated.select("problem_id", "canonical_id", "prompt")
+    return G.with_problems(G.candidate_groups(samples), problems, samples).select(
         "problem_id",
         "group_idx",
         "canonical_id",
