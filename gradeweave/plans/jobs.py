@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
+from ..functions import text
 from ..operators import completions as C
 from ..operators import grouping as G
-from ..operators import problems as P
 from ..operators import records as R
 from ..operators import sweep as S
 from ..operators import verification as V
@@ -26,13 +26,13 @@ def verified_samples(
     `problems.with_prompts`); completions and executions come from outside. A problem
     without completions keeps one row with nulls.
     """
-    samples = C.attach_completions(asked, completions)
+    stripped = completions.withColumn("output", text.strip(F.col("output")))
+    within = asked.where(~F.col("over_budget"))
     work = V.execution_worklist(
-        samples.where(F.col("sample_idx").isNotNull()).select("problem_id", "sample_idx", "output"),
-        asked.select("problem_id", "test_suites", "function_name"),
-        max_tests,
+        stripped, within.select("problem_id", "test_suites", "function_name"), max_tests
     )
-    return V.with_pass_rates(samples, V.pass_rates(V.verify(work, executions)))
+    rates = V.pass_rates(V.verify(work, executions))
+    return V.with_pass_rates(C.attach_completions(asked, completions), rates)
 
 
 def generated_table(asked: DataFrame, samples: DataFrame) -> DataFrame:

@@ -126,6 +126,23 @@ q AS (SELECT *, CASE WHEN problem_id % 11 = 0 THEN '' ELSE
    || chr(10) || starter_code || chr(10) || '```' || chr(10) ELSE '' END END AS question FROM p)
 """
 
+
+def generation_text(thinking):
+    """The generation prompt, for a model that is a thinking one under the condition."""
+    return f"""'You will be given a question (problem specification) and will generate a correct'
+ || ' Python program that matches the specification and passes all tests.'
+ || CASE WHEN {thinking} THEN '' ELSE ' You will NOT return anything except for the program.' END
+ || chr(10) || 'Question: ' || question || chr(10) || chr(10)
+ || CASE problem_type WHEN 'function' THEN
+  'You will use the following starter code to write the solution to the problem and'
+  || ' enclose your code within delimiters."' || chr(10) || '```python' || chr(10) || starter_code
+ ELSE 'Read the inputs from stdin solve the problem and write the answer to stdout (do not'
+  || ' directly test on the sample inputs). Enclose your code within delimiters as follows.'
+  || ' Ensure that when the python program runs, it reads the inputs, runs the algorithm and'
+  || ' writes output to STDOUT.' || chr(10) || '```python' || chr(10) || '  # YOUR CODE HERE'
+  || chr(10) || '```' END"""
+
+
 TESTS = """
 WITH suite AS (
  SELECT doc_id AS problem_id, 0 AS suite, unnest(string_split(text, chr(10))) AS t,
@@ -323,20 +340,11 @@ def oracle_sql():
         "normalize_problem_type": f"{PROBLEM} SELECT problem_id, problem_type FROM p",
         "entry_function_name": f"{PROBLEM} SELECT problem_id, function_name FROM p",
         "assemble_question": f"{PROBLEM} SELECT problem_id, question FROM q",
-        "generation_prompt": f"""{PROBLEM} SELECT problem_id,
-            'You will be given a question (problem specification) and will generate a correct Python'
-            || ' program that matches the specification and passes all tests.'
-            || CASE WHEN o_custkey % 2 = 1 THEN '' ELSE
-              ' You will NOT return anything except for the program.' END
-            || chr(10) || 'Question: ' || question || chr(10) || chr(10)
-            || CASE problem_type WHEN 'function' THEN
-             'You will use the following starter code to write the solution to the problem and'
-             || ' enclose your code within delimiters."' || chr(10) || '```python' || chr(10) || starter_code
-            ELSE 'Read the inputs from stdin solve the problem and write the answer to stdout (do not'
-             || ' directly test on the sample inputs). Enclose your code within delimiters as follows.'
-             || ' Ensure that when the python program runs, it reads the inputs, runs the algorithm and'
-             || ' writes output to STDOUT.' || chr(10) || '```python' || chr(10) || '  # YOUR CODE HERE'
-             || chr(10) || '```' END AS prompt FROM q""",
+        "generation_prompt": f"""{PROBLEM}
+            SELECT problem_id, {generation_text("o_custkey % 2 = 1")} AS prompt FROM q""",
+        "prepared_problems": f"""{PROBLEM}, r AS (SELECT *, {generation_text("false")} AS prompt FROM q)
+            SELECT problem_id, problem_type, prompt, CAST(floor(length(prompt) / 3) AS BIGINT) AS token_estimate,
+             floor(length(prompt) / 3) > 208 AS over_budget, 'm-instruct-1' AS generated_with FROM r""",
         "prompt_budget": """SELECT doc_id, CAST(floor(length(text) / 3) AS BIGINT) AS token_estimate,
             floor(length(text) / 3) > 1600 AS over_budget,
             CASE WHEN floor(length(text) / 3) > 1600 THEN 0 ELSE len(string_split(text, '.')) END

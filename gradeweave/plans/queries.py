@@ -16,6 +16,7 @@ from ..sources import results, tables
 from . import derived, jobs
 
 SMALL_CONTEXT = 2000  # tokens, so that documents lie on both sides of the budget
+SMALL_QUESTION = 260  # tokens, so that prompts of problems lie on both sides of its share
 SMALL_PROMPT = 400  # tokens, so that records lie on both sides of the limit
 
 
@@ -131,6 +132,14 @@ def generation_prompt(spark, sf):
     )
 
 
+def prepared_problems(spark, sf):
+    """Type, question, prompt, estimate, budget flag and model in one pass."""
+    prepared = P.with_prompts(derived.problems(spark, sf), "m-instruct-1", SMALL_QUESTION)
+    return prepared.select(
+        "problem_id", "problem_type", "prompt", "token_estimate", "over_budget", "generated_with"
+    )
+
+
 def prompt_budget(spark, sf):
     documents = derived.load(spark, sf, "documents")
     over = text.over_budget(F.col("text"), SMALL_CONTEXT)
@@ -538,6 +547,7 @@ ALL = (
     entry_function_name,
     assemble_question,
     generation_prompt,
+    prepared_problems,
     prompt_budget,
     extract_code_strict,
     extract_code_lenient,
