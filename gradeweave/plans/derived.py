@@ -132,7 +132,8 @@ def tested_problems(spark, sf_dir):
 
 def _runs(spark, sf_dir):
     # Price in cents after the order's number tells the tests of one sample apart.
-    return load(spark, sf_dir, "lineitem").selectExpr(
+    lines = spread(load(spark, sf_dir, "lineitem"), "l_orderkey")
+    return lines.selectExpr(
         "l_partkey AS problem_id",
         "CAST(l_linenumber AS bigint) AS sample_idx",
         "l_orderkey * 100000000 + CAST(round(l_extendedprice * 100) AS bigint) AS test_idx",
