@@ -11,7 +11,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import coded, hashes, mixed, stored, words_of
@@ -165,7 +165,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     rows = text_rows(benchmark, "item_id").mapInArrow(window_batches(widths), WINDOW_SCHEMA)
     rows = stored(rows, "benchmark-windows")
     items = rows.groupBy("whole").agg(F.min("id").alias("item_id"))
-    n_windows = F.greatest(F.lit(1), F.col("words") - WINDOW + 1)
+    n_windows = F.count("*").over(Window.partitionBy("item_id", "whole")).cast("int")
     return stored(
         rows.join(items, F.col("id") == F.col("item_id"))
         .select("item_id", "pos", "hash", "template", "slots", "words", n_windows.alias("windows")),
@@ -227,8 +227,6 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that no item contaminates."""
     hit = stored(found_items(docs, benchmark).select("doc_id", "text_key").distinct(), "contaminated")
-    hit = hit.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_key")
-    )
+    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(hit["doc_id"]) & (text_key == hit["text_key"])
     return docs.join(hit, same, "left_anti")

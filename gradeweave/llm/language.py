@@ -131,10 +131,10 @@ def predictor(broadcast):
                 best = int(row.argmax())  # of equals the first by code point
                 named.append(langs[best])
                 certain.append(float(1.0 / np.exp(np.maximum(row - row[best], -700.0)).sum()))
-            kept = [batch.column(c) for c in batch.schema.names if c != "text" or batch.schema.names.count("text") > 1]
+            kept = [name for name in batch.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(named, pa.string()), pa.array(certain, pa.float64())],
-                [*[c for c in batch.schema.names if c != "text"], "lang_pred", "score"],
+                [*map(batch.column, kept), pa.array(named, pa.string()), pa.array(certain, pa.float64())],
+                [*kept, "lang_pred", "score"],
             )
 
     return run

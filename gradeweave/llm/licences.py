@@ -15,7 +15,7 @@ GRAM = 3
 #: One fingerprint at least in so many grams: any GRAM + WINDOW - 1 common words are found.
 WINDOW = 2
 COVERAGE = 0.7
-GAP, MISS = -1, -1
+GAP, MISS = -0.5, -0.5
 OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»¿¡…–—"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -203,6 +203,9 @@ def scorer(order, shards, tokens, types, texts, mass):
                 found[place] = got if level == 1 else unquantised(got)
             return found[np.searchsorted(distinct, keys)]
 
+        counts = np.frombuffer(row["counts"], np.int64) + 1
+        starts = np.cumsum(counts) - counts
+        place = np.arange(len(first)) - np.repeat(starts, counts)
         own = values(1)
         chance = (own + 1.0) / (tokens + types + 1.0)
         base = np.log10(chance)
@@ -211,11 +214,11 @@ def scorer(order, shards, tokens, types, texts, mass):
         context[first] = texts
         for level in range(2, order + 1):
             joint = values(level)
-            chance = np.minimum(1.0, (joint + mass * chance) / (context + mass))
+            smoothed = np.minimum(1.0, (joint + mass * chance) / (context + mass))
+            # The first words of a text have fewer words before them.
+            chance = np.where(place >= level - 2, smoothed, chance)
             context = np.r_[0.0, joint[:-1]]
             context[first] = 0.0
-        counts = np.frombuffer(row["counts"], np.int64) + 1
-        starts = np.cumsum(counts) - counts
         total = lambda x: np.add.reduceat(x, starts)
         return pa.table(
             {

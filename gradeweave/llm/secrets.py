@@ -31,8 +31,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 SAMPLE = 500
 LONGEST_EXAMPLE = 128
 #: Bits by which a grammar must beat the ordinary one, in all and per character.
-MARGIN_BITS = 24.0
-MARGIN_PER_CHARACTER = 0.75
+MARGIN_BITS = 8.0
+MARGIN_PER_CHARACTER = 0.5
 #: Letters a-f, other letters, and digits are the symbols; marks stand for themselves.
 SYMBOLS = str.maketrans(
     "0123456789" + "abcdef" + "ghijklmnopqrstuvwxyz" + "ABCDEF" + "GHIJKLMNOPQRSTUVWXYZ",
