@@ -164,13 +164,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     widths = list(range(WINDOW, LEAST_WORDS - 1, -1))
     rows = text_rows(benchmark, "item_id").mapInArrow(window_batches(widths), WINDOW_SCHEMA)
     rows = stored(rows, "benchmark-windows")
-    items = rows.groupBy("whole").agg(F.min("id").alias("item_id"))
+    first = rows.groupBy("whole").agg(F.min("id").alias("item_id"))
+    own = rows.join(first, "whole").where(F.col("id") == F.col("item_id"))
     n_windows = F.count("*").over(Window.partitionBy("item_id", "whole")).cast("int")
-    return stored(
-        rows.join(items, F.col("id") == F.col("item_id"))
-        .select("item_id", "pos", "hash", "template", "slots", "words", n_windows.alias("windows")),
-        "item-windows",
-    )
+    columns = ["item_id", "pos", "hash", "template", "slots", "words"]
+    return stored(own.select(*columns, n_windows.alias("windows")), "item-windows")
 
 
 def window_filter(windows: DataFrame) -> np.ndarray:
