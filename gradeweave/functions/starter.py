@@ -1,6 +1,7 @@
 """Entry-function name of starter code: the one place that needs Python's own parser."""
 
 import ast
+import re
 import sys
 
 import pandas as pd
@@ -13,21 +14,42 @@ from pyspark.sql.types import StringType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: The last line that is not blank, if it ends in a colon; the group is what it is indented by.
+OPEN_BLOCK = re.compile(r"^([^\S\n]*)(?=\S).*:\s*\Z", re.MULTILINE)
+
+
+class DeepestFunction(ast.NodeVisitor):
+    """Of the functions nested deepest in the syntax tree, the name of the last one."""
+
+    def __init__(self):
+        self.level, self.found_at, self.name = 0, -1, None
+
+    def visit_FunctionDef(self, node):
+        if self.level >= self.found_at:
+            self.found_at, self.name = self.level, node.name
+        self.generic_visit(node)
+
+    def generic_visit(self, node):
+        self.level += 1
+        super().generic_visit(node)
+        self.level -= 1
+
+
 def entry_name(code: str | None) -> str | None:
-    """Name of the function met last when the syntax tree is walked level by level."""
+    """Name of the entry function; null for none, and for code that Python cannot parse.
+
+    A block that is still open at the end of the text is given a body.
+    """
     if not code:
         return None
-    last_line = code.rstrip().split("\n")[-1]
-    if last_line.endswith(":"):
-        # A bare header is not valid code: give it a body.
-        depth = len(last_line) - len(last_line.lstrip()) + 4
-        code = f"{code}\n{' ' * depth}pass"
+    block = OPEN_BLOCK.search(code)
+    body = f"\n{'':{len(block[1]) + 4}}..." if block else ""
+    visitor = DeepestFunction()
     try:
-        nodes = ast.walk(ast.parse(code))
-        names = [node.name for node in nodes if isinstance(node, ast.FunctionDef)]
+        visitor.visit(ast.parse(code + body))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    return names[-1] if names else None
+    return visitor.name
 
 
 @F.pandas_udf(StringType())

@@ -291,16 +291,17 @@ def candidate_groups_of_parts(
     max_pass_ratio: float = fx.MAX_PASS_RATIO,
     part_rows: int = CHUNK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Groups (canonical_id, prompt, group_idx, ...) and outcomes of a nested table with
+    """Groups (problem_id, canonical_id, prompt, group_idx, ...) and outcomes of a nested table with
     `problem_id` and `part`.
 
     Whole problems are grouped inside their row, without a shuffle; the few that fill
     several rows go through the long form.
     """
-    names = ("canonical_id", "prompt", "group_idx", "candidates", "pass_rates", "candidates_code")
+    keep = ("problem_id", "canonical_id", "prompt")
+    names = (*keep, "group_idx", "candidates", "pass_rates", "candidates_code")
     whole, parts = by_parts(generated)
     groups = candidate_groups_nested(
-        whole, "canonical_id", "prompt", group_size=group_size, max_pass_ratio=max_pass_ratio
+        whole, *keep, group_size=group_size, max_pass_ratio=max_pass_ratio
     ).select(*names)
     outcomes = nested_outcomes(whole, group_size, max_pass_ratio).select("drop_reason")
     if parts is None:

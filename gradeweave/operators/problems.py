@@ -54,8 +54,8 @@ def first_problems(problems: DataFrame, n: int, key: str = "problem_id") -> Data
     return problems.orderBy(key).limit(n)
 
 
-def test_cases(suites: Column, max_tests: int | None = fx.MAX_TESTS) -> Column:
-    """All suites' cases in order, at most `max_tests`, as array of (input, output) text.
+def test_cases(suites: Column, max_tests: int | None = None) -> Column:
+    """All suites' cases in order, at most `max_tests` if that is given, as array of (input, output) text.
 
     Null suites and cases are passed over; a null text reads 'None'.
     """
@@ -81,7 +81,7 @@ def test_cases(suites: Column, max_tests: int | None = fx.MAX_TESTS) -> Column:
 
 
 def flatten_test_cases(
-    problems: DataFrame, key: str = "problem_id", max_tests: int = fx.MAX_TESTS
+    problems: DataFrame, key: str = "problem_id", max_tests: int | None = None
 ) -> DataFrame:
     """One row per problem and test: (key, test_idx, input, expected_output)."""
     cases = test_cases(F.col("test_suites"), max_tests)

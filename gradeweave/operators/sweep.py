@@ -91,16 +91,14 @@ def missing_runs(
         grid = last.select(
             F.explode(F.sequence(F.lit(save_freq), F.col("last"), F.lit(save_freq))).alias("step")
         )
-    expected = grid.select(
-        F.col("step").cast("int"),
-        F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_idx"),
-    )
+    every = F.array(*[F.lit(r) for r in range(repeats)]).cast("array<int>")
+    expected = grid.select(F.col("step").cast("int"), F.explode(every).alias("repeat_idx"))
     return expected.join(found, ["step", "repeat_idx"], "left_anti")
 
 
 def nested_summary(summary: DataFrame) -> DataFrame:
-    """One JSON text per step: metric -> {mean, stderr, n}."""
+    """One row per step with a map: metric -> {mean, stderr, n}."""
     entry = F.struct("metric", F.struct("mean", "stderr", "n"))
     return summary.groupBy("step").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("metrics")
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("metrics")
     )

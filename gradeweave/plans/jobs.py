@@ -18,7 +18,7 @@ def verified_samples(
     asked: DataFrame,
     completions: DataFrame,
     executions: DataFrame,
-    max_tests: int = fx.MAX_TESTS,
+    max_tests: int | None = None,
 ) -> DataFrame:
     """Problems with their samples and pass rates, a row per sample.
 
@@ -52,7 +52,7 @@ def group_job(
     generated = tables.read_generated(spark, folder)
     groups, outcomes = G.candidate_groups_of_parts(generated, group_size, max_pass_ratio)
     path = tables.write_groups(
-        groups.select("canonical_id", "prompt", "candidates", "candidates_code", "pass_rates"),
+        groups.select("problem_id", "group_idx", "canonical_id", "prompt", "candidates", "candidates_code", "pass_rates"),
         target,
         group_size,
     )

@@ -154,7 +154,7 @@ test AS (
  SELECT problem_id, row_number() OVER (PARTITION BY problem_id ORDER BY suite, i) - 1 AS test_idx,
   CASE WHEN suite = 0 OR length(t) % 2 = 1 THEN t ELSE 'None' END AS input,
   CASE WHEN suite = 0 THEN CAST(length(t) AS VARCHAR) ELSE t END AS expected_output
- FROM suite QUALIFY test_idx < 50)
+ FROM suite)
 """
 
 COMPLETION = """
@@ -184,8 +184,8 @@ rate AS (
 """
 
 # Rankings, worked out by unnesting the numbers of a response.
-RANKED = """
-WITH base AS (
+PLACED = """
+WITH base AS MATERIALIZED (
  SELECT o_orderkey AS problem_id, CAST(r AS BIGINT) AS rollout_idx, o_custkey,
   o_orderstatus AS generator, o_orderpriority AS difficulty,
   CAST(month(o_orderdate) * 10 AS INT) AS step, CAST(3 + o_orderkey % 3 AS INT) AS n,
@@ -196,7 +196,7 @@ perm AS (
  SELECT *, list_transform(range(n), lambda i: CAST((CASE WHEN o_custkey % 2 = 0
    THEN problem_id + rollout_idx + i ELSE problem_id + rollout_idx + n - i END) % n + 1 AS VARCHAR)) AS ids
  FROM base),
-said AS (
+said AS MATERIALIZED (
  SELECT *, CASE rollout_idx
   WHEN 0 THEN array_to_string(ids, ', ')
   WHEN 1 THEN array_to_string(list_reverse(ids), ' > ')
@@ -214,14 +214,17 @@ number AS (
 choice AS (
  SELECT problem_id, rollout_idx, CAST(d AS INT) AS id, min(seen) AS seen, any_value(n) AS n
  FROM number WHERE length(d) <= 4 AND CAST(d AS INT) BETWEEN 1 AND n GROUP BY 1, 2, 3),
-placed AS (
+placed AS MATERIALIZED (
  SELECT problem_id, rollout_idx, id, row_number() OVER (PARTITION BY problem_id, rollout_idx ORDER BY seen) AS place
- FROM choice QUALIFY count(*) OVER (PARTITION BY problem_id, rollout_idx) = n),
-rel AS (
+ FROM choice QUALIFY count(*) OVER (PARTITION BY problem_id, rollout_idx) = n)
+"""
+
+RANKED = f"""{PLACED},
+rel AS MATERIALIZED (
  SELECT b.problem_id, b.rollout_idx, p.id, p.place, b.rates[p.id] AS rate,
   row_number() OVER (PARTITION BY b.problem_id, b.rollout_idx ORDER BY b.rates[p.id] DESC) AS best
  FROM base b JOIN placed p USING (problem_id, rollout_idx)),
-gain AS (
+gain AS MATERIALIZED (
  SELECT problem_id, rollout_idx, string_agg(CAST(id - 1 AS VARCHAR), ' ' ORDER BY place) AS ranking,
   sum((pow(2, rate) - 1) / log2(place + 1)) AS dcg, sum((pow(2, rate) - 1) / log2(best + 1)) AS idcg,
   sum(CASE WHEN place <= 2 THEN (pow(2, rate) - 1) / log2(place + 1) ELSE 0 END) AS dcg2,
@@ -298,6 +301,7 @@ def oracle_sql():
         "verification_counts": f"""{RUNS}
             SELECT count(pass_rate) AS verified, count(*) AS samples FROM rate""",
         "flatten_test_cases": f"{TESTS} SELECT problem_id, test_idx, input, expected_output FROM test",
+        "capped_test_cases": f"{TESTS} SELECT problem_id, test_idx, input, expected_output FROM test WHERE test_idx < 50",
         "execution_worklist": f"""{TESTS}, {COMPLETION}
             SELECT problem_id, sample_idx, test_idx, code, function_name, input, expected_output
             FROM completion JOIN problem USING (problem_id) JOIN test USING (problem_id)
@@ -314,7 +318,9 @@ def oracle_sql():
              round(coalesce(sum(r.pass_rate), 0), 9) AS sum_rates
             FROM problem p LEFT JOIN kept k USING (problem_id) LEFT JOIN rate r USING (problem_id, sample_idx)
             GROUP BY 1""",
-        "parse_ranking": f"{RANKED} SELECT problem_id, rollout_idx, ranking FROM scored",
+        "parse_ranking": f"""{PLACED} SELECT problem_id, rollout_idx, ranking FROM base LEFT JOIN (
+             SELECT problem_id, rollout_idx, string_agg(CAST(id - 1 AS VARCHAR), ' ' ORDER BY place) AS ranking
+             FROM placed GROUP BY 1, 2) USING (problem_id, rollout_idx)""",
         "ndcg": f"{RANKED} SELECT problem_id, rollout_idx, round(ndcg, 9) AS ndcg FROM metric",
         "ndcg_at_2": f"{RANKED} SELECT problem_id, rollout_idx, round(ndcg2, 9) AS ndcg FROM metric",
         "pairacc": f"{RANKED} SELECT problem_id, rollout_idx, round(pairacc, 9) AS pairacc FROM metric",

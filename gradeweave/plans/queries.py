@@ -168,6 +168,11 @@ def flatten_test_cases(spark, sf):
     return P.flatten_test_cases(derived.tested_problems(spark, sf))
 
 
+def capped_test_cases(spark, sf):
+    """Flattened tests with the runner's usual cap per problem, which is only kept on request."""
+    return P.flatten_test_cases(derived.tested_problems(spark, sf), max_tests=fx.MAX_TESTS)
+
+
 def limit_problems(spark, sf):
     return P.first_problems(derived.problems(spark, sf), 100).select("problem_id", "starter_code")
 
@@ -504,12 +509,10 @@ def sweep_report(spark, sf):
     target = scratch_path(spark, "sweep")
     jobs.sweep_job(spark, root, target, "*.txt")
     entry = "map<string,struct<mean:double,stderr:double,n:bigint>>"
-    nested = spark.read.schema("step int, metrics string").json(
+    nested = spark.read.schema(f"step int, metrics {entry}").json(
         f"{target}/sweep_results_by_step.json"
     )
-    return nested.select(
-        "step", F.explode(F.from_json("metrics", entry)).alias("metric", "entry")
-    ).select(
+    return nested.select("step", F.explode("metrics").alias("metric", "entry")).select(
         "step",
         "metric",
         F.round("entry.mean", 9).alias("mean"),
@@ -551,6 +554,7 @@ ALL = (
     prompt_budget,
     extract_code_strict,
     extract_code_lenient,
+    capped_test_cases,
     limit_problems,
     candidate_block,
     ranking_prompt,

@@ -27,8 +27,10 @@ def local_session(cores="*", name="gradeweave", **conf):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can see: `spark.checkpoint.dir`, else a new local one."""
+    """The folder all executors can see: `spark.checkpoint.dir`, else, in local mode, a new local one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder or tempfile.mkdtemp(prefix="gradeweave-")
 
 

@@ -42,7 +42,21 @@ def test_group_job(spark, tmp_path):
     path, stats = jobs.group_job(spark, str(tmp_path), str(tmp_path), group_size=2)
     assert path.endswith("processed_train_n2.parquet")
     assert stats.select("total_queries", "all_correct", "remaining", "total_groups").first()[:] == (5, 1, 4, 16)
-    assert spark.read.parquet(path).columns == ["canonical_id", "prompt", "candidates", "candidates_code", "pass_rates"]
+    columns = ["problem_id", "group_idx", "canonical_id", "prompt", "candidates", "candidates_code", "pass_rates"]
+    assert spark.read.parquet(path).columns == columns
+
+
+def test_group_job_feeds_record_job(spark, tmp_path):
+    rows = [(p, 0, str(p), f"q{p}", [f"o{i}" for i in range(8)], [float(i % 2) for i in range(8)]) for p in range(5)]
+    table = spark.createDataFrame(
+        rows,
+        "problem_id bigint, part bigint, canonical_id string, prompt string, "
+        f"{fx.OUTPUTS} array<string>, {fx.PASS_RATES} array<double>",
+    )
+    tables.write_generated(table, str(tmp_path))
+    path, _ = jobs.group_job(spark, str(tmp_path), str(tmp_path))
+    written = jobs.record_job(spark.read.parquet(path), str(tmp_path / "records"), by="group")
+    assert spark.read.parquet(written).count() == 10
 
 
 RESULTS = {
@@ -74,7 +88,7 @@ def test_sweep_from_files(spark, tmp_path):
         (20, "pass_at_1"): (0.25, 0.0, 1),
     }
     nested = spark.read.json(str(tmp_path / "out" / "sweep_results_by_step.json")).collect()
-    by_step = {r.step: json.loads(r.metrics) for r in nested}
+    by_step = {r.step: {k: v.asDict() for k, v in r.metrics.asDict().items() if v} for r in nested}
     assert by_step[20] == {"pass_at_1": {"mean": 0.25, "stderr": 0.0, "n": 1}}
     runs = sweep.run_documents(results.read_result_files(spark, str(tmp_path / "in")))
     found = sweep.metric_values(runs).select("step", "repeat_idx").distinct()

@@ -105,6 +105,9 @@ def test_json_array_is_python_text(spark):
 
 
 STARTERS = {
+    "def noted(a):\n    # what it does:": "noted",
+    "def noted(a):\n    return a\n    # that is all:": None,
+    "class S:\n\tdef go(self):": None,
     "def solve(a):": "solve",
     "class S:\n    def go(self, a):": "go",
     "def broken(": None,

@@ -33,7 +33,10 @@ def test_flatten_and_cap(spark):
         F.expr("array(named_struct('cases', transform(sequence(1, 70), i -> named_struct("
                "'input', string(i), 'output', string(i)))))").alias("test_suites"),
     )
-    assert P.flatten_test_cases(many).agg(F.count("*"), F.max("test_idx")).first()[:] == (50, 49)
+    whole = P.flatten_test_cases(many)
+    capped = P.flatten_test_cases(many, max_tests=50)
+    assert whole.agg(F.count("*"), F.max("test_idx")).first()[:] == (70, 69)
+    assert capped.agg(F.count("*"), F.max("test_idx")).first()[:] == (50, 49)
 
 
 def test_worklist_rules_and_chunks(spark):
