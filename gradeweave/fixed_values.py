@@ -87,3 +87,7 @@ MAX_PASS_RATIO = 1.0
 VAL_RATIO = 0.1
 SPLIT_SEED = 42
 MAX_PROMPT_TOKENS = 32768
+
+# Metrics that a summary shows, in this order; without any, so many by name.
+SHOWN_METRICS = ("accuracy", "accuracy_easy", "accuracy_medium", "accuracy_hard", "pass_at_1")
+SHOWN_OTHERS = 5

@@ -1,6 +1,6 @@
 """Evaluation runs over steps and repeats: metrics, summary, missing runs."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
@@ -75,6 +75,21 @@ def sweep_summary(values: DataFrame) -> DataFrame:
     )
 
 
+def shown_summary(summary: DataFrame) -> DataFrame:
+    """The summary's shown metrics, in order of step and `place`.
+
+    The first step decides: its preferred metrics, or else its first few by name. The windows
+    see the metrics of one step only.
+    """
+    liked = F.array_position(F.array(*map(F.lit, fx.SHOWN_METRICS)), F.col("metric"))
+    named = summary.join(summary.agg(F.min("step").alias("step")), "step").select("metric", liked.alias("_liked"))
+    named = named.withColumn("_any", F.max("_liked").over(Window.partitionBy()) > 0)
+    named = named.where((F.col("_liked") > 0) | ~F.col("_any"))
+    named = named.withColumn("place", F.row_number().over(Window.orderBy("_liked", "metric")) - 1)
+    named = named.where(F.col("_any") | (F.col("place") < fx.SHOWN_OTHERS)).select("metric", "place")
+    return summary.join(named, "metric").orderBy("step", "place")
+
+
 def missing_runs(
     found: DataFrame, repeats: int, steps: list[int] | None = None, save_freq: int | None = None
 ) -> DataFrame:

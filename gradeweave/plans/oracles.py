@@ -391,6 +391,10 @@ def oracle_sql():
         "extract_metrics": f"""{FILES}
             SELECT step, repeat_idx, metric, round(value, 9) AS value FROM value""",
         "sweep_summary": f"{METRIC} {SUMMARY} FROM metric GROUP BY 1, 2",
+        "summary_order": f"""{METRIC}, summary AS ({SUMMARY} FROM metric GROUP BY 1, 2),
+            shown AS (SELECT metric, CAST(row_number() OVER (ORDER BY metric) - 1 AS INT) AS place
+             FROM summary WHERE step = (SELECT min(step) FROM summary) QUALIFY place < 5)
+            SELECT step, place, metric, mean, stderr, n FROM summary JOIN shown USING (metric)""",
         "sweep_report": f"{FILES} {SUMMARY} FROM value GROUP BY 1, 2",
         "missing_runs": f"""{METRIC},
             grid AS (SELECT CAST(s AS INT) AS step, CAST(r AS INT) AS repeat_idx

@@ -498,6 +498,11 @@ def sweep_summary(spark, sf):
     return summary.select("step", "metric", rounded("mean"), rounded("stderr"), "n")
 
 
+def summary_order(spark, sf):
+    shown = sweep.shown_summary(sweep.sweep_summary(derived.metrics(spark, sf)))
+    return shown.select("step", "place", "metric", rounded("mean"), rounded("stderr"), "n")
+
+
 def missing_runs(spark, sf):
     found = derived.metrics(spark, sf).select("step", "repeat_idx").distinct()
     return sweep.missing_runs(found, repeats=12, save_freq=5)
@@ -571,6 +576,7 @@ ALL = (
     result_json_scan,
     extract_metrics,
     sweep_summary,
+    summary_order,
     sweep_report,
     missing_runs,
 )

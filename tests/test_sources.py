@@ -108,3 +108,14 @@ def test_scores_of_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     scores = {r.id: r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert scores == {0: 1.0, 1: -1.0}
+
+
+def test_shown_summary(spark):
+    """The first step decides what is shown: its preferred metrics, in their order."""
+    rows = [(20, "pass_at_1", 1.0), (10, "z", 1.0), (10, "pass_at_1", 2.0), (10, "accuracy", 3.0), (20, "z", 1.0)]
+    shown = sweep.shown_summary(spark.createDataFrame(rows, "step int, metric string, mean double"))
+    assert [tuple(r) for r in shown.select("step", "metric", "place").collect()] == [
+        (10, "accuracy", 0),
+        (10, "pass_at_1", 1),
+        (20, "pass_at_1", 1),
+    ]
