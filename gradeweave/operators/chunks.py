@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 4096
-SPLITTERS = 255
 
 
 def chunk_number(index: str, rows: int = CHUNK_ROWS):
@@ -50,13 +49,34 @@ def join_by_key(
     return copies.join(chunked, [key, "_chunk"], how).drop("_chunk")
 
 
-def dense_index(rows: DataFrame, key: str, index: str, name: str) -> DataFrame:
+def bounds_below(bounds: Column, value: Column, most: int) -> Column:
+    """How many of the sorted bounds, at most `most`, are not above the value; by halving."""
+
+    def halve(at, _):
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        open_ = at["low"] < at["high"]
+        up = open_ & (F.get(bounds, middle) <= value)
+        return F.struct(
+            F.when(up, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(open_ & ~up, middle).otherwise(at["high"]).alias("high"),
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high"))
+    steps = F.sequence(F.lit(0), F.lit(most.bit_length()))
+    return F.aggregate(steps, start, halve)["low"]
+
+
+def dense_index(
+    rows: DataFrame, key: str, index: str, name: str, ranges: int | None = None
+) -> DataFrame:
     """Number all rows 0, 1, 2, ... in the order of (key, index), without one big sort.
 
-    Rows are counted per (key, chunk); the counts are cut into ranges at a few keys
-    chosen by hash, summed within each range and shifted by the total of the ranges
-    before. Rows then only need their place inside their own chunk.
+    Rows are counted per (key, chunk); the counts are cut into ranges, as many as the
+    session has shuffle partitions, at keys chosen by hash, summed within each range and
+    shifted by the total of the ranges before. Rows then only need their place inside their
+    own chunk.
     """
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunked = rows.withColumn("_chunk", chunk_number(index))
     units = chunked.groupBy(key, "_chunk").agg(F.count("*").alias("_rows"))
     place = F.struct(key, "_chunk")
@@ -65,16 +85,16 @@ def dense_index(rows: DataFrame, key: str, index: str, name: str) -> DataFrame:
     bounds = (
         units.select(place.alias("place"))
         .orderBy(F.xxhash64("place"), "place")
-        .limit(SPLITTERS)
-        .agg(F.collect_list("place").alias("bounds"))
+        .limit(ranges - 1)
+        .agg(F.array_sort(F.collect_list("place")).alias("bounds"))
     ).scalar()
     # Never null, or joins on it would add a filter that runs for each row, not each unit.
-    below = F.size(F.filter("_bounds", lambda bound: bound <= place))
+    below = bounds_below(F.col("_bounds"), place, ranges)
     ranged = units.withColumn("_bounds", bounds).select(
         key, "_chunk", "_rows", F.coalesce(below, F.lit(0)).alias("_range")
     )
 
-    # At most SPLITTERS + 1 rows, so one task may hold them.
+    # A row per range, so one task may hold them.
     totals = ranged.groupBy("_range").agg(F.sum("_rows").alias("_n"))
     before_range = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(
@@ -87,7 +107,7 @@ def dense_index(rows: DataFrame, key: str, index: str, name: str) -> DataFrame:
     )
     offsets = (
         ranged.withColumn("_before", F.coalesce(F.sum("_rows").over(before_unit), F.lit(0)))
-        .join(F.broadcast(shifts), "_range")  # SPLITTERS + 1 rows at most
+        .join(F.broadcast(shifts), "_range")  # a row per range
         .select(key, "_chunk", (F.col("_shift") + F.col("_before")).alias("_offset"))
     )
     inside = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(index)) - 1

@@ -8,6 +8,9 @@ from ..functions import text
 from .chunks import CHUNK_ROWS, chunk_number, join_by_key
 from .rows import each
 
+# Samples per nested row: at 0.4 MB a text, the most a context window holds, about 100 MB.
+PART_ROWS = 256
+
 
 def attach_completions(
     problems: DataFrame, completions: DataFrame, chunk_rows: int = CHUNK_ROWS
@@ -29,24 +32,32 @@ def attach_completions(
     )
 
 
-def nest_samples(samples: DataFrame, part_rows: int = CHUNK_ROWS) -> DataFrame:
+def nest_samples(samples: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Arrays per problem: outputs, finish reasons and pass rates in sample order.
 
-    A problem with more than `part_rows` samples fills several rows, numbered by `part`;
-    problems of usual size fill one. A problem without samples gets empty arrays.
+    A problem whose sample numbers pass `part_rows` fills several rows, numbered by `part`;
+    problems of usual size fill one. Each row tells its problem's `n_parts` and the number
+    of its `first_sample`. A problem without samples gets empty arrays.
     """
     member = F.when(
         F.col("sample_idx").isNotNull(),
         F.struct("sample_idx", "output", "finish_reason", "pass_rate"),
     )
+    part = chunk_number("sample_idx", part_rows).alias("part")
     nested = (
-        samples.withColumn("part", chunk_number("sample_idx", part_rows))
+        samples.withColumn("part", part)
         .groupBy("problem_id", "part")
         .agg(F.array_sort(F.collect_list(member)).alias("members"))
     )
+    # Numbers only; the join is on the keys that the texts are grouped by already.
+    numbers = samples.select("problem_id", part).distinct()
+    last = numbers.groupBy("problem_id").agg((F.max("part") + 1).alias("n_parts"))
+    nested = nested.join(numbers.join(last, "problem_id"), ["problem_id", "part"])
     return nested.select(
         "problem_id",
         "part",
+        "n_parts",
+        (F.col("part") * part_rows).alias("first_sample"),
         F.col("members.output").alias(fx.OUTPUTS),
         F.col("members.finish_reason").alias(fx.FINISH_REASONS),
         F.col("members.pass_rate").alias(fx.PASS_RATES),
@@ -65,10 +76,13 @@ def paired(outputs: str = fx.OUTPUTS, rates: str = fx.PASS_RATES) -> Column:
     )
 
 
-def unnest_samples(generated: DataFrame, *keep: str, part_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Rows (sample_idx, output, pass_rate) of the nested table, after the `keep` columns."""
-    part = F.col("part") if "part" in generated.columns else F.lit(0)
-    numbered = generated.withColumn("_offset", part * part_rows)
+def unnest_samples(generated: DataFrame, *keep: str) -> DataFrame:
+    """Rows (sample_idx, output, pass_rate) of the nested table, after the `keep` columns.
+
+    Numbers go on from the row's stored `first_sample`; without one, from 0.
+    """
+    first = F.col("first_sample") if "first_sample" in generated.columns else F.lit(None)
+    numbered = generated.withColumn("_offset", F.coalesce(first, F.lit(0)))
     return each(numbered, [*keep, "_offset"], paired(), "_pos", "_pair").select(
         *keep,
         (F.col("_offset") + F.col("_pos")).cast("bigint").alias("sample_idx"),

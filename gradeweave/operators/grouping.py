@@ -15,9 +15,6 @@ from .chunks import CHUNK_ROWS, chunk_number, join_by_key
 from .completions import paired, unnest_samples
 from .rows import each, with_known
 
-# Ids, 8 bytes each, that a join may copy to every executor.
-BROADCAST_IDS = 100_000
-
 KEPT, ALL_CORRECT, ALL_WRONG, HIGH_RATIO = "kept", "all_correct", "all_wrong", "high_ratio"
 
 
@@ -215,6 +212,16 @@ def _known_pairs() -> Column:
     return F.when(F.col("prompt").isNotNull(), known)
 
 
+def _whole_pairs(generated: DataFrame) -> Column:
+    """`_known_pairs`, but running it fails on a row that holds only a part of its problem."""
+    pairs = _known_pairs()
+    if "n_parts" not in generated.columns:
+        return pairs
+    kind = "array<struct<output:string,pass_rate:double>>"
+    part = F.raise_error(F.lit("a problem in several rows: use candidate_groups_of_parts"))
+    return F.when(F.col("n_parts") > 1, part.cast(kind)).otherwise(pairs)
+
+
 def valid_candidates(generated: DataFrame) -> DataFrame:
     """Rows with at least one valid sample; `valid` is the array of (output, pass_rate)."""
     valid = let(_known_pairs(), lambda pairs: F.when(F.size(pairs) > 0, pairs))
@@ -250,9 +257,10 @@ def candidate_groups_nested(
     """As `candidate_groups`, from one row per problem; no shuffle at all.
 
     `keep` names the problem's columns that each group repeats. The rows must hold whole
-    problems; see `candidate_groups_of_parts` for tables where one may fill several rows.
+    problems, which is checked where the table tells `n_parts`; see
+    `candidate_groups_of_parts` for tables where one may fill several rows.
     """
-    found = let(_known_pairs(), lambda pairs: _mixed_groups(pairs, group_size, max_pass_ratio))
+    found = let(_whole_pairs(generated), lambda pairs: _mixed_groups(pairs, group_size, max_pass_ratio))
     groups = each(generated, keep, found, "_pos", "_group").select(
         *keep,
         F.col("_group.group_idx").cast("bigint").alias("group_idx"),
@@ -262,57 +270,37 @@ def candidate_groups_nested(
     return _finish(groups)
 
 
-def in_several_parts(generated: DataFrame) -> DataFrame:
-    """Ids of the problems that fill more than one row. Usually none: the filter is on a
-    stored column, so the scan skips what has only first parts."""
-    return generated.where(F.col("part") > 0).select("problem_id").distinct()
-
-
-def by_parts(generated: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The rows that hold whole problems, and those that hold parts of one (None if none).
-
-    Counts the ids of the latter, up to a bound, to choose how to look them up.
-    """
-    several = in_several_parts(generated)
-    n = several.limit(BROADCAST_IDS + 1).count()
-    if n == 0:
-        return generated, None
-    if n <= BROADCAST_IDS:
-        several = F.broadcast(several)
-    return (
-        generated.join(several, "problem_id", "left_anti"),
-        generated.join(several, "problem_id", "left_semi"),
-    )
-
-
 def candidate_groups_of_parts(
     generated: DataFrame,
     group_size: int = fx.GROUP_SIZE,
     max_pass_ratio: float = fx.MAX_PASS_RATIO,
-    part_rows: int = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Groups (problem_id, canonical_id, prompt, group_idx, ...) and outcomes of a nested table with
-    `problem_id` and `part`.
+    `problem_id`, `part`, `n_parts` and `first_sample`.
 
-    Whole problems are grouped inside their row, without a shuffle; the few that fill
-    several rows go through the long form.
+    Whole problems are grouped inside their row, without a shuffle; those that fill several
+    rows go through the long form. A stored column tells them apart, so both are filters of
+    the scan; where no problem has parts, the second one reads no row.
     """
     keep = ("problem_id", "canonical_id", "prompt")
     names = (*keep, "group_idx", "candidates", "pass_rates", "candidates_code")
-    whole, parts = by_parts(generated)
+    several = F.coalesce(F.col("n_parts"), F.lit(1)) > 1
+    whole, parts = generated.where(~several), generated.where(F.col("n_parts") > 1)
     groups = candidate_groups_nested(
-        whole, *keep, group_size=group_size, max_pass_ratio=max_pass_ratio
-    ).select(*names)
-    outcomes = nested_outcomes(whole, group_size, max_pass_ratio).select("drop_reason")
-    if parts is None:
-        return groups, outcomes
+        whole.drop("n_parts"), *keep, group_size=group_size, max_pass_ratio=max_pass_ratio
+    )
+    outcomes = nested_outcomes(whole.drop("n_parts"), group_size, max_pass_ratio)
     usable = parts.where(F.col("prompt").isNotNull())
-    long = unnest_samples(usable, "problem_id", part_rows=part_rows)
-    problems = usable.where(F.col("part") == 0).select("problem_id", "canonical_id", "prompt")
-    made = candidate_groups(long, group_size, max_pass_ratio, part_rows)
-    more = with_problems(made, problems, long, group_size, part_rows)
+    long = unnest_samples(usable, "problem_id")
+    problems = usable.where(F.col("part") == 0).select(*keep)
+    made = candidate_groups(long, group_size, max_pass_ratio, chunk_rows)
+    more = with_problems(made, problems, long, group_size, chunk_rows)
     reasons = problem_outcomes(long, max_pass_ratio).select("drop_reason")
-    return groups.unionByName(more.select(*names)), outcomes.unionByName(reasons)
+    return (
+        groups.select(*names).unionByName(more.select(*names)),
+        outcomes.select("drop_reason").unionByName(reasons),
+    )
 
 
 def nested_outcomes(
@@ -322,7 +310,7 @@ def nested_outcomes(
 ) -> DataFrame:
     """Per problem with a valid sample: the drop reason and the number of mixed groups."""
     outcome = let(
-        _known_pairs(),
+        _whole_pairs(generated),
         lambda pairs: F.when(
             F.size(pairs) > 0,
             F.struct(

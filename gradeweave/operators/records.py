@@ -9,7 +9,8 @@ from ..functions import text
 from .chunks import dense_index
 
 TRAIN, TEST = "train", "test"
-HASH_PREFIX = 4
+#: Hash digits that a step of the split counts by: at most 65,536 counts.
+DIGITS = 4
 
 
 def array_or_json(df: DataFrame, name: str, element: str) -> Column:
@@ -97,6 +98,22 @@ def shuffle_key(keys, seed: int = fx.SPLIT_SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+def _edge(hashes: DataFrame, digits: int, place: Column) -> Column:
+    """The prefix that holds the hash with `place` others before it, and its place inside.
+
+    At most 16 ** DIGITS counts come to one task, however many hashes there are.
+    """
+    counts = hashes.groupBy(F.substring("h", 1, digits).alias("prefix")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(
+        "prefix", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), place.alias("place")
+    )
+    found = placed.where(F.col("before") + F.col("n") > F.col("place")).agg(
+        F.min(F.struct("prefix", (F.col("place") - F.col("before")).alias("inside"))).alias("edge")
+    )
+    return found.scalar()
+
+
 def train_val_split(
     rows: DataFrame,
     val_ratio: float = fx.VAL_RATIO,
@@ -107,34 +124,24 @@ def train_val_split(
 
     The units are rows, told apart by (problem_id, group_idx); with by='problem' they are
     problems, so that no problem is on both sides. Only the first hash of the validation
-    part has to be found: counts per hash prefix say in which prefix it lies, and only
-    that prefix is ranked. Whole rows are labelled by a comparison and never shuffled.
+    part has to be found: counts per hash prefix say in which prefix it lies, counts per
+    longer prefix where in that, and only what is left is ranked, one of 16 ** 8 parts.
+    Whole rows are labelled by a comparison and never shuffled.
     """
     keys = ("problem_id",) if by == "problem" else ("problem_id", "group_idx")
     key = shuffle_key(keys, seed)
     units = rows.select(*keys).distinct() if by == "problem" else rows
-    hashes = units.select(key.alias("h")).withColumn("prefix", F.substring("h", 1, HASH_PREFIX))
-
-    # At most 16 ** HASH_PREFIX rows from here on, however many units there are.
-    counts = hashes.groupBy("prefix").agg(F.count("*").alias("n"))
-    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.select(
-        "prefix",
-        "n",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
-        F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(1 - val_ratio)).alias("n_train"),
-    )
-    edge = placed.where(F.col("before") + F.col("n") > F.col("n_train")).agg(
-        F.min(F.struct("prefix", (F.col("n_train") - F.col("before")).alias("inside"))).alias("e")
-    )
-    edge_prefix = edge.select("e.prefix").scalar()
-    edge_place = edge.select("e.inside").scalar()
+    hashes = units.select(key.alias("h"))
 
+    whole = F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(1 - val_ratio))
+    first = _edge(hashes, DIGITS, whole)
+    near = hashes.where(F.substring("h", 1, DIGITS) == first["prefix"])
+    edge = _edge(near, 2 * DIGITS, first["inside"])
     order = Window.orderBy("h")
     first_val = (
-        hashes.where(F.col("prefix") == edge_prefix)
+        near.where(F.substring("h", 1, 2 * DIGITS) == edge["prefix"])
         .select("h", F.row_number().over(order).alias("i"), F.lag("h").over(order).alias("last"))
-        .where(F.col("i") == edge_place + 1)
+        .where(F.col("i") == edge["inside"] + 1)
         .select(
             F.when(F.col("last") == F.col("h"), F.raise_error(F.lit("split keys are not unique")))
             .otherwise(F.col("h"))

@@ -29,12 +29,15 @@ def metric_object(document: Column) -> Column:
             F.arrays_overlap(F.map_keys(top), flat_keys), body
         )
 
-    # Text after the closing brace would be overlooked by the parser; that is no JSON.
+    def one_object(body):
+        # What follows the first value would be overlooked; in a list it is a second item, or no JSON.
+        listed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")
+        return F.when(body.startswith("{") & (F.size(listed) == 1), body)
+
     return let(
         strip(document),
         lambda body: let(
-            F.from_json(F.when(body.endswith("}"), body), "map<string,string>"),
-            lambda top: pick(body, top),
+            F.from_json(one_object(body), "map<string,string>"), lambda top: pick(body, top)
         ),
     )
 
@@ -47,13 +50,20 @@ def run_documents(files: DataFrame) -> DataFrame:
 
 def metric_values(runs: DataFrame) -> DataFrame:
     """One row (step, repeat_idx, metric, value) per numeric metric; names with a leading
-    underscore are left out and booleans count as 0 or 1."""
+    underscore are left out and booleans count as 0 or 1. Of a name that comes twice in a
+    document, the last value counts."""
     kind = F.schema_of_variant("item")
+    items = F.map_entries(F.from_json("metrics", "map<string,variant>"))
+
+    def last_of_name(items):
+        names = F.transform(items, lambda item: item["key"])
+        later = lambda item, i: F.slice(names, i + 2, F.size(names))
+        return F.filter(items, lambda item, i: ~F.array_contains(later(item, i), item["key"]))
+
     return (
-        runs.select(
-            "step",
-            "repeat_idx",
-            F.explode(F.from_json("metrics", "map<string,variant>")).alias("metric", "item"),
+        runs.select("step", "repeat_idx", F.explode(let(items, last_of_name)).alias("entry"))
+        .select(
+            "step", "repeat_idx", F.col("entry.key").alias("metric"), F.col("entry.value").alias("item")
         )
         .where(~F.col("metric").startswith("_") & kind.rlike(NUMERIC_TYPES))
         .select(

@@ -1,7 +1,7 @@
 """The library's tables, derived row by row from the given ones.
 
-At scale no derivation needs a shuffle except `metrics`, which averages before it shuffles;
-`spread` shuffles only inputs of few splits.
+At scale no derivation needs a shuffle except `metrics`, which averages before it shuffles.
+The given test tables are one row group, so one split, each: `spread` is for these alone.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions import text
-from ..sources.tables import spread
+from ..operators.verification import execution_worklist
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """The table over the session's shuffle partitions, as a table of several splits would be."""
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(parts, key)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +136,35 @@ def tested_problems(spark, sf_dir):
     )
 
 
+def raw_problems(spark, sf_dir):
+    """Documents as problems before any preparation, with the tests of `tested_problems`."""
+    return tested_problems(spark, sf_dir).selectExpr(
+        "problem_id",
+        "concat('d-', problem_id) AS canonical_id",
+        """named_struct('raw_text', prompt, 'input_format', '', 'output_format', '', 'notes', '',
+            'samples', CAST(array() AS array<struct<input:string,output:string,explanation:string>>))
+            AS statement""",
+        "CASE WHEN problem_id % 3 = 0 THEN 'def solve(a):' END AS starter_code",
+        "CASE WHEN problem_id % 3 = 0 THEN 'function' END AS problem_type",
+        "test_suites",
+    )
+
+
+def stage_runs(spark, sf_dir):
+    """What a runner returns for the work list: every second sample passes, the others in part."""
+    work = execution_worklist(completions(spark, sf_dir), tested_problems(spark, sf_dir))
+    right = "(problem_id + sample_idx) % 4 < 2 OR (problem_id + sample_idx + test_idx) % 7 < 3"
+    return work.selectExpr(
+        "problem_id",
+        "sample_idx",
+        "test_idx",
+        "200 AS status",
+        f"CASE WHEN {right} THEN concat(expected_output, '\\n') ELSE '?' END AS stdout",
+        "0 AS exit_code",
+        "false AS timed_out",
+    )
+
+
 def _runs(spark, sf_dir):
     # Price in cents after the order's number tells the tests of one sample apart.
     lines = spread(load(spark, sf_dir, "lineitem"), "l_orderkey")

@@ -7,10 +7,11 @@ from .. import fixed_values as fx
 from ..functions import text
 from ..operators import completions as C
 from ..operators import grouping as G
+from ..operators import problems as P
 from ..operators import records as R
 from ..operators import sweep as S
 from ..operators import verification as V
-from ..operators.chunks import join_by_key
+from ..operators.chunks import chunk_number, join_by_key
 from ..sources import results, tables
 
 
@@ -37,8 +38,34 @@ def verified_samples(
 
 def generated_table(asked: DataFrame, samples: DataFrame) -> DataFrame:
     """The nested table: problem columns beside the arrays of its samples."""
-    # A part is a long row already, so a task gets few of one problem's.
-    return join_by_key(C.nest_samples(samples), asked, "problem_id", "part", chunk_rows=8)
+    nested = C.nest_samples(samples)
+    # A part is a long row already, so each meets its problem's copy in a place of its own.
+    parts = samples.select("problem_id", chunk_number("sample_idx", C.PART_ROWS).alias("part"))
+    return join_by_key(nested, asked, "problem_id", "part", chunk_rows=1, numbering=parts)
+
+
+def generate_job(
+    problems: DataFrame,
+    completions: DataFrame,
+    executions: DataFrame | None,
+    folder: str,
+    model: str,
+    max_tokens: int = fx.MAX_TOKENS,
+    max_tests: int | None = None,
+) -> str:
+    """Write `train-000.parquet` from raw problems and what came back for their prompts.
+
+    problems: (problem_id, canonical_id, statement, starter_code, problem_type, test_suites).
+    Without `executions` nothing is verified, and all pass rates are null.
+    """
+    asked = P.with_prompts(problems, model, max_tokens)
+    if executions is None:
+        samples = C.attach_completions(asked.select("problem_id", "over_budget"), completions)
+        samples = samples.withColumn("pass_rate", F.lit(None).cast("double"))
+    else:
+        narrow = asked.select("problem_id", "over_budget", "test_suites", "function_name")
+        samples = verified_samples(narrow, completions, executions, max_tests)
+    return tables.write_generated(generated_table(asked, samples), folder)
 
 
 def group_job(
@@ -47,8 +74,9 @@ def group_job(
     target: str,
     group_size: int = fx.GROUP_SIZE,
     max_pass_ratio: float = fx.MAX_PASS_RATIO,
-) -> tuple[str, DataFrame]:
-    """Read `train-*.parquet`, write the groups; returns their path and the statistics."""
+) -> tuple[str, DataFrame, DataFrame]:
+    """Read `train-*.parquet`, write the groups; returns their path, the statistics, and one
+    row that tells how many of the rows read lack a column that grouping needs."""
     generated = tables.read_generated(spark, folder)
     groups, outcomes = G.candidate_groups_of_parts(generated, group_size, max_pass_ratio)
     path = tables.write_groups(
@@ -56,19 +84,24 @@ def group_job(
         target,
         group_size,
     )
-    return path, G.grouping_stats(outcomes, tables.read_table(spark, path))
+    stats = G.grouping_stats(outcomes, tables.read_table(spark, path))
+    return path, stats, tables.unusable_rows(generated)
 
 
 def record_job(
-    groups: DataFrame,
+    spark: SparkSession,
+    path: str,
     target: str,
     val_ratio: float = fx.VAL_RATIO,
     seed: int = fx.SPLIT_SEED,
     by: str = "group",
 ) -> str:
-    """Write the records of groups (problem_id, group_idx, prompt, ...) by split side."""
+    """Read the groups that `group_job` wrote, write their records by split side."""
+    groups = tables.read_table(spark, path)
     # The split is a comparison on the stored keys; done first, it runs on the scan alone.
     labelled = R.train_val_split(R.read_groups_columns(groups), val_ratio, seed, by)
+    # Rows are stored in an order of their own, or a problem's would be one task's.
+    labelled = labelled.withColumn("shuffle_key", R.shuffle_key(("problem_id", "group_idx"), seed))
     records = R.training_records(R.record_index(labelled), "shuffle_key", "split")
     return tables.write_split(records, target)
 

@@ -171,6 +171,23 @@ problem AS (
   CASE WHEN doc_id % 3 = 0 THEN 'solve' END AS function_name FROM documents)
 """
 
+# Raw problems through the three stages.
+STAGES = f"""{TESTS}, {COMPLETION},
+raw AS (
+ SELECT doc_id AS problem_id, text, CASE WHEN doc_id % 3 = 0 THEN 'def solve(a):' END AS starter_code,
+  CASE WHEN doc_id % 3 = 0 THEN 'function' ELSE 'stdin' END AS problem_type FROM documents),
+asked AS (
+ SELECT *, CASE WHEN text <> '' THEN 'Problem:' || chr(10) || text ELSE '' END
+  || CASE WHEN starter_code IS NULL THEN '' ELSE chr(10) || 'Starter Code:' || chr(10) || '```python'
+   || chr(10) || starter_code || chr(10) || '```' || chr(10) END AS question FROM raw),
+sent AS (SELECT problem_id, floor(length({generation_text("false")}) / 3) > 1600 AS over_budget FROM asked),
+taken AS (SELECT c.* FROM completion c JOIN sent USING (problem_id) WHERE NOT over_budget),
+rate AS (
+ SELECT problem_id, sample_idx, avg(CASE WHEN (problem_id + sample_idx) % 4 < 2
+   OR (problem_id + sample_idx + test_idx) % 7 < 3 THEN 1.0E0 ELSE 0.0E0 END) AS pass_rate
+ FROM taken JOIN test USING (problem_id) WHERE code IS NOT NULL GROUP BY 1, 2)
+"""
+
 RUNS = """
 WITH run AS (
  SELECT l_partkey AS problem_id, CAST(l_linenumber AS BIGINT) AS sample_idx,
@@ -376,6 +393,21 @@ def oracle_sql():
         "split_counts": f"{groups} SELECT split, count(*) AS n FROM labelled GROUP BY split",
         "group_and_split": f"""{groups} SELECT index, split, ground_truth, length(content) AS n_chars
             FROM labelled""",
+        "problems_to_records": f"""{STAGES},
+            valid AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY sample_idx) - 1 AS position,
+              count(*) OVER w AS n, min(pass_rate) OVER w AS lo, max(pass_rate) OVER w AS hi
+             FROM rate WINDOW w AS (PARTITION BY problem_id)),
+            grp AS (SELECT problem_id, CAST(position // 2 AS BIGINT) AS group_idx, sum(pass_rate) AS total
+             FROM valid WHERE NOT (lo = 1 AND hi = 1) AND NOT (lo = 0 AND hi = 0) GROUP BY 1, 2
+             HAVING count(*) = 2 AND max(pass_rate) = 1 AND min(pass_rate) < 1)
+            SELECT row_number() OVER (ORDER BY problem_id, group_idx) - 1 AS index,
+             CASE WHEN row_number() OVER (ORDER BY md5('42|' || problem_id || '|' || group_idx))
+              <= floor(count(*) OVER () * (1 - 0.3E0)) THEN 'train' ELSE 'test' END AS split,
+             2 AS n_candidates, round(total, 9) AS sum_rates FROM grp""",
+        "generate_unverified": f"""{STAGES}
+            SELECT s.problem_id, 'd-' || s.problem_id AS canonical_id, CAST(1 AS BIGINT) AS n_parts,
+             count(t.sample_idx) AS n_outputs, CAST(0 AS BIGINT) AS n_rated
+            FROM sent s LEFT JOIN taken t USING (problem_id) GROUP BY s.problem_id""",
         "scan_required_columns": f"""{SAMPLE}
             SELECT CASE WHEN problem_id % 3 = 0 THEN any_value(canonical_id) END AS canonical_id,
              any_value(prompt) AS prompt, CAST(count(*) AS INT) AS n_valid FROM valid

@@ -389,7 +389,9 @@ def split_counts(spark, sf):
 def group_and_split(spark, sf):
     """The second stage end to end: write groups, write records, read those back."""
     folder = scratch_path(spark, "records")
-    path = jobs.record_job(_stored_groups(spark, sf), folder)
+    tables.write_generated(derived.generated(spark, sf), folder)
+    path, _, _ = jobs.group_job(spark, folder, folder)
+    path = jobs.record_job(spark, path, folder)
     return tables.read_table(spark, path).select(
         F.col("extra_info.index").alias("index"),
         "split",
@@ -402,10 +404,45 @@ def grouped_table(spark, sf):
     """Write the nested table, run the grouping job on it, and read its statistics."""
     folder = scratch_path(spark, "groups")
     tables.write_generated(derived.generated(spark, sf), folder)
-    _, stats = jobs.group_job(spark, folder, folder)
+    _, stats, _ = jobs.group_job(spark, folder, folder)
     return stats.select("total_queries", "all_correct", "all_wrong", "remaining", "total_groups")
 
 
+def problems_to_records(spark, sf):
+    """The three jobs in a row: raw problems to nested samples, groups of two, and records."""
+    folder = scratch_path(spark, "stages")
+    problems = derived.raw_problems(spark, sf)
+    completions = derived.completions(spark, sf)
+    jobs.generate_job(
+        problems, completions, derived.stage_runs(spark, sf), folder, "m-instruct-1", SMALL_CONTEXT
+    )
+    path, _, _ = jobs.group_job(spark, folder, folder, group_size=2)
+    records = tables.read_table(spark, jobs.record_job(spark, path, folder, val_ratio=0.3))
+    rates = F.from_json("reward_model.ground_truth", "array<double>")
+    return records.select(
+        F.col("extra_info.index").alias("index"),
+        "split",
+        F.col("extra_info.n_candidates").alias("n_candidates"),
+        F.round(F.aggregate(rates, F.lit(0.0), lambda total, r: total + r), 9).alias("sum_rates"),
+    )
+
+
+def generate_unverified(spark, sf):
+    """The first job without a runner: every sample is kept, no pass rate is known."""
+    folder = scratch_path(spark, "unverified")
+    problems = derived.raw_problems(spark, sf)
+    completions = derived.completions(spark, sf)
+    jobs.generate_job(problems, completions, None, folder, "m-instruct-1", SMALL_CONTEXT)
+    known = F.filter(fx.PASS_RATES, lambda r: r.isNotNull())
+    return tables.read_generated(spark, folder).select(
+        "problem_id",
+        "canonical_id",
+        "n_parts",
+        F.size(fx.OUTPUTS).cast("bigint").alias("n_outputs"),
+        F.size(known).cast("bigint").alias("n_rated"),
+    )
+
+
 # --- scores
 
 
@@ -571,6 +608,8 @@ ALL = (
     train_val_split_by_problem,
     split_counts,
     group_and_split,
+    problems_to_records,
+    generate_unverified,
     scan_required_columns,
     json_array_column,
     result_json_scan,

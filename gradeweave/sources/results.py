@@ -1,5 +1,8 @@
 """Evaluation result files and the sweep's summary files."""
 
+import re
+from urllib.parse import quote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,18 +10,27 @@ from ..operators.sweep import nested_summary
 
 SUMMARY = "step int, metric string, mean double, stderr double, n bigint"
 RUN_FOLDER = r"/step[_=](\d+)/repeat[_=](\d+)/"
+#: Characters that a file's address keeps as they are.
+PLAIN = "/:@!$&'()*+,;=~"
 
 
 def read_result_files(spark: SparkSession, root: str, names: str = "*.json") -> DataFrame:
-    """All result files below `step_S/repeat_R` folders: (step, repeat_idx, path, value)."""
+    """All result files at any depth below `root/step_S/repeat_R`: (step, repeat_idx, path, value).
+
+    Spark's file sources pass over names that begin with `_` or `.`.
+    """
     files = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", names)
         .text(root, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
-    run = [F.regexp_extract("path", RUN_FOLDER, i) for i in (1, 2)]
-    return files.where(F.col("path").rlike(RUN_FOLDER)).select(
+    # Run folders further down, of another sweep kept below this one, are not this one's.
+    base = quote(urlparse(root).path.rstrip("/"), PLAIN)
+    start = "^[a-z0-9+.-]+:(?://[^/]*)?" if base.startswith("/") or not base else "^.*/"
+    anchored = start + re.escape(base) + RUN_FOLDER
+    run = [F.regexp_extract("path", anchored, i) for i in (1, 2)]
+    return files.where(F.col("path").rlike(anchored)).select(
         run[0].cast("int").alias("step"), run[1].cast("int").alias("repeat_idx"), "path", "value"
     )
 

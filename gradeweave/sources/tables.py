@@ -15,25 +15,16 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """The table over all cores, for costly work on an input of few splits.
-
-    A large input has more splits than there are cores and is left alone; the check reads
-    no data.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
-
-
 def read_generated(spark: SparkSession, folder: str) -> DataFrame:
     """The columns grouping needs, of the folder's `train-*.parquet` only.
 
     A file that lacks one of them gives nulls for it (the schema is fixed, so no footer
     is merged), and `valid_candidates` then drops its rows; without `canonical_id`, or
-    the numbers of problem and part, the rows stay.
+    the numbers of problem and parts, the rows stay, as whole problems.
     """
     schema = (
-        f"problem_id bigint, part bigint, canonical_id string, prompt string, {fx.OUTPUTS} array<string>, "
+        f"problem_id bigint, part bigint, n_parts bigint, first_sample bigint, canonical_id string, prompt string, "
+        f"{fx.OUTPUTS} array<string>, "
         f"{fx.PASS_RATES} array<double>"
     )
     return spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{GENERATED_GLOB}")

@@ -95,17 +95,19 @@ def test_problems_in_several_parts(spark):
         nested.select("problem_id", "canonical_id", "prompt"), "problem_id"
     )
     assert parted.agg(F.max("part")).first()[0] > 2
-    for bound in (100, 1):  # ids looked up by broadcast, and beyond that by a plain join
-        G.BROADCAST_IDS, kept = bound, G.BROADCAST_IDS
-        try:
-            made, outcomes = G.candidate_groups_of_parts(parted, part_rows=9)
-        finally:
-            G.BROADCAST_IDS = kept
+    assert parted.agg(F.max("n_parts")).first()[0] == parted.agg(F.max("part")).first()[0] + 1
+    for chunk_rows in (3, 9, 4096):
+        made, outcomes = G.candidate_groups_of_parts(parted, chunk_rows=chunk_rows)
         got = {
             (int(r.prompt[1:]), r.group_idx): (r.candidates, r.pass_rates) for r in made.collect()
         }
         assert got == groups
         assert sorted(r.drop_reason for r in outcomes.collect()) == sorted(reasons.values())
+    # What works on whole problems only does not take parts for them.
+    for refused in (G.candidate_groups_nested(parted, "problem_id"), G.nested_outcomes(parted)):
+        with pytest.raises(Exception, match="several rows"):
+            refused.collect()
+    assert found(G.candidate_groups_nested(parted.where("n_parts = 1"), "problem_id"))
 
 
 def test_small_example(spark):
@@ -149,7 +151,7 @@ def test_nest_and_unnest(spark):
     nested = C.nest_samples(long, part_rows=5)
     shape = {(r.problem_id, r.part): len(r[fx.OUTPUTS]) for r in nested.collect()}
     assert shape == {(1, 0): 5, (1, 1): 2, (2, 0): 5, (2, 1): 5, (2, 2): 4, (3, 0): 0}
-    back = C.unnest_samples(nested, "problem_id", part_rows=5)
+    back = C.unnest_samples(nested, "problem_id")
     key = ["problem_id", "sample_idx", "output", "pass_rate"]
     whole = long.where(F.col("sample_idx").isNotNull()).select(key)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)

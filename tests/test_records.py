@@ -26,12 +26,12 @@ def test_index_is_dense_and_ordered(spark):
     assert [r["index"] for r in out] == list(range(257))
 
 
-def test_index_over_many_ranges_and_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("ranges", [1, 2, 6, 64, 1000])
+def test_index_over_many_ranges_and_chunks(spark, monkeypatch, ranges):
     from gradeweave.operators import chunks
 
-    monkeypatch.setattr(chunks, "SPLITTERS", 5)
     monkeypatch.setattr(chunks.chunk_number, "__defaults__", (8,))
-    out = chunks.dense_index(group_table(spark), "problem_id", "group_idx", "index")
+    out = chunks.dense_index(group_table(spark), "problem_id", "group_idx", "index", ranges)
     rows = out.orderBy("problem_id", "group_idx").collect()
     assert [r["index"] for r in rows] == list(range(257))
 
@@ -84,7 +84,8 @@ def test_array_or_json(spark):
 
 
 def test_record_job_writes_shuffled_sides(spark, tmp_path):
-    path = jobs.record_job(group_table(spark), str(tmp_path), val_ratio=0.25)
+    stored = tables.write_groups(group_table(spark), str(tmp_path))
+    path = jobs.record_job(spark, stored, str(tmp_path), val_ratio=0.25)
     out = tables.read_table(spark, path)
     counts = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
     assert counts == {"train": 192, "test": 65}

@@ -22,7 +22,7 @@ def test_required_and_optional_columns(spark, tmp_path):
         tables.write_generated(full.drop(gone), folder, part)
     full.write.parquet(f"{folder}/test-000.parquet")
     read = tables.read_generated(spark, folder)
-    assert read.columns == ["problem_id", "part", "canonical_id", "prompt", fx.OUTPUTS, fx.PASS_RATES]
+    assert read.columns == ["problem_id", "part", "n_parts", "first_sample", "canonical_id", "prompt", fx.OUTPUTS, fx.PASS_RATES]
     usable = G.valid_candidates(read).select("canonical_id").collect()
     assert sorted((r.canonical_id or "-") for r in usable) == ["-", "c"]
     assert tables.unusable_rows(read).first()[:] == (1, 1, 1)
@@ -39,7 +39,8 @@ def test_group_job(spark, tmp_path):
         rows, f"canonical_id string, prompt string, {fx.OUTPUTS} array<string>, {fx.PASS_RATES} array<double>"
     )
     tables.write_generated(table, str(tmp_path))
-    path, stats = jobs.group_job(spark, str(tmp_path), str(tmp_path), group_size=2)
+    path, stats, unusable = jobs.group_job(spark, str(tmp_path), str(tmp_path), group_size=2)
+    assert unusable.first()[:] == (0, 0, 0)
     assert path.endswith("processed_train_n2.parquet")
     assert stats.select("total_queries", "all_correct", "remaining", "total_groups").first()[:] == (5, 1, 4, 16)
     columns = ["problem_id", "group_idx", "canonical_id", "prompt", "candidates", "candidates_code", "pass_rates"]
@@ -54,8 +55,8 @@ def test_group_job_feeds_record_job(spark, tmp_path):
         f"{fx.OUTPUTS} array<string>, {fx.PASS_RATES} array<double>",
     )
     tables.write_generated(table, str(tmp_path))
-    path, _ = jobs.group_job(spark, str(tmp_path), str(tmp_path))
-    written = jobs.record_job(spark.read.parquet(path), str(tmp_path / "records"), by="group")
+    path, _, _ = jobs.group_job(spark, str(tmp_path), str(tmp_path))
+    written = jobs.record_job(spark, path, str(tmp_path / "records"), by="group")
     assert spark.read.parquet(written).count() == 10
 
 
@@ -72,6 +73,10 @@ RESULTS = {
     "step_30/repeat_1/a.json": '{"accuracy": 1} {"accuracy": 2',
     "step_30/repeat_1/skip.txt": '{"accuracy": 1}',
     "other/a.json": {"accuracy": 1},
+    "old/step_10/repeat_0/a.json": {"accuracy": 5},
+    "step_40/repeat_0/a.json": '{"accuracy": 1} {"b": 2}',
+    "step_40/repeat_0/b.json": '{"accuracy": 1}, {"b": 2}',
+    "step_40/repeat_1/a.json": '{"accuracy": 3, "accuracy": 2}',
 }
 
 
@@ -86,6 +91,7 @@ def test_sweep_from_files(spark, tmp_path):
         (10, "acc"): (1.5, pytest.approx(0.5 / math.sqrt(2)), 2),
         (10, "ok"): (0.5, pytest.approx(0.5 / math.sqrt(2)), 2),
         (20, "pass_at_1"): (0.25, 0.0, 1),
+        (40, "accuracy"): (2.0, 0.0, 1),
     }
     nested = spark.read.json(str(tmp_path / "out" / "sweep_results_by_step.json")).collect()
     by_step = {r.step: {k: v.asDict() for k, v in r.metrics.asDict().items() if v} for r in nested}
@@ -95,7 +101,8 @@ def test_sweep_from_files(spark, tmp_path):
     missing = sweep.missing_runs(found, repeats=2, steps=[10, 20, 30])
     assert sorted(map(tuple, missing.collect())) == [(20, 1), (30, 0), (30, 1)]
     by_freq = sweep.missing_runs(found, repeats=1, save_freq=4)
-    assert sorted(r.step for r in by_freq.collect()) == [4, 8, 12, 16]
+    assert sorted(r.step for r in by_freq.collect()) == [4, 8, 12, 16, 24, 28, 32, 36, 40]
+    assert sweep.missing_runs(found, repeats=0, steps=[10]).count() == 0
 
 
 def test_scores_of_a_stream(spark, tmp_path):
