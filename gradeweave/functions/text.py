@@ -97,6 +97,27 @@ def _longest_match(text: Column, pattern: str) -> Column:
     return strip(F.array_max(ranked)["body"])
 
 
+def python_literal(text: Column) -> Column:
+    """The text as a Python string literal: what JSON writes for it is one."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def call_program(code: Column, function_name: Column, given: Column) -> Column:
+    """The code, followed by a call of its function with the lines of the input.
+
+    The function may also read the input from stdin; what it returns, unless None, is printed.
+    """
+    return F.concat(
+        code,
+        F.lit("\n\nimport io, sys\n_given = "),
+        python_literal(given),
+        F.lit("\nsys.stdin = io.StringIO(_given)\n_returned = "),
+        function_name,
+        F.lit("(*_given.strip().split(chr(10)))\nif _returned is not None:\n    print(_returned)\n"),
+    )
+
+
 def extract_code(text: Column, empty_is_none: bool = False) -> Column:
     """Code in the text's fences: tagged ones first, else bare ones, else null.
 

@@ -46,6 +46,21 @@ def execution_worklist(
     )
 
 
+def with_programs(worklist: DataFrame) -> DataFrame:
+    """Add what a runner executes: `program`, and its `stdin`.
+
+    A problem with a function name has the call and the input in its program, and no stdin.
+    """
+    calls = F.col("function_name").isNotNull()
+    called = text.call_program(F.col("code"), F.col("function_name"), F.col("input"))
+    return worklist.withColumns(
+        {
+            "program": F.when(calls, called).otherwise(F.col("code")),
+            "stdin": F.when(calls, F.lit("")).otherwise(F.col("input")),
+        }
+    )
+
+
 def run_passed(expected: Column) -> Column:
     """Did the run succeed and print what was expected? Never null."""
     ok = (

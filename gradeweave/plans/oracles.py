@@ -323,6 +323,15 @@ def oracle_sql():
             SELECT problem_id, sample_idx, test_idx, code, function_name, input, expected_output
             FROM completion JOIN problem USING (problem_id) JOIN test USING (problem_id)
             WHERE code IS NOT NULL""",
+        "execution_programs": f"""{TESTS}, {COMPLETION}
+            SELECT problem_id, sample_idx, test_idx, md5(CASE WHEN function_name IS NULL THEN code ELSE
+             code || chr(10) || chr(10) || 'import io, sys' || chr(10) || '_given = ' || CAST(to_json(input) AS VARCHAR)
+             || chr(10) || 'sys.stdin = io.StringIO(_given)' || chr(10) || '_returned = ' || function_name
+             || '(*_given.strip().split(chr(10)))' || chr(10) || 'if _returned is not None:' || chr(10)
+             || '    print(_returned)' || chr(10) END) AS program_md5,
+             CASE WHEN function_name IS NULL THEN input ELSE '' END AS stdin
+            FROM completion JOIN problem USING (problem_id) JOIN test USING (problem_id)
+            WHERE code IS NOT NULL""",
         "attach_completions": f"""WITH {COMPLETION}
             SELECT p.problem_id, coalesce(c.sample_idx, -1) AS sample_idx, c.output, c.finish_reason, p.over_budget
             FROM problem p LEFT JOIN completion c ON p.problem_id = c.problem_id AND NOT p.over_budget""",

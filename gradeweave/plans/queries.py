@@ -193,6 +193,12 @@ def execution_worklist(spark, sf):
     )
 
 
+def execution_programs(spark, sf):
+    """The work list as programs: function problems with the call and the input built in."""
+    programs = V.with_programs(execution_worklist(spark, sf))
+    return programs.select(*V.RUN, F.md5("program").alias("program_md5"), "stdin")
+
+
 def verify_join(spark, sf):
     return V.verify(derived.worklist(spark, sf), derived.executions(spark, sf))
 
@@ -576,6 +582,7 @@ ALL = (
     verification_counts,
     flatten_test_cases,
     execution_worklist,
+    execution_programs,
     attach_completions,
     generate_and_verify,
     parse_ranking,

@@ -1,3 +1,8 @@
+import ast
+import io
+import subprocess
+import sys
+
 from pyspark.sql import functions as F
 
 from gradeweave.operators import completions as C
@@ -122,3 +127,19 @@ def test_problem_type(spark):
     rows = P.normalize_problem_type(df).orderBy("i").collect()
     assert [r.problem_type for r in rows] == ["function"] + ["stdin"] * 5
     assert [r.function_name for r in rows] == ["f"] + [None] * 5
+
+
+INPUTS = ["", "1\n2", "a'b\"c\\\\n", "\t\r\x00\x1f\x7f", "é\u2028\U0001f600 {x}\n\\u0041/", "  pad \n\n"]
+
+
+def test_programs_get_the_input_as_it_is(spark):
+    """Every program is run: a function gets the lines, may read stdin, and its value is printed."""
+    code = "import sys\ndef f(*lines):\n    return repr((lines, sys.stdin.read()))"
+    rows = [(i, code, "f", given) for i, given in enumerate(INPUTS)] + [(9, "print(1)", None, "x")]
+    work = spark.createDataFrame(rows, "test_idx int, code string, function_name string, input string")
+    got = {r.test_idx: r for r in V.with_programs(work).collect()}
+    assert (got[9].program, got[9].stdin) == ("print(1)", "x")
+    for i, given in enumerate(INPUTS):
+        out = subprocess.run([sys.executable, "-"], input=got[i].program, capture_output=True, encoding="utf-8", check=True)
+        assert ast.literal_eval(out.stdout) == (tuple(given.strip().split("\n")), io.StringIO(given).read())
+        assert got[i].stdin == ""
