@@ -128,7 +128,10 @@ def aligned(template, words, start, band):
 
 
 def found_in(text: str, index: Index, coverage: float):
-    """(license, start, end, matched, template words) of the templates in a text, without overlaps of one."""
+    """(license, start, end, matched, template words) of the templates in a text.
+
+    Templates share phrases: of places that overlap, the one with the most matched words counts.
+    """
     words, spans = plain_words(text)
     values = grams(word_hashes(words))
     starts = {}
@@ -144,8 +147,8 @@ def found_in(text: str, index: Index, coverage: float):
         if matched >= coverage * len(template):
             found.append((name, first, last, matched, len(template)))
     kept = []
-    for name, first, last, matched, size in sorted(found, key=lambda f: (f[0], -f[3], f[1])):
-        if all(k[0] != name or last <= k[1] or first >= k[2] for k in kept):
+    for name, first, last, matched, size in sorted(found, key=lambda f: (-f[3], f[4], f[1], f[0])):
+        if all(last <= k[1] or first >= k[2] for k in kept):
             kept.append((name, first, last, matched, size))
     return [(n, spans[a][0], spans[b - 1][1], m, size) for n, a, b, m, size in sorted(kept, key=lambda k: (k[1], k[0]))]
 

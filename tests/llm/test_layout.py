@@ -121,10 +121,12 @@ def test_licenses(spark, no_docs):
     lines = licences.TEMPLATES["mit"]
     texts = [None, "", "é " + lines + " tail", lines.upper() + "\n" + lines, prose(3, 50) + " " + changed + " end", prose(4, 900)]
     texts += ["the MIT License", prose(5, 30_000) + " " + licences.TEMPLATES["cc-by-nc-4.0"]]
+    # The first shares five of seven words with the second, and is one place of one license.
+    texts += [licences.TEMPLATES["gpl-3.0"] + " " + prose(6, 9) + " " + licences.TEMPLATES["apache-2.0"], licences.TEMPLATES["apache-2.0-notice"]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = licences.find_licenses(docs).collect()
     found = Counter((r["doc_id"], r["license"]) for r in got)
-    assert found == {(2, "mit"): 1, (3, "mit"): 2, (4, "mit-notice"): 1, (7, "cc-by-nc-4.0"): 1}
+    assert found == {(2, "mit"): 1, (3, "mit"): 2, (4, "mit-notice"): 1, (7, "cc-by-nc-4.0"): 1, (8, "gpl-3.0"): 1, (8, "apache-2.0"): 1, (9, "apache-2.0-notice"): 1}
     for r in got:
         part = texts[r["doc_id"]][r["start"] : r["end"]]
         if r["license"] == "mit":
