@@ -67,7 +67,10 @@ class PrefixTree:
 
 
 class Automaton:
-    """A merged tree: `bits` is a string's negative log2 likelihood."""
+    """A merged tree: `bits` is a string's negative log2 likelihood.
+
+    `costliest` is the most bits that one of the examples takes per symbol, its end included.
+    """
 
     def __init__(self, strings, symbols: int, alpha: float = ALPHA):
         tree = PrefixTree(strings)
@@ -100,6 +103,10 @@ class Automaton:
             self.steps.append({s: (number[to], cost(n)) for s, (to, n) in tree.steps[state].items()})
             self.stop.append(cost(tree.ends[state]))
             self.unseen.append(cost(0))
+        self.costliest = max((self.rate(string) for string in strings), default=0.0)
+
+    def rate(self, string: str) -> float:
+        return self.bits(string) / (len(string) + 1)
 
     def bits(self, string: str) -> float:
         """A symbol that a state has never seen costs its smoothed share and leaves the state."""

@@ -33,6 +33,8 @@ LONGEST_EXAMPLE = 128
 #: Bits by which a grammar must beat the ordinary one, in all and per character.
 MARGIN_BITS = 8.0
 MARGIN_PER_CHARACTER = 0.5
+#: A string is of a grammar's format if it takes at most so many times its costliest example's bits a symbol.
+FORMAT_SLACK = 1.25
 #: Letters a-f, other letters, and digits are the symbols; marks stand for themselves.
 SYMBOLS = str.maketrans(
     "0123456789" + "abcdef" + "ghijklmnopqrstuvwxyz" + "ABCDEF" + "GHIJKLMNOPQRSTUVWXYZ",
@@ -108,11 +110,12 @@ def learn(scanned: DataFrame, sample: int = SAMPLE):
 
 
 def is_secret(value: str, kinds, ordinary) -> bool:
-    """Whether some credential grammar beats the ordinary one by the margins."""
+    """Whether a credential grammar whose format the string has beats the ordinary one by the margins."""
     string = value.translate(SYMBOLS)
-    if not kinds:
+    likely = [kind.bits(string) for kind in kinds if kind.rate(string) <= FORMAT_SLACK * kind.costliest]
+    if not likely:
         return False
-    gain = ordinary.bits(string) - min(kind.bits(string) for kind in kinds)
+    gain = ordinary.bits(string) - min(likely)
     return gain >= MARGIN_BITS and gain >= MARGIN_PER_CHARACTER * len(string)
 
 
