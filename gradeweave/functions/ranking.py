@@ -4,6 +4,9 @@ A ranking is an array of 0-based candidate positions, best first. All scores wor
 inside one row, so they run the same on a batch table and on a stream.
 """
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,16 +20,32 @@ SCORES = ("score", "ndcg", "pairacc", "top1_acc")
 def parse_ranking(response: Column, n_candidates: Column) -> Column:
     """The ranking named in a response, or null unless every candidate appears.
 
-    Numbers in ASCII digits after the last end-of-thinking mark count; longer than
-    four digits, out of range, or seen before do not.
+    Numbers after the last end-of-thinking mark count; longer than four digits, out of
+    range, or seen before do not.
     """
-    answer = F.substring_index(response, fx.THINK_END, -1)
+    return let(named_candidates(response, n_candidates), lambda ids: complete(ids, n_candidates))
+
+
+def named_candidates(response: Column, n_candidates: Column) -> Column:
+    """The numbers from 1 to `n_candidates` that a response names, each once, as first named."""
+    answer = ascii_digits(F.substring_index(response, fx.THINK_END, -1))
     numbers = F.regexp_extract_all(answer, F.lit(fx.SHORT_NUMBER), F.lit(0)).cast("array<int>")
     # The intersection keeps the order and the first occurrences of its left side.
     named = F.array_intersect(numbers, F.sequence(F.lit(1), n_candidates))
-    return let(
-        F.when(n_candidates > 0, named),
-        lambda ids: F.when(F.size(ids) == n_candidates, F.transform(ids, lambda i: i - 1)),
+    return F.when(n_candidates > 0, named)
+
+
+def complete(ids: Column, n_candidates: Column) -> Column:
+    """The numbers as 0-based positions, if all are there."""
+    return F.when(F.size(ids) == n_candidates, F.transform(ids, lambda i: i - 1))
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of all scripts as 0 to 9; texts in ASCII are passed through."""
+    others = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal()]
+    plain = "".join(str(unicodedata.decimal(c)) for c in others)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(
+        F.translate(text, "".join(others), plain)
     )
 
 
@@ -114,17 +133,7 @@ def reward(response: Column, ground_truth: Column, mode: str = "pairacc") -> Col
     """Struct of score, ndcg, pairacc and top1_acc; all -1 when no ranking can be read."""
 
     def scores(ranking, rates):
-        values = F.struct(
-            ndcg(ranking, rates).alias("ndcg"),
-            pairacc(ranking, rates).alias("pairacc"),
-            top1_acc(ranking, rates).alias("top1_acc"),
-        )
-        return let(values, with_failures)
-
-    def with_failures(values):
-        named = {name: F.coalesce(values[name], F.lit(FAILED)) for name in SCORES[1:]}
-        first = named["ndcg" if mode == "ndcg" else "pairacc"]
-        return F.struct(first.alias("score"), *[v.alias(name) for name, v in named.items()])
+        return let(metrics(ranking, rates), lambda values: F.struct(*with_failures(values, mode)))
 
     return let(
         F.from_json(ground_truth, "array<double>"),
@@ -132,3 +141,19 @@ def reward(response: Column, ground_truth: Column, mode: str = "pairacc") -> Col
             parse_ranking(response, F.size(rates)), lambda ranking: scores(ranking, rates)
         ),
     )
+
+
+def metrics(ranking: Column, rates: Column) -> Column:
+    """Struct of ndcg, pairacc and top1_acc; null each without a ranking."""
+    return F.struct(
+        ndcg(ranking, rates).alias("ndcg"),
+        pairacc(ranking, rates).alias("pairacc"),
+        top1_acc(ranking, rates).alias("top1_acc"),
+    )
+
+
+def with_failures(values: Column, mode: str = "pairacc") -> list[Column]:
+    """The four scores from the struct of metrics: the mode's as `score`, -1 for nulls."""
+    named = {name: F.coalesce(values[name], F.lit(FAILED)) for name in SCORES[1:]}
+    first = named["ndcg" if mode == "ndcg" else "pairacc"]
+    return [first.alias("score"), *[v.alias(name) for name, v in named.items()]]

@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranking
-from .chunks import CHUNK_ROWS, join_by_key
+from .chunks import CHUNK_ROWS, chunk_number
 
 Reward = Callable[[Column, Column], Column]
 
 
-def score_rollouts(rollouts: DataFrame, reward: Reward = ranking.reward) -> DataFrame:
+def score_rollouts(rollouts: DataFrame, reward: Reward | None = None) -> DataFrame:
     """Add the reward's fields to rows with `response` and `ground_truth`.
 
-    `reward` maps the two columns to a struct column; it may be built from columns, as
-    the default is, or be a pandas UDF.
+    `reward` maps the two columns to a struct column; it may be built from columns or be a
+    pandas UDF. Without one, the scores are those of `ranking.reward`, made in steps: what
+    reads texts is compiled, and only the array functions are not.
     """
+    if reward is None:
+        known = rollouts.withColumn("_rates", F.from_json("ground_truth", "array<double>"))
+        known = known.withColumn(
+            "_ids", ranking.named_candidates(F.col("response"), F.size("_rates"))
+        ).withColumn("_ranking", ranking.complete(F.col("_ids"), F.size("_rates")))
+        known = known.withColumn("_metrics", ranking.metrics(F.col("_ranking"), F.col("_rates")))
+        return known.select(*rollouts.columns, *ranking.with_failures(F.col("_metrics")))
     scored = rollouts.withColumn("_reward", reward(F.col("response"), F.col("ground_truth")))
     return scored.select(*rollouts.columns, "_reward.*")
 
@@ -44,12 +52,17 @@ def group_advantage(
     A prompt whose scores are all equal, or that has one rollout, gets 0.
     """
     std = F.stddev_samp(score) if sample_std else F.stddev_pop(score)
-    stats = scored.groupBy(prompt_id).agg(
+    # Rows move once: both sides read the same shuffle, by (prompt, chunk).
+    dealt = scored.repartition(F.col(prompt_id), chunk_number(rollout_idx, chunk_rows))
+    dealt = dealt.withColumn("_chunk", chunk_number(rollout_idx, chunk_rows))
+    stats = dealt.groupBy(prompt_id).agg(
         F.avg(score).alias("_mean"),
         F.coalesce(std, F.lit(0.0)).alias("_std"),
         (F.min(score) == F.max(score)).alias("_flat"),
+        F.collect_set("_chunk").alias("_chunks"),
     )
-    joined = join_by_key(scored, stats, prompt_id, rollout_idx, chunk_rows)
+    copies = stats.withColumn("_chunk", F.explode("_chunks")).drop("_chunks")
+    joined = dealt.join(copies, [prompt_id, "_chunk"]).drop("_chunk")
     advantage = F.when(F.col("_flat"), 0.0).otherwise(
         F.try_divide(F.col(score) - F.col("_mean"), F.col("_std") + F.lit(epsilon))
     )

@@ -513,10 +513,7 @@ def reward_summary(spark, sf):
 
 
 def group_advantage(spark, sf):
-    """Over stored scores, which are read twice: for the prompts' figures and for the rows."""
-    path = scratch_path(spark, "scores")
-    _scored(spark, sf).select("problem_id", "rollout_idx", "score").write.parquet(path)
-    scored = tables.read_table(spark, path)
+    scored = _scored(spark, sf).select("problem_id", "rollout_idx", "score")
     return scoring.group_advantage(scored, "problem_id", "rollout_idx").select(
         "problem_id", "rollout_idx", rounded("advantage")
     )

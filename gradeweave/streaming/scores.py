@@ -4,7 +4,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions import ranking
 from ..operators.scoring import Reward, score_rollouts
 
 
@@ -14,7 +13,7 @@ def score_arriving_rollouts(
     schema: StructType | str,
     target: str,
     checkpoint: str,
-    reward: Reward = ranking.reward,
+    reward: Reward | None = None,
 ) -> StreamingQuery:
     """Score the Parquet files that appear in `source`; stop when none are left."""
     arriving = spark.readStream.schema(schema).parquet(source)

@@ -23,10 +23,12 @@ CASES = [
     (None, None, -1, -1, -1),
     ("1 2 3 4</think>", None, -1, -1, -1),
     ("0002 1 3 4", [1, 0, 2, 3], None, None, 0.0),
+    ("٢, ١, ３, 𝟜", [1, 0, 2, 3], None, None, 0.0),
+    ("² 1 3 4", None, -1, -1, -1),
 ]
 
 
-def scored(spark, rows, reward=R.reward):
+def scored(spark, rows, reward=None):
     df = spark.createDataFrame(rows, "i int, response string, ground_truth string")
     return scoring.score_rollouts(df, reward).orderBy("i").collect()
 
@@ -42,6 +44,8 @@ def test_hand_worked_cases(spark):
             assert row.pairacc == pytest.approx(pairs, abs=1e-12)
         assert row.score == row.pairacc
         assert row.top1_acc == top1
+    by_struct = scored(spark, [(i, c[0], str(RATES)) for i, c in enumerate(CASES)], R.reward)
+    assert by_struct == rows
 
 
 def test_equal_rates_and_empty_truth(spark):
@@ -131,6 +135,8 @@ def test_advantage_and_summary(spark):
             want = (s - s.mean()) / s.std() if len(s) > 1 and s.nunique() > 1 else s * 0
             for i, w in enumerate(want):
                 assert got[p, i] == pytest.approx(w, abs=1e-9)
+    sparse = scoring.group_advantage(df.withColumn("i", F.col("i").cast("bigint") * 10**9 - 5), "p", "i")
+    assert sparse.count() == len(rows)
     pop = scoring.group_advantage(df, "p", "i", sample_std=False, epsilon=0.5)
     s = pd.Series(scores[0])
     assert pop.where("p = 0 and i = 0").first().advantage == pytest.approx(
