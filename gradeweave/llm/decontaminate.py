@@ -3,7 +3,9 @@
 Words lose their case and outer punctuation; numbers, names and units become typed
 placeholders. Windows of eight such words are hash-joined with the benchmark's, so a question
 with other numbers or names is found too; what stands in the placeholders must then be a
-consistent replacement, one new value for each old one.
+consistent replacement, one new value for each old one. Windows with placeholders are also
+joined by their plain words: an exact copy is found where too few words of it are literal, or
+where other capitals or punctuation hide its names.
 """
 
 import hashlib
@@ -49,12 +51,12 @@ PLACEHOLDERS = {NUM: "<num>", NAME: "<name>", UNIT: "<unit>"}
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 WINDOW_SCHEMA = (
     "id bigint, text_key bigint, pos int, hash bigint, template string, slots array<string>, "
-    "words int, whole string"
+    "words int, whole string, plain boolean, templated boolean"
 )
 
 
 def canonical(texts: pa.Array):
-    """(plain words, their kinds, hashes of word or placeholder, words per text) of all texts."""
+    """(plain words, their kinds, hashes of words, of words or placeholders, words per text)."""
     words, counts = words_of(texts, lower=False)
     codes, distinct = coded(words)
     bare = pc.utf8_trim(distinct, characters=OUTER)
@@ -77,26 +79,37 @@ def canonical(texts: pa.Array):
     kinds[number[codes]] = NUM
     keep = ~empty[codes]
     codes, kinds, owner = codes[keep], kinds[keep], owner[keep]
-    values = word_hash[codes]
+    exact = word_hash[codes]
+    values = exact.copy()
     for kind in PLACEHOLDERS:
         values[kinds == kind] = np.uint64(kind)
-    return plain, codes, kinds, values, np.bincount(owner, minlength=len(counts))
+    return plain, codes, kinds, exact, values, np.bincount(owner, minlength=len(counts))
 
 
-def window_starts(kinds, values, counts, width):
-    """(start, owner, hash) of the windows of this width with enough literal words."""
+def windows_of(kinds, exact, values, counts, width):
+    """(start, owner, hash, plain, templated) of the windows of this width.
+
+    A window is a template if enough of its words are literal; one with placeholders is one
+    of plain words as well. `templated` tells whether its place has a template.
+    """
     n = len(values) - width + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), none.astype(bool), none.astype(bool)
     owner = np.repeat(np.arange(len(counts)), counts)
     literal = np.r_[0, np.cumsum(kinds == LITERAL)]
-    fits = (owner[:n] == owner[width - 1 :]) & (literal[width:] - literal[:n] >= np.ceil(LITERAL_SHARE * width))
-    with np.errstate(over="ignore"):
-        total = np.full(n, width, np.uint64)
-        for i in range(width):
-            total = total * MULTIPLIER + values[i : i + n]
-    start = np.flatnonzero(fits)
-    return start, owner[start], mixed(total[start])
+    literal = literal[width:] - literal[:n]
+    enough = literal >= np.ceil(LITERAL_SHARE * width)
+    inside = owner[:n] == owner[width - 1 :]
+    parts = []
+    for plain, chosen, hashed in ((False, inside & enough, values), (True, inside & (literal < width), exact)):
+        start = np.flatnonzero(chosen)
+        with np.errstate(over="ignore"):
+            total = np.full(len(start), width, np.uint64)
+            for i in range(width):
+                total = total * MULTIPLIER + hashed[start + i]
+        parts.append((start, owner[start], mixed(total), np.full(len(start), plain), enough[start]))
+    return tuple(map(np.concatenate, zip(*parts)))
 
 
 def window_batches(widths, known=None, least=None):
@@ -108,33 +121,37 @@ def window_batches(widths, known=None, least=None):
 
     def run(batches):
         for batch in batches:
-            plain, codes, kinds, values, counts = canonical(batch.column("text"))
+            words, codes, kinds, exact, values, counts = canonical(batch.column("text"))
             firsts = np.cumsum(counts) - counts
             ids, keys = batch.column("id"), batch.column("text_key")
-            texts = plain.to_pylist() if known is None else None
+            texts = words.to_pylist() if known is None else None
             for width in widths:
-                start, owner, digest = window_starts(kinds, values, counts, width)
+                found = windows_of(kinds, exact, values, counts, width)
+                start, owner, digest, plain, templated = found
                 if known is None:
                     own = counts[owner] == width if width != widths[0] else counts[owner] >= width
-                    start, owner, digest = start[own], owner[own], digest[own]
+                    start, owner, digest, plain, templated = (x[own] for x in found)
                 else:
                     filt, mask = known.value, np.uint64((1 << FILTER_BITS) - 1)
                     for shift in (0, FILTER_BITS):
                         bit = (digest >> np.uint64(shift)) & mask
                         hit = (filt[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
-                        start, owner, digest = (x[hit == 1] for x in (start, owner, digest))
+                        found = [x[hit == 1] for x in (start, owner, digest, plain, templated)]
+                        start, owner, digest, plain, templated = found
                 if not len(start):
                     continue
-                word = (lambda i: texts[codes[i]]) if texts else (lambda i: plain[int(codes[i])].as_py())
+                word = (lambda i: texts[codes[i]]) if texts else (lambda i: words[int(codes[i])].as_py())
                 whole = {}
                 if known is None:
+                    patterned = set(owner[templated].tolist())
                     for o in np.unique(owner).tolist():
                         span = range(firsts[o], firsts[o] + counts[o])
-                        text = " ".join(PLACEHOLDERS.get(kinds[i], word(i)) for i in span)
+                        marks = PLACEHOLDERS if o in patterned else {}
+                        text = " ".join(marks.get(kinds[i], word(i)) for i in span)
                         whole[o] = hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
                 template, slots = [], []
-                for s in start.tolist():
-                    own = [(kinds[i], word(i)) for i in range(s, s + width)]
+                for s, as_is in zip(start.tolist(), plain.tolist()):
+                    own = [(LITERAL if as_is else kinds[i], word(i)) for i in range(s, s + width)]
                     template.append(" ".join(PLACEHOLDERS.get(k, w) for k, w in own))
                     slots.append([w for k, w in own if k])
                 yield pa.RecordBatch.from_arrays(
@@ -147,8 +164,10 @@ def window_batches(widths, known=None, least=None):
                         pa.array(slots, pa.list_(pa.string())),
                         pa.array(counts[owner].astype(np.int32)),
                         pa.array([whole.get(o) for o in owner.tolist()], pa.string()),
+                        pa.array(plain),
+                        pa.array(templated),
                     ],
-                    ["id", "text_key", "pos", "hash", "template", "slots", "words", "whole"],
+                    ["id", "text_key", "pos", "hash", "template", "slots", "words", "whole", "plain", "templated"],
                 )
 
     return run
@@ -160,15 +179,20 @@ def text_rows(table: DataFrame, key: str) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the items; items of one template are one, under their smallest item_id."""
+    """Windows of the items; items of one template are one, under their smallest item_id.
+
+    `windows` counts the item's places, `templates` those of them that have a template. Items
+    without a template are one only if all their words agree.
+    """
     widths = list(range(WINDOW, LEAST_WORDS - 1, -1))
     rows = text_rows(benchmark, "item_id").mapInArrow(window_batches(widths), WINDOW_SCHEMA)
     rows = stored(rows, "benchmark-windows")
     first = rows.groupBy("whole").agg(F.min("id").alias("item_id"))
     own = rows.join(first, "whole").where(F.col("id") == F.col("item_id"))
-    n_windows = F.count("*").over(Window.partitionBy("item_id", "whole")).cast("int")
-    columns = ["item_id", "pos", "hash", "template", "slots", "words"]
-    return stored(own.select(*columns, n_windows.alias("windows")), "item-windows")
+    templates = F.count_if(~F.col("plain")).over(Window.partitionBy("item_id", "whole")).cast("int")
+    windows = F.greatest(F.col("words") - WINDOW + 1, F.lit(1)).alias("windows")
+    columns = ["item_id", "pos", "hash", "template", "slots", "words", "templated"]
+    return stored(own.select(*columns, windows, templates.alias("templates")), "item-windows")
 
 
 def window_filter(windows: DataFrame) -> np.ndarray:
@@ -188,9 +212,10 @@ def window_filter(windows: DataFrame) -> np.ndarray:
 def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_run=LONG_RUN) -> DataFrame:
     """A row per contaminated document and item.
 
-    doc_id, text_key, item_id, matched and windows (of the item), coverage, slots (distinct
-    values in the item's placeholders that were matched) and slots_changed (those that are
-    another value in the document). Null and empty texts and items of under five words match
+    doc_id, text_key, item_id, matched and windows (of the item), coverage (of all its windows
+    or of those with a template, whichever is more), slots (distinct values in the item's
+    placeholders that were matched) and slots_changed (those that are another value in the
+    document). Null and empty texts and items of under five words match
     nothing. Repeated rows, equal in doc_id and text, give one; other columns are not read.
     """
     spark = docs.sparkSession
@@ -205,20 +230,27 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
     # One placing of the item in the document: a shift. Replacements must be consistent in it.
     shifts = met.groupBy(*key, (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
         F.max("windows").alias("windows"),
-        F.sort_array(F.collect_set("pos")).alias("at"),
+        F.max("templates").alias("templates"),
+        F.collect_set("pos").alias("at"),
+        F.collect_set(F.when(F.col("templated"), F.col("pos"))).alias("at_templates"),
         F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),
     )
     old = F.array_distinct(F.transform("pairs", lambda p: p["old"]))
     changed = F.size(F.filter("pairs", lambda p: p["old"] != p["new"]))
     shifts = shifts.withColumn("slots", F.size(old)).withColumn("slots_changed", changed)
     shifts = shifts.where(F.size("pairs") == F.col("slots"))
+    places = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name))))
     found = shifts.groupBy(*key).agg(
         F.max("windows").alias("windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("matched"),
+        F.max("templates").alias("templates"),
+        places("at").alias("matched"),
+        places("at_templates").alias("_matched_templates"),
         F.max("slots").alias("slots"),
         F.min("slots_changed").alias("slots_changed"),
     )
-    found = found.withColumn("coverage", F.col("matched") / F.col("windows"))
+    of_templates = F.try_divide("_matched_templates", "templates")
+    most = F.greatest(F.col("matched") / F.col("windows"), of_templates)
+    found = found.withColumn("coverage", most).drop("templates", "_matched_templates")
     return found.where((F.col("coverage") >= coverage) | (F.col("matched") >= long_run))
 
 
