@@ -51,7 +51,7 @@ PLACEHOLDERS = {NUM: "<num>", NAME: "<name>", UNIT: "<unit>"}
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 WINDOW_SCHEMA = (
     "id bigint, text_key bigint, pos int, hash bigint, template string, slots array<string>, "
-    "words int, whole string, plain boolean, templated boolean"
+    "words int, whole string, variant string, plain boolean, templated boolean"
 )
 
 
@@ -112,6 +112,10 @@ def windows_of(kinds, exact, values, counts, width):
     return tuple(map(np.concatenate, zip(*parts)))
 
 
+def digest_of(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
+
+
 def window_batches(widths, known=None, least=None):
     """A mapInArrow function: windows of (id, text_key, text) rows.
 
@@ -141,14 +145,18 @@ def window_batches(widths, known=None, least=None):
                 if not len(start):
                     continue
                 word = (lambda i: texts[codes[i]]) if texts else (lambda i: words[int(codes[i])].as_py())
-                whole = {}
+                whole, variant = {}, {}
                 if known is None:
                     patterned = set(owner[templated].tolist())
                     for o in np.unique(owner).tolist():
                         span = range(firsts[o], firsts[o] + counts[o])
                         marks = PLACEHOLDERS if o in patterned else {}
-                        text = " ".join(marks.get(kinds[i], word(i)) for i in span)
-                        whole[o] = hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
+                        said, seen = [word(i) for i in span], {}
+                        # Which slots hold one value, whatever it is.
+                        alike = [seen.setdefault(w, len(seen)) for i, w in zip(span, said) if kinds[i] in marks]
+                        text = " ".join(marks.get(kinds[i], w) for i, w in zip(span, said))
+                        whole[o] = digest_of(f"{text}\n{alike}")
+                        variant[o] = digest_of(f"{' '.join(said)}\n{kinds[span.start : span.stop].tolist()}")
                 template, slots = [], []
                 for s, as_is in zip(start.tolist(), plain.tolist()):
                     own = [(LITERAL if as_is else kinds[i], word(i)) for i in range(s, s + width)]
@@ -164,10 +172,11 @@ def window_batches(widths, known=None, least=None):
                         pa.array(slots, pa.list_(pa.string())),
                         pa.array(counts[owner].astype(np.int32)),
                         pa.array([whole.get(o) for o in owner.tolist()], pa.string()),
+                        pa.array([variant.get(o) for o in owner.tolist()], pa.string()),
                         pa.array(plain),
                         pa.array(templated),
                     ],
-                    ["id", "text_key", "pos", "hash", "template", "slots", "words", "whole", "plain", "templated"],
+                    ["id", "text_key", "pos", "hash", "template", "slots", "words", "whole", "variant", "plain", "templated"],
                 )
 
     return run
@@ -179,8 +188,10 @@ def text_rows(table: DataFrame, key: str) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the items; items of one template are one, under their smallest item_id.
+    """Windows of the items; items of one template are reported as one, under their smallest item_id.
 
+    Items are of one template if their texts with placeholders are the same and the same of their
+    slots hold equal values. Each text of it is a variant with windows and slot values of its own.
     `windows` counts the item's places, `templates` those of them that have a template. Items
     without a template are one only if all their words agree.
     """
@@ -188,10 +199,10 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     rows = text_rows(benchmark, "item_id").mapInArrow(window_batches(widths), WINDOW_SCHEMA)
     rows = stored(rows, "benchmark-windows")
     first = rows.groupBy("whole").agg(F.min("id").alias("item_id"))
-    own = rows.join(first, "whole").where(F.col("id") == F.col("item_id"))
-    templates = F.count_if(~F.col("plain")).over(Window.partitionBy("item_id", "whole")).cast("int")
+    own = rows.join(rows.groupBy("variant").agg(F.min("id").alias("id")), ["variant", "id"]).join(first, "whole")
+    templates = F.count_if(~F.col("plain")).over(Window.partitionBy("variant")).cast("int")
     windows = F.greatest(F.col("words") - WINDOW + 1, F.lit(1)).alias("windows")
-    columns = ["item_id", "pos", "hash", "template", "slots", "words", "templated"]
+    columns = ["item_id", "variant", "pos", "hash", "template", "slots", "words", "templated"]
     return stored(own.select(*columns, windows, templates.alias("templates")), "item-windows")
 
 
@@ -226,7 +237,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
     rows = rows.select(F.col("id").alias("doc_id"), "text_key", F.col("pos").alias("doc_pos"), "template", F.col("slots").alias("doc_slots"))
     met = rows.join(items, "template")
     pair = F.arrays_zip(F.col("slots").alias("old"), F.col("doc_slots").alias("new"))
-    key = ["doc_id", "text_key", "item_id"]
+    key = ["doc_id", "text_key", "item_id", "variant"]
     # One placing of the item in the document: a shift. Replacements must be consistent in it.
     shifts = met.groupBy(*key, (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
         F.max("windows").alias("windows"),
@@ -251,7 +262,12 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
     of_templates = F.try_divide("_matched_templates", "templates")
     most = F.greatest(F.col("matched") / F.col("windows"), of_templates)
     found = found.withColumn("coverage", most).drop("templates", "_matched_templates")
-    return found.where((F.col("coverage") >= coverage) | (F.col("matched") >= long_run))
+    found = found.where((F.col("coverage") >= coverage) | (F.col("matched") >= long_run))
+    # Of an item's variants, the one that is nearest to the document.
+    values = [c for c in found.columns if c not in key]
+    near = F.struct("coverage", "matched", (-F.col("slots_changed")).alias("same"), *[c for c in values if c not in ("coverage", "matched")])
+    best = found.groupBy(*key[:-1]).agg(F.max(near).alias("best"))
+    return best.select(*key[:-1], *[F.col("best")[c].alias(c) for c in values])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

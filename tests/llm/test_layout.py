@@ -166,6 +166,29 @@ def test_leaks(spark, no_docs):
     assert decontaminate.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
+def found_pairs(spark, texts, bench, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontaminate.found_items(docs, items, **options).collect()}
+
+
+APPLES = "the farmer who lives alone has {} apples and buys {} pears before going home to bake one cake"
+#: Names stand too close for templates in the second half: it is found by its plain words only.
+ROWS = "she then counts {} apples for the long way and asks {} and Anna and Berta and Carla and Dora and Emma and Frieda and Gerda and Hanna"
+
+
+def test_leaks_of_one_template(spark):
+    """Every item of a template is found in its own copies, with its own values."""
+    bench = [(1, APPLES.format(5, 5)), (2, APPLES.format(3, 4)), (3, ROWS.format(5, "Zoe")), (4, ROWS.format(6, "Yan"))]
+    texts = [prose(i, 40) + " " + text + " " + prose(i + 9, 40) for i, (_, text) in enumerate(bench)]
+    texts += [APPLES.format(8, 9), bench[3][1].split(" way ")[1]]
+    got = found_pairs(spark, texts, bench)
+    # 5 and 5 may stand for 3 and 4; 3 and 4 not for 5 and 5. Items 3 and 4 are one.
+    assert set(got) >= {(0, 1), (0, 2), (1, 2), (2, 3), (3, 3), (4, 2), (5, 3)}
+    assert {d for d, _ in got} == set(range(6))
+    assert all(got[pair]["coverage"] == 1.0 and got[pair]["slots_changed"] == 0 for pair in [(0, 1), (1, 2), (2, 3), (3, 3)])
+
+
 def test_leaks_without_literals(spark):
     """Items of numbers and names alone have no template: exact copies are found, and only those."""
     sums = ["12 + 34 = 46 and 7 * 8 = 56 minus 10 20 30 40", "12 + 35 = 47 and 7 * 8 = 56 minus 11 21 31 41"]
