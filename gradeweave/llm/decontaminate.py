@@ -3,7 +3,7 @@
 Words lose their case and outer punctuation; numbers, names and units become typed
 placeholders. Windows of eight such words are hash-joined with the benchmark's, so a question
 with other numbers or names is found too; what stands in the placeholders must then be a
-consistent replacement, one new value for each old one. Windows with placeholders are also
+consistent replacement, one new value for each old one, or the windows it stands in do not count. Windows with placeholders are also
 joined by their plain words: an exact copy is found where too few words of it are literal, or
 where other capitals or punctuation hide its names.
 """
@@ -202,7 +202,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     own = rows.join(rows.groupBy("variant").agg(F.min("id").alias("id")), ["variant", "id"]).join(first, "whole")
     templates = F.count_if(~F.col("plain")).over(Window.partitionBy("variant")).cast("int")
     windows = F.greatest(F.col("words") - WINDOW + 1, F.lit(1)).alias("windows")
-    columns = ["item_id", "variant", "pos", "hash", "template", "slots", "words", "templated"]
+    columns = ["item_id", "variant", "pos", "hash", "template", "slots", "words", "plain", "templated"]
     return stored(own.select(*columns, windows, templates.alias("templates")), "item-windows")
 
 
@@ -238,18 +238,34 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
     met = rows.join(items, "template")
     pair = F.arrays_zip(F.col("slots").alias("old"), F.col("doc_slots").alias("new"))
     key = ["doc_id", "text_key", "item_id", "variant"]
-    # One placing of the item in the document: a shift. Replacements must be consistent in it.
+    # One placing of the item in the document: a shift. Replacements must be consistent in it: an
+    # old value with two new ones takes the windows with placeholders it stands in, and no others.
+    # Windows without placeholders and those of plain words agree word for word, and stay.
+    met = met.withColumn("window", F.struct("pos", "plain", "templated", pair.alias("pairs")))
     shifts = met.groupBy(*key, (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
         F.max("windows").alias("windows"),
         F.max("templates").alias("templates"),
-        F.collect_set("pos").alias("at"),
-        F.collect_set(F.when(F.col("templated"), F.col("pos"))).alias("at_templates"),
-        F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),
+        F.collect_set("window").alias("met"),
+    )
+    shifts = shifts.withColumn("pairs", F.array_distinct(F.flatten("met.pairs")))
+    shifts = shifts.withColumn("old", F.array_distinct("pairs.old"))
+    times = F.transform("old", lambda o: F.struct(o.alias("old"), F.size(F.filter("pairs", lambda p: p["old"] == o)).alias("new")))
+    torn = F.filter(times, lambda t: t["new"] > 1)["old"]
+    shifts = shifts.withColumn("torn", F.when(F.size("pairs") > F.size("old"), torn).otherwise(F.array().cast("array<string>")))
+    kept = F.filter("met", lambda w: ~F.arrays_overlap(w["pairs"]["old"], F.col("torn")))
+    lost = F.filter("met", lambda w: F.arrays_overlap(w["pairs"]["old"], F.col("torn")))
+    shifts = shifts.withColumn("kept", kept).withColumn("lost", lost).where(F.size("kept") > 0)
+    changed = F.array_distinct(F.filter("pairs", lambda p: p["old"] != p["new"])["old"])
+    shifts = shifts.select(
+        *key,
+        "windows",
+        "templates",
+        F.array_distinct("kept.pos").alias("at"),
+        # Where a template was lost, its place counts among all of the item's, not among those with one.
+        F.array_except(F.filter("kept", lambda w: w["templated"])["pos"], F.col("lost.pos")).alias("at_templates"),
+        F.size("old").alias("slots"),
+        F.size(changed).alias("slots_changed"),
     )
-    old = F.array_distinct(F.transform("pairs", lambda p: p["old"]))
-    changed = F.size(F.filter("pairs", lambda p: p["old"] != p["new"]))
-    shifts = shifts.withColumn("slots", F.size(old)).withColumn("slots_changed", changed)
-    shifts = shifts.where(F.size("pairs") == F.col("slots"))
     places = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name))))
     found = shifts.groupBy(*key).agg(
         F.max("windows").alias("windows"),

@@ -189,6 +189,19 @@ def test_leaks_of_one_template(spark):
     assert all(got[pair]["coverage"] == 1.0 and got[pair]["slots_changed"] == 0 for pair in [(0, 1), (1, 2), (2, 3), (3, 3)])
 
 
+def test_leaks_with_one_change(spark):
+    """A repeated value that is changed once takes the windows it stands in, not those that match."""
+    tail = " ".join(f"{w}{i}x" for i, w in enumerate(prose(5, 45).split()))
+    item = "first put 12 of the red balls in one box and then " + tail + " and add 12 of the others"
+    texts = [item.replace("12", "15", 1), item[::-1].replace("21", "51", 1)[::-1], item.replace(" 12 ", " 15 ")]
+    texts += ["first put 15 of the red balls in one box and add 12 of the others"]
+    got = found_pairs(spark, [prose(1, 20) + " " + t for t in texts], [(1, item)])
+    places = len(item.split()) - 7
+    # Of the windows, those with the changed number are lost, and those only.
+    assert {pair: r["matched"] for pair, r in got.items()} == {(0, 1): places - 3, (1, 1): places - 4, (2, 1): places}
+    assert got[2, 1]["slots_changed"] == 1 and all(r["windows"] == places for r in got.values())
+
+
 def test_leaks_without_literals(spark):
     """Items of numbers and names alone have no template: exact copies are found, and only those."""
     sums = ["12 + 34 = 46 and 7 * 8 = 56 minus 10 20 30 40", "12 + 35 = 47 and 7 * 8 = 56 minus 11 21 31 41"]
