@@ -13,6 +13,7 @@ from .common import coded, hashes, mixed, words_of
 
 GRAM = 3
 #: One fingerprint at least in so many grams: any GRAM + WINDOW - 1 common words are found.
+#: Templates of fewer words are looked up by all grams of a text; of fewer than GRAM, they are never found.
 WINDOW = 2
 COVERAGE = 0.7
 GAP, MISS = -0.5, -0.5
@@ -52,6 +53,7 @@ TEMPLATES = {
         "that the following conditions are met"
     ),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "proprietary": "All rights reserved.",
 }
 
 
@@ -95,12 +97,17 @@ class Index:
 
     def __init__(self, templates):
         self.words = {name: plain_words(text)[0] for name, text in templates.items()}
-        self.places = {}
+        self.places, self.short = {}, {}
         for name, words in self.words.items():
             values = grams(word_hashes(words))
+            if len(words) < GRAM + WINDOW - 1:
+                for place, value in enumerate(values.tolist()):
+                    self.short.setdefault(value, []).append((name, place))
+                continue
             for place in winnowed(values).tolist():
                 self.places.setdefault(int(values[place]), []).append((name, place))
-        self.fingerprints = np.array(sorted(self.places), np.uint64)
+        self.short_fingerprints = np.array(sorted(self.short), np.uint64)
+        self.fingerprints = np.array(sorted({*self.places, *self.short}), np.uint64)
 
 
 def aligned(template, words, start, band):
@@ -140,6 +147,11 @@ def found_in(text: str, index: Index, coverage: float):
             band = max(2, len(index.words[name]) // 8)
             starts.setdefault((name, (place - at) // band), place - at)
     found = []
+    for place in np.flatnonzero(np.isin(values, index.short_fingerprints)).tolist():
+        for name, at in index.short[int(values[place])]:
+            template, first = index.words[name], place - at
+            if words[first : first + len(template)] == template:
+                found.append((name, first, first + len(template), len(template), len(template)))
     for (name, _), start in starts.items():
         template = index.words[name]
         band = max(2, len(template) // 8)
@@ -164,8 +176,8 @@ def scan_batches(shared, coverage):
             keep = pc.not_equal(bare, "").to_numpy(zero_copy_only=False)[codes]
             owner = np.repeat(np.arange(len(counts)), counts)[keep]
             values = grams(hashes(bare)[codes[keep]])
-            # Whatever is winnowed from a text with a template's words is one of the template's
-            # fingerprints: texts without any are done with.
+            # Whatever is winnowed from a text with a template's words, or is a short template's
+            # gram, is one of the fingerprints: texts without any are done with.
             at = np.searchsorted(index.fingerprints, values)
             hit = index.fingerprints[np.minimum(at, len(index.fingerprints) - 1)] == values
             rows = []

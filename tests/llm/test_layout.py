@@ -136,6 +136,36 @@ def test_licenses(spark, no_docs):
     assert licences.find_licenses(no_docs).collect() == []
 
 
+LINES = {
+    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "mit": "Released under the MIT License.",
+    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "proprietary": "All rights reserved.",
+}
+
+
+def test_license_lines(spark):
+    """Each license line of the given documents is found in every document that holds it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [(r["doc_id"], set((r["text"] or "").splitlines())) for r in docs.collect()]
+    expected = {name: Counter(d for d, lines in rows if line in lines) for name, line in LINES.items()}
+    got = licences.find_licenses(docs).collect()
+    assert all(expected.values())
+    assert {name: Counter(r["doc_id"] for r in got if r["license"] == name) for name in LINES} == expected
+
+
+def test_short_license(spark):
+    """Three words are one gram, which winnowing may pass over; every place is found."""
+    line = LINES["proprietary"]
+    texts = [prose(i, 5) + " " + line + " " + prose(i + 50, i % 7) for i in range(50)]
+    texts += [line, line + " " + line, f"({line.upper()})", "all rights not reserved", "rights reserved"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licences.find_licenses(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([*range(53), 51])
+    assert {texts[r["doc_id"]][r["start"] : r["end"]].lower() for r in got} == {"all rights reserved"}
+
+
 ITEM = "A train leaves Berlin for Paris with 120 people and after 45 minutes another 120 people board the train how many people"
 SHORT = "name the largest planet we know today"
 
