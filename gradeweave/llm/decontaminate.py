@@ -191,7 +191,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Windows of the items; items of one template are reported as one, under their smallest item_id.
 
     Items are of one template if their texts with placeholders are the same and the same of their
-    slots hold equal values. Each text of it is a variant with windows and slot values of its own.
+    slots hold equal values. Rows that repeat a text count once; a null item_id is passed on where
+    the item has no other. Each text of it is a variant with windows and slot values of its own.
     `windows` counts the item's places, `templates` those of them that have a template. Items
     without a template are one only if all their words agree.
     """
@@ -199,7 +200,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     rows = text_rows(benchmark, "item_id").mapInArrow(window_batches(widths), WINDOW_SCHEMA)
     rows = stored(rows, "benchmark-windows")
     first = rows.groupBy("whole").agg(F.min("id").alias("item_id"))
-    own = rows.join(rows.groupBy("variant").agg(F.min("id").alias("id")), ["variant", "id"]).join(first, "whole")
+    own = rows.drop("id", "text_key").distinct().join(first, "whole")
     templates = F.count_if(~F.col("plain")).over(Window.partitionBy("variant")).cast("int")
     windows = F.greatest(F.col("words") - WINDOW + 1, F.lit(1)).alias("windows")
     columns = ["item_id", "variant", "pos", "hash", "template", "slots", "words", "plain", "templated"]
@@ -226,7 +227,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
     doc_id, text_key, item_id, matched and windows (of the item), coverage (of all its windows
     or of those with a template, whichever is more), slots (distinct values in the item's
     placeholders that were matched) and slots_changed (those that are another value in the
-    document). Null and empty texts and items of under five words match
+    document). item_id is null for items without one. Null and empty texts and items of under five words match
     nothing. Repeated rows, equal in doc_id and text, give one; other columns are not read.
     """
     spark = docs.sparkSession

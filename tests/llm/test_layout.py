@@ -232,6 +232,18 @@ def test_leaks_with_one_change(spark):
     assert got[2, 1]["slots_changed"] == 1 and all(r["windows"] == places for r in got.values())
 
 
+def test_leaks_of_odd_rows(spark):
+    """Items without an id are found; a repeated row of the benchmark changes nothing."""
+    few = ROWS.format(6, "Yan")
+    other = few.replace("6", "8")
+    once = [(1, few), (None, ITEM), (None, SHORT)]
+    texts = [prose(1, 20) + " " + t for t in (few, other.split(" and Carla")[0], ITEM, SHORT + " " + ITEM)]
+    got = found_pairs(spark, texts, once)
+    assert set(got) == {(0, 1), (1, 1), (2, None), (3, None)}
+    again = found_pairs(spark, texts, once * 5 + [(7, few)] * 3)
+    assert {k: tuple(r) for k, r in again.items()} == {k: tuple(r) for k, r in got.items()}
+
+
 def test_leaks_without_literals(spark):
     """Items of numbers and names alone have no template: exact copies are found, and only those."""
     sums = ["12 + 34 = 46 and 7 * 8 = 56 minus 10 20 30 40", "12 + 35 = 47 and 7 * 8 = 56 minus 11 21 31 41"]
