@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from .common import coded, hashes, mixed, stored, words_of
 
 WINDOW = 8
-#: Items of fewer words are never matched; of fewer than WINDOW words, the item is one window.
+#: Items of fewer than WINDOW words are one window; of fewer than this, one of plain words only.
 LEAST_WORDS = 5
 #: Of a window's words so many, rounded up, must not be placeholders.
 LITERAL_SHARE = 0.6
-#: A document is contaminated by an item if this share of its windows, or this many, are found.
+#: A document is contaminated by an item if this share of its windows, or this many, are found: 13
+#: windows in a row are 20 words.
 COVERAGE = 0.5
 LONG_RUN = 13
 #: Bits of the filter in front of the join: 1 MB whatever the benchmark's size.
@@ -90,7 +91,7 @@ def windows_of(kinds, exact, values, counts, width):
     """(start, owner, hash, plain, templated) of the windows of this width.
 
     A window is a template if enough of its words are literal; one with placeholders is one
-    of plain words as well. `templated` tells whether its place has a template.
+    of plain words as well. Under LEAST_WORDS words, all are plain. `templated` tells whether its place has a template.
     """
     n = len(values) - width + 1
     if n < 1:
@@ -99,10 +100,11 @@ def windows_of(kinds, exact, values, counts, width):
     owner = np.repeat(np.arange(len(counts)), counts)
     literal = np.r_[0, np.cumsum(kinds == LITERAL)]
     literal = literal[width:] - literal[:n]
-    enough = literal >= np.ceil(LITERAL_SHARE * width)
+    short = width < LEAST_WORDS
+    enough = (literal >= np.ceil(LITERAL_SHARE * width)) & (not short)
     inside = owner[:n] == owner[width - 1 :]
     parts = []
-    for plain, chosen, hashed in ((False, inside & enough, values), (True, inside & (literal < width), exact)):
+    for plain, chosen, hashed in ((False, inside & enough, values), (True, inside & ((literal < width) | short), exact)):
         start = np.flatnonzero(chosen)
         with np.errstate(over="ignore"):
             total = np.full(len(start), width, np.uint64)
@@ -142,6 +144,11 @@ def window_batches(widths, known=None, least=None):
                         hit = (filt[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
                         found = [x[hit == 1] for x in (start, owner, digest, plain, templated)]
                         start, owner, digest, plain, templated = found
+                    if width < LEAST_WORDS:  # such a window is a whole item: once a text is enough
+                        order = np.lexsort((digest, owner))
+                        again = (np.diff(owner[order]) == 0) & (digest[order][1:] == digest[order][:-1])
+                        once = np.sort(order[np.r_[True, ~again][: len(order)]])
+                        start, owner, digest, plain, templated = (x[once] for x in found)
                 if not len(start):
                     continue
                 word = (lambda i: texts[codes[i]]) if texts else (lambda i: words[int(codes[i])].as_py())
@@ -196,7 +203,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     `windows` counts the item's places, `templates` those of them that have a template. Items
     without a template are one only if all their words agree.
     """
-    widths = list(range(WINDOW, LEAST_WORDS - 1, -1))
+    widths = list(range(WINDOW, 0, -1))
     rows = text_rows(benchmark, "item_id").mapInArrow(window_batches(widths), WINDOW_SCHEMA)
     rows = stored(rows, "benchmark-windows")
     first = rows.groupBy("whole").agg(F.min("id").alias("item_id"))
@@ -227,8 +234,8 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
     doc_id, text_key, item_id, matched and windows (of the item), coverage (of all its windows
     or of those with a template, whichever is more), slots (distinct values in the item's
     placeholders that were matched) and slots_changed (those that are another value in the
-    document). item_id is null for items without one. Null and empty texts and items of under five words match
-    nothing. Repeated rows, equal in doc_id and text, give one; other columns are not read.
+    document). item_id is null for items without one. Null and empty texts match
+    nothing; items of under five words match where all their words stand in a row. Repeated rows, equal in doc_id and text, give one; other columns are not read.
     """
     spark = docs.sparkSession
     items = benchmark_windows(benchmark)

@@ -244,6 +244,16 @@ def test_leaks_of_odd_rows(spark):
     assert {k: tuple(r) for k, r in again.items()} == {k: tuple(r) for k, r in got.items()}
 
 
+def test_leaks_of_short_items(spark):
+    """Items of any number of words are found as whole word sequences."""
+    bench = [(n, " ".join(["Seven", "12", "swans,", "swim", "in", "Bath", "at", "noon"][:n])) for n in range(1, 9)] + [(9, "!!"), (10, "swim swim")]
+    texts = [f"{prose(1, 9)} {text}, {prose(2, 9)} {text}" for _, text in bench] + ["twelve swans swim", "", None, "SEVEN", "seventh 12 swans"]
+    got = found_pairs(spark, texts, bench)
+    assert {(d, i) for d, i in got if i < 5 or i > 8} == {(d, i) for d in range(8) for i in range(1, 5) if i <= d + 1} | {(9, 10), (13, 1)}
+    assert {(n - 1, n) for n in range(5, 9)} <= set(got)
+    assert all(r["coverage"] == 1.0 and r["matched"] == 1 and r["windows"] == 1 for r in got.values())
+
+
 def test_leaks_without_literals(spark):
     """Items of numbers and names alone have no template: exact copies are found, and only those."""
     sums = ["12 + 34 = 46 and 7 * 8 = 56 minus 10 20 30 40", "12 + 35 = 47 and 7 * 8 = 56 minus 11 21 31 41"]
