@@ -1,5 +1,6 @@
 """Shards, mixes, rollups, licenses, leaks and the pipeline."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -12,6 +13,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check_oracles import connect, differences
 from conftest import prose
+from test_duplicates import brute_components, brute_fingerprint
 from gradeweave.llm import decontaminate, language, licences, mixing, oracles, queries, sharding, simhash, token_rollup
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -309,3 +311,47 @@ def test_pipeline_odd(spark, odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, SF_DIR), name)
         assert {"shard", "grown_shard"} <= set(docs.columns)
+
+
+def brute_pipeline(rows, items):
+    """(doc_id, text, lang, source, shard, grown_shard) of the pipeline's rows, one stage after another in plain Python."""
+    bare = lambda t: " ".join(w for w in (x.strip(decontaminate.OUTER).lower() for x in (t or "").split()) if w)
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    best = {}
+    for c, r in zip(brute_components([brute_fingerprint(r[1]) for r in rows], list(range(len(rows)))), rows):
+        best[c] = min(best.get(c, r), r, key=lambda x: (-len(x[1]), x[0]))
+    said = [f" {bare(t)} " for t in items if bare(t)]
+    rows = [r for r in best.values() if not any(t in f" {bare(r[1])} " for t in said)]
+    size = {r[0]: len(r[1].split()) for r in rows}
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += size[r[0]]
+    out = Counter()
+    for source, target in brute_targets(sizes).items():
+        own = sorted((r for r in rows if r[3] == source), key=lambda r: size[r[0]])
+        assert len({size[r[0]] for r in own}) == len(own) and max(size.values()) < 128  # the order is by size alone
+        rate, draws = target / sizes[source], []
+        for k in range(mixing.OFFSETS):
+            digest = hashlib.md5(f"{mixing.SEED}|{k}|{source or ''}".encode()).hexdigest()
+            shift = int(digest[: mixing.OFFSET_DIGITS], 16) / 16**mixing.OFFSET_DIGITS
+            taken = [math.floor((i + 1) * rate + shift) - math.floor(i * rate + shift) for i in range(len(own))]
+            draws.append((abs(sum(n * size[r[0]] for n, r in zip(taken, own)) - target), k, taken))
+        for n, r in zip(min(draws)[2], own):
+            out[(*r, brute_jump(r[0], 8), brute_jump(r[0], 9))] += n
+    return +out
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The pipeline's rows against all its stages in plain Python."""
+    items = [(1, APPLES.format(5, 5)), (2, APPLES.format(3, 4)), (3, ROWS.format(5, "Zoe")), (4, ROWS.format(6, "Yan"))]
+    items += [(5, "Quokka Island"), (None, ITEM), (6, None), (1, APPLES.format(5, 5))]
+    texts = [prose(100 + i, 20 + i) for i in range(50)]
+    texts += [f"{prose(i, 9 + i)}. {t} {prose(i + 60, 7)}" for i, (_, t) in enumerate(items) if t]
+    texts += [texts[3].upper(), f" {texts[8]}\n", texts[20], None, "", "12 34", "!?"]
+    rows = [(i, t, ("en", "de")[i % 2], ("a", "b", None, "é", "c")[i * i % 7 % 5]) for i, t in enumerate(texts)]
+    rows += [rows[5]] * 3
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    expected = brute_pipeline(rows, [t for _, t in items])
+    assert got == expected and len(expected) > 20
