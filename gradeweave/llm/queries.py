@@ -9,13 +9,16 @@ from . import (
     decontaminate,
     exact_dedup,
     language,
+    lattice,
     licences,
     mixing,
     ngram_model,
     secrets,
+    seekable,
     sharding,
     simhash,
     token_rollup,
+    whitening,
 )
 
 SHARDS = 8
@@ -69,6 +72,18 @@ def op10_source_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_lattice_groups(spark, sf_dir):
+    return lattice.near_vector_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sliced_whitening(spark, sf_dir):
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_seekable_fim(spark, sf_dir):
+    return seekable.fim_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -85,6 +100,9 @@ def registry():
         op8_simhash_groups,
         op9_benchmark_leaks,
         op10_source_mix,
+        op11_lattice_groups,
+        op12_sliced_whitening,
+        op13_seekable_fim,
         pipeline,
     )
     return {query.__name__: query for query in named}
