@@ -4,6 +4,8 @@ A known word counts with its log frequency in each language; an unseen one with
 longest known character n-grams, from four letters down to one.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,14 +15,18 @@ from pyspark.sql import functions as F
 from .common import coded, stored, words_of
 
 UNKNOWN = "und"
-#: The fit's bounds: expected training documents per language, and what the model keeps.
+#: The fit's bound: expected training documents per language. All their words and n-grams are kept.
 SAMPLE_PER_LANGUAGE = 2000
-MOST_WORDS = 100_000
-MOST_GRAMS = 20_000
+#: Bytes of text that are scored at a time; a longer text goes through in pieces.
+SLICE_BYTES = 1 << 20
+#: Unseen words whose scores a task remembers.
+REMEMBERED = 50_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 LETTER = r"\p{L}"
+#: Characters of ASCII that are no letters; at one of them a text may be cut between words.
+CUT = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def letter_words(texts: pa.Array):
@@ -32,96 +38,154 @@ def letter_words(texts: pa.Array):
 def count_words(batches):
     """(lang, word, n) of each batch."""
     for batch in batches:
-        words, counts = letter_words(batch.column("text"))
-        lang = batch.column("lang").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-        table = pa.table({"lang": lang, "word": words.cast(pa.string())})
-        table = table.group_by(["lang", "word"]).aggregate([([], "count_all")])
-        yield from table.rename_columns(["lang", "word", "n"]).to_batches()
+        for first, part in text_slices(batch.column("text")):
+            words, counts = letter_words(part)
+            lang = batch.column("lang").take(pa.array(first + np.repeat(np.arange(len(counts)), counts)))
+            table = pa.table({"lang": lang, "word": words.cast(pa.string())})
+            table = table.group_by(["lang", "word"]).aggregate([([], "count_all")])
+            yield from table.rename_columns(["lang", "word", "n"]).to_batches()
 
 
 class Model:
-    """Log frequencies: `words` and, by order, `grams`, each with a row of scores per language."""
+    """Log frequencies: `words` and, by order, `grams`, each (items, a row of scores per item)."""
 
     def __init__(self, langs, words, grams):
         self.langs, self.words, self.grams = langs, words, grams
 
+    def ready(self):
+        """Makes the lookups, once in each task's process."""
+        if not hasattr(self, "places"):
+            self.vocabulary = pa.array(list(self.words[0]), pa.large_string())
+            self.places = {order: dict(zip(items, range(len(items)))) for order, (items, _) in self.grams.items()}
+            self.remembered = {}
+        return self
+
     def unseen(self, word: str) -> np.ndarray:
-        marked = f"^{word}$"
+        self.ready()
+        if word in self.remembered:
+            return self.remembered[word]
+        marked, value = f"^{word}$", np.zeros(len(self.langs), np.float32)
         for order in ORDERS:
-            known, scores = self.grams[order]
+            known = self.places[order]
             at = [known[g] for i in range(len(marked) - order + 1) if (g := marked[i : i + order]) in known]
             if at:
-                return scores[at].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-
-def scores_of(counts, langs, most):
-    """({item: row}, scores): items by count, and log P(lang | item) if languages were equally common."""
+                value = self.grams[order][1][at].mean(axis=0)
+                break
+        if len(self.remembered) >= REMEMBERED:
+            self.remembered.clear()
+        self.remembered[word] = value
+        return value
+
+    def of_words(self, distinct: pa.Array) -> np.ndarray:
+        """A row of scores for each of some distinct words."""
+        _, scores = self.words
+        at = pc.fill_null(pc.index_in(distinct, self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        value = scores[np.maximum(at, 0)] if len(scores) else np.zeros((len(at), len(self.langs)), np.float32)
+        missing = np.flatnonzero(at < 0)
+        for i, word in zip(missing.tolist(), distinct.take(pa.array(missing)).to_pylist()):
+            value[i] = self.unseen(word)
+        return value
+
+
+def scores_of(counts, langs):
+    """(items, scores): log P(lang | item) of each item if languages were equally common."""
+    items, row = np.unique(counts["item"].to_numpy(dtype=object), return_inverse=True)
     place = {lang: i for i, lang in enumerate(langs)}
-    items = {}
-    for item in counts["item"]:
-        items.setdefault(item, len(items))
     table = np.zeros((len(items), len(langs)))
-    table[[items[i] for i in counts["item"]], [place[g] for g in counts["lang"]]] = counts["n"]
+    table[row, [place[g] for g in counts["lang"]]] = counts["n"]
     logs = np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * max(1, len(items)))
     logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
-    return items, logs.astype(np.float32)
+    return items.tolist(), logs.astype(np.float32)
 
 
 def fit(training: DataFrame, sample=SAMPLE_PER_LANGUAGE, seed=7) -> Model:
-    """A model from rows of text and lang (non-null), with at most about `sample` rows a language.
+    """A model from rows of doc_id, text and lang (non-null), with about `sample` rows a language.
 
-    Rows are drawn with each language's own share, row by row, so copies of a document do not
-    go beyond it. Words and n-grams are counted by Spark; of these the most frequent are kept
-    (MOST_WORDS, MOST_GRAMS per order), which bounds what the driver gets and sends out.
+    A row is drawn by a hash of its id, so the layout of files does not matter; rows that
+    agree in all three count once. Words and n-grams are counted by Spark; the driver gets the
+    counts of the drawn rows, which is all that bounds the model.
     """
     sizes = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], ({}, np.zeros((0, 0), np.float32)), {n: ({}, np.zeros((0, 0), np.float32)) for n in ORDERS})
-    drawn = training.sampleBy("lang", {g: min(1.0, sample / n) for g, n in sizes.items()}, seed)
+        return Model([], ([], np.zeros((0, 0), np.float32)), {n: ([], np.zeros((0, 0), np.float32)) for n in ORDERS})
+    shares = F.create_map(*[F.lit(v) for g in langs for v in (g, min(1.0, sample / sizes[g]))])
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 32)) / float(1 << 32)
+    drawn = training.where(draw < F.try_element_at(shares, F.col("lang"))).dropDuplicates(["doc_id", "lang", "text"])
     counted = drawn.select("lang", "text").mapInArrow(count_words, "lang string, word string, n bigint")
     counted = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
 
-    def most(rows, limit):
-        top = rows.groupBy("item").agg(F.sum("n").alias("_all")).orderBy(F.desc("_all"), "item").limit(limit)
-        return scores_of(rows.join(top, "item").select("item", "lang", "n").toPandas(), langs, limit)
-
-    words = most(counted.select("lang", F.col("word").alias("item"), "n"), MOST_WORDS)
+    words = scores_of(counted.select("lang", F.col("word").alias("item"), "n").toPandas(), langs)
     marked = counted.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("m"))
     grams = {}
     for order in ORDERS:
         cut = F.expr(f"transform(sequence(1, length(m) - {order - 1}), i -> substring(m, i, {order}))")
         cut = F.when(F.length("m") >= order, cut)
         rows = marked.select("lang", "n", F.explode(cut).alias("item"))
-        grams[order] = most(stored(rows.groupBy("lang", "item").agg(F.sum("n").alias("n")), "grams"), MOST_GRAMS)
+        grams[order] = scores_of(rows.groupBy("lang", "item").agg(F.sum("n").alias("n")).toPandas(), langs)
     return Model(langs, words, grams)
 
 
+def pieces(text: bytes):
+    """The text in parts of about SLICE_BYTES, none cut inside a word."""
+    at = 0
+    while len(text) - at > SLICE_BYTES:
+        cut = CUT.search(text, at + SLICE_BYTES)
+        if cut is None:
+            break
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]
+
+
+def text_slices(texts: pa.Array):
+    """(first row, texts): rows of about SLICE_BYTES together; a longer text comes alone, in parts."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > SLICE_BYTES:
+            yield first, texts.slice(first, i - first)
+            first, total = i, 0
+        if size > SLICE_BYTES:
+            for piece in pieces(texts[i].as_buffer().to_pybytes()):
+                yield i, pa.array([piece], pa.binary()).cast(pa.string())
+            first = i + 1
+            continue
+        total += size
+    if first < len(sizes):
+        yield first, texts.slice(first)
+
+
+def add_scores(model: Model, texts: pa.Array, sums: np.ndarray):
+    """Adds the scores of the words of each text to its row of `sums`; a word counts as often as it comes."""
+    words, counts = letter_words(texts)
+    if not len(words):
+        return
+    codes, distinct = coded(words)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    pairs, times = np.unique(owner * len(distinct) + codes, return_counts=True)
+    owner, code = np.divmod(pairs, len(distinct))
+    value = model.of_words(distinct)
+    for lang in range(len(model.langs)):
+        sums[:, lang] += np.bincount(owner, value[code, lang] * times, len(counts))
+
+
 def predictor(broadcast):
     """A mapInArrow function: (row columns..., text) to the same with lang_pred and score."""
 
     def run(batches):
-        model = broadcast.value
+        model = broadcast.value.ready()
         langs = model.langs
-        known, scores = model.words
-        vocabulary = pa.array(list(known), pa.large_string())
         for batch in batches:
             texts = batch.column("text")
-            words, counts = letter_words(texts)
-            codes, distinct = coded(words)
-            sums = np.zeros((len(counts), len(langs)))
-            if len(words) and langs:
-                at = pc.fill_null(pc.index_in(distinct, vocabulary), -1).to_numpy(zero_copy_only=False)
-                value = scores[np.maximum(at, 0)] if len(scores) else np.zeros((len(at), len(langs)), np.float32)
-                missing = np.flatnonzero(at < 0)
-                for i, word in zip(missing.tolist(), distinct.take(pa.array(missing)).to_pylist()):
-                    value[i] = model.unseen(word)
-                total = np.zeros((len(codes) + 1, len(langs)))
-                np.cumsum(value[codes], axis=0, dtype=np.float64, out=total[1:])
-                ends = np.cumsum(counts)
-                sums = total[ends] - total[ends - counts]
-            letter = pc.fill_null(pc.match_substring_regex(texts, LETTER), False).to_numpy(zero_copy_only=False)
+            sums = np.zeros((len(texts), len(langs)))
+            letter = np.zeros(len(texts), bool)
+            for first, part in text_slices(texts):
+                rows = slice(first, first + len(part))
+                has = pc.fill_null(pc.match_substring_regex(part, LETTER), False)
+                letter[rows] |= has.to_numpy(zero_copy_only=False)
+                if langs:
+                    add_scores(model, part, sums[rows])
             named, certain = [], []
             for row, has in zip(sums, letter.tolist()):
                 if not has or not langs:
@@ -169,7 +233,7 @@ def train_and_predict(docs: DataFrame) -> DataFrame:
 
 def fit_documents(docs: DataFrame) -> Model:
     usable = F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 3, 1)
-    return fit(docs.where(usable).select("text", "lang"))
+    return fit(docs.where(usable).select("doc_id", "text", "lang"))
 
 
 def with_language(docs: DataFrame) -> DataFrame:

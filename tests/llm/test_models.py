@@ -180,3 +180,97 @@ def test_backoff():
     assert model.unseen("abcdxyz").argmax() == 0
     assert model.unseen("xyz").argmax() == 1
     assert not model.unseen("q").any()
+
+
+def brute_language(rows):
+    """Languages and scores by the method in plain Python: words by log frequency, else n-grams."""
+    import regex
+
+    words_in = lambda t: regex.findall(r"[\p{L}\p{M}]+", (t or "").lower())
+    train = {(i, g, t) for i, t, g in rows if t is not None and g is not None and zlib.crc32(str("" if i is None else i).encode()) % 3 != 1}
+    langs = sorted({g for _, g, _ in train})
+    counts = {"w": Counter(), **{n: Counter() for n in language.ORDERS}}
+    for _, g, t in train:
+        for w in words_in(t):
+            counts["w"][w, g] += 1
+            for n in language.ORDERS:
+                counts[n].update((f"^{w}$"[i : i + n], g) for i in range(len(w) + 3 - n))
+    known = {kind: {item for item, _ in c} for kind, c in counts.items()}
+    total = {kind: [sum(v for (_, x), v in c.items() if x == g) for g in langs] for kind, c in counts.items()}
+
+    def score(kind, item):
+        logs = [math.log(counts[kind][item, g] + 0.5) - math.log(n + 0.5 * max(1, len(known[kind]))) for g, n in zip(langs, total[kind])]
+        top = max(logs)
+        whole = top + math.log(sum(math.exp(x - top) for x in logs))
+        return [x - whole for x in logs]
+
+    def of_word(w):
+        if w in known["w"]:
+            return score("w", w)
+        for n in language.ORDERS:
+            grams = [g for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in known[n]]
+            if grams:
+                return [sum(x) / len(grams) for x in zip(*[score(n, g) for g in grams])]
+        return [0.0] * len(langs)
+
+    out = []
+    for i, t, _ in rows:
+        if not regex.search(r"\p{L}", t or "") or not langs:
+            out.append((i, "und", 0.0))
+            continue
+        sums = [0.0] * len(langs)
+        for w in words_in(t):
+            sums = [a + b for a, b in zip(sums, of_word(w))]
+        best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+        out.append((i, langs[best], 1 / sum(math.exp(max(s - sums[best], -700)) for s in sums)))
+    return out
+
+
+def test_language_by_brute_force(spark, odd_docs, odd_rows):
+    """Predictions and scores of odd documents and of real ones, every one learnt from."""
+    real = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 3000")
+    for docs in (odd_docs.select("doc_id", "text", "lang"), real):
+        rows = [tuple(r) for r in docs.collect()]
+        expected = sorted(brute_language(rows), key=lambda r: str(r[:2]))
+        predicted = language.train_and_predict(docs).select("doc_id", "lang_pred", "score").collect()
+        got = sorted(map(tuple, predicted), key=lambda r: str(r[:2]))
+        assert [r[:2] for r in got] == [r[:2] for r in expected]
+        assert all(math.isclose(a[2], b[2], rel_tol=1e-3, abs_tol=1e-6) for a, b in zip(got, expected))
+
+
+def test_language_of_long_texts_in_many_languages():
+    """One text of 30 MB and forty languages: the same sums in pieces, in bounded memory."""
+    import resource
+
+    import pyarrow as pa
+
+    langs = [f"l{i:02}" for i in range(40)]
+    vocabulary = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    scores = np.random.default_rng(1).normal(size=(len(vocabulary), 40)).astype(np.float32)
+    empty = {n: ([], np.zeros((0, 40), np.float32)) for n in language.ORDERS}
+
+    class Shared:
+        value = language.Model(langs, (vocabulary, scores), empty)
+
+    picked = np.random.default_rng(2).integers(0, len(vocabulary), 7_500_000)
+    text = " ".join(np.array(vocabulary, object)[picked])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["auk", text, None]})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    (out,) = language.predictor(Shared)([batch])
+    grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+    expected = np.bincount(picked, minlength=len(vocabulary)) @ scores.astype(np.float64)
+    assert out.column("lang_pred")[1].as_py() == langs[expected.argmax()]
+    assert out.column("lang_pred")[2].as_py() == "und"
+    assert grown < 500_000  # kB; whole texts with a row of scores per word took several GB
+
+
+def test_language_does_not_depend_on_files(spark, odd_docs):
+    rows = [sorted(map(str, language.train_and_predict(odd_docs.repartition(n)).collect())) for n in (1, 7)]
+    assert rows[0] == rows[1]
+
+
+def test_pieces_keep_words_whole(monkeypatch):
+    monkeypatch.setattr(language, "SLICE_BYTES", 16)
+    text = ("añb cde,fgh1ijk " * 9 + "ñ" * 40 + " end").encode()
+    parts = list(language.pieces(text))
+    assert b"".join(parts) == text and len(parts) > 5 and "ñ" * 40 in "|".join(p.decode() for p in parts)
