@@ -207,10 +207,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     rows = text_rows(benchmark, "item_id").mapInArrow(window_batches(widths), WINDOW_SCHEMA)
     rows = stored(rows, "benchmark-windows")
     first = rows.groupBy("whole").agg(F.min("id").alias("item_id"))
-    own = rows.drop("id", "text_key").distinct().join(first, "whole")
+    # The items whose own text a variant is.
+    members = rows.groupBy("variant").agg(F.array_sort(F.collect_set("id")).alias("item_ids"))
+    own = rows.drop("id", "text_key").distinct().join(first, "whole").join(members, "variant")
     templates = F.count_if(~F.col("plain")).over(Window.partitionBy("variant")).cast("int")
     windows = F.greatest(F.col("words") - WINDOW + 1, F.lit(1)).alias("windows")
-    columns = ["item_id", "variant", "pos", "hash", "template", "slots", "words", "plain", "templated"]
+    columns = ["item_id", "item_ids", "variant", "pos", "hash", "template", "slots", "words", "plain", "templated"]
     return stored(own.select(*columns, windows, templates.alias("templates")), "item-windows")
 
 
@@ -233,8 +235,9 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
 
     doc_id, text_key, item_id, matched and windows (of the item), coverage (of all its windows
     or of those with a template, whichever is more), slots (distinct values in the item's
-    placeholders that were matched) and slots_changed (those that are another value in the
-    document). item_id is null for items without one. Null and empty texts match
+    placeholders that were matched), slots_changed (those that are another value in the
+    document) and item_ids: of all items of the template, those whose own text comes nearest to
+    the document. item_id is null, and item_ids empty, for items without one. Null and empty texts match
     nothing; items of under five words match where all their words stand in a row. Repeated rows, equal in doc_id and text, give one; other columns are not read.
     """
     spark = docs.sparkSession
@@ -253,6 +256,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
     shifts = met.groupBy(*key, (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
         F.max("windows").alias("windows"),
         F.max("templates").alias("templates"),
+        F.first("item_ids").alias("item_ids"),
         F.collect_set("window").alias("met"),
     )
     shifts = shifts.withColumn("pairs", F.array_distinct(F.flatten("met.pairs")))
@@ -268,6 +272,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
         *key,
         "windows",
         "templates",
+        "item_ids",
         F.array_distinct("kept.pos").alias("at"),
         # Where a template was lost, its place counts among all of the item's, not among those with one.
         F.array_except(F.filter("kept", lambda w: w["templated"])["pos"], F.col("lost.pos")).alias("at_templates"),
@@ -282,6 +287,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage=COVERAGE, long_r
         places("at_templates").alias("_matched_templates"),
         F.max("slots").alias("slots"),
         F.min("slots_changed").alias("slots_changed"),
+        F.first("item_ids").alias("item_ids"),
     )
     of_templates = F.try_divide("_matched_templates", "templates")
     most = F.greatest(F.col("matched") / F.col("windows"), of_templates)

@@ -43,18 +43,12 @@ rated AS (
   SELECT doc_id, no_source, src, size, source_size, target, place,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
   FROM numbered JOIN targets USING (no_source, src)),
-drawn AS (
-  SELECT *, ('0x' || substr(md5('mix|' || draw || '|' || src), 1, 4))::INT / 65536.0::DOUBLE AS shift
-  FROM rated, (SELECT unnest(range(16)) AS draw)),
+shifted AS (
+  SELECT *, ('0x' || substr(md5('mix|' || no_source || src), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift FROM rated),
 taken AS (
   SELECT *, least(floor((place + 1) * rate + shift) - floor(place * rate + shift), ceil(rate))::BIGINT AS copies
-  FROM drawn),
-nearest AS (
-  SELECT no_source, src, arg_min(draw, (off, draw)) AS draw FROM (
-    SELECT no_source, src, draw, abs(sum(copies * size) - any_value(target)) AS off FROM taken GROUP BY ALL)
-  GROUP BY ALL)
-SELECT doc_id, size, source_size, target, copies, copies * size AS taken
-FROM taken JOIN nearest USING (no_source, src, draw)
+  FROM shifted)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM taken
 """
 
 OP6 = r"""

@@ -60,18 +60,17 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def other_candidates(text: str, base) -> list[tuple[int, int, str]]:
-    """Strings of credential characters, outer marks off, that touch no base span."""
-    found, at = [], 0
+    """Strings of credential characters, outer marks off, that no base span covers whole."""
+    found, at, reach = [], 0, 0
     ordered = sorted((start, end) for _, start, end, _ in base)
-    reach = 0
     for m in CANDIDATE.finditer(text):
         value = m[0].strip(".-=/+_")
         start = m.start() + m[0].index(value) if value else m.end()
         end = start + len(value)
-        while at < len(ordered) and ordered[at][0] < end:
-            reach = max(reach, ordered[at][1])
+        while at < len(ordered) and ordered[at][0] <= start:
+            reach = max(reach, ordered[at][1])  # the farthest end of spans that begin before it
             at += 1
-        if len(value) >= LEAST_ASSIGN and reach <= start:
+        if len(value) >= LEAST_ASSIGN and reach < end:
             found.append((start, end, value))
     return found
 
@@ -152,8 +151,8 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format.
 
     Null counts as an empty text, which has no span. Spans are code points, end exclusive; an
-    assignment's span is the whole match. `format` spans are those the grammars add; they
-    touch no base span. Without any credential in the table nothing is added. Repeated rows
+    assignment's span is the whole match. `format` spans are those the grammars add; each is a
+    whole candidate, which no base span covers but which may hold one. Without any credential in the table nothing is added. Repeated rows
     come out repeated; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -104,7 +104,9 @@ def shard_layout(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
     )
     rows = narrow.withColumn("shard", jump_shard(key_of(narrow, "_key"), shards))
     identity = ["_key", "size", "text_crc32"]
-    units = number_rows(rows, ["shard"], [], identity, md5_int(F.col("_key"), STRATA_DIGITS))
+    # By the whole identity: one key, such as null, may have very many rows.
+    stratum = md5_int(F.concat_ws("|", *identity), STRATA_DIGITS)
+    units = number_rows(rows, ["shard"], [], identity, stratum)
     units = units.withColumn("grown_shard", jump_shard(key_of(units, "_key"), shards + 1))
     return each_copy(units).select(
         F.col("_key").alias(key),

@@ -6,6 +6,8 @@ replaces its partition by the same rows, so a retry changes nothing; totals are
 partitions.
 """
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,21 +41,15 @@ def signed(rows: DataFrame, sign: int) -> DataFrame:
     return rows.select(*KEYS, F.lit(sign).cast("bigint").alias("docs"), (F.col("tokens") * sign).alias("tokens"))
 
 
-def revised(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What takes back the old counts and adds the new ones."""
-    return signed(before, -1).union(signed(after, 1))
-
-
 def commit(path: str, batch: str, changes: DataFrame) -> None:
     """Write a batch's deltas (rows of source, lang, version, docs, tokens) below the path.
 
-    A hot source is summed in each task before its shuffle. Only the batch's own partition is
-    replaced, whatever else is there.
+    A hot source is summed in each task before its shuffle. The batch's own folder is replaced
+    as a whole, also by a batch without any row, and no other is touched.
     """
     sums = [F.sum(name).cast("bigint").alias(name) for name in SUMS]
-    deltas = changes.groupBy(*KEYS).agg(*sums).withColumn("batch", F.lit(batch))
-    writer = deltas.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("batch").parquet(path)
+    deltas = changes.groupBy(*KEYS).agg(*sums)
+    deltas.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={quote(batch, safe='')}")
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +66,8 @@ def documents_rollup(docs: DataFrame, labels: DataFrame, path: str | None = None
     `load` inserts every document with its words; `retokenize` revises every document to the
     pieces, and is committed twice, as by a retry; `takedown` deletes the documents that are
     labelled toxic. Null sources and languages are groups of their own; repeated rows count
-    each; repeated labels of one document delete it once.
+    each; repeated labels of one document delete it once; documents without an id are never
+    deleted, as no label names them. Empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-rollup")

@@ -110,6 +110,42 @@ def test_rollup_batches(spark, tmp_path):
     assert got == [str(("a", None, "v1", 2, 7, 2))]
 
 
+def test_rollup_recommit_without_rows(spark, tmp_path):
+    """A batch committed again replaces what it had, also when it has nothing left."""
+    path = str(tmp_path / "rollup")
+    rows = lambda *r: spark.createDataFrame(r, "source string, lang string, version string, docs long, tokens long")
+    token_rollup.commit(path, "a/b=c", rows(("a", None, "v1", 2, 10)))
+    token_rollup.commit(path, "two", rows(("a", None, "v1", 1, 5)))
+    token_rollup.commit(path, "a/b=c", rows(("a", None, "v1", 2, 10)).limit(0))
+    assert [tuple(r) for r in token_rollup.totals(spark, path).collect()] == [("a", None, "v1", 1, 5, 1)]
+
+
+def test_shard_slots_of_one_hot_key(spark):
+    """The rows of one key are numbered over many strata, and still without gaps."""
+    docs = spark.range(20_000).selectExpr("cast(null as long) doc_id", "concat('text ', id) text")
+    got = sharding.shard_layout(docs, 8)
+    assert sorted(r["slot"] for r in got.collect()) == list(range(20_000))
+    assert got.select("shard").distinct().count() == 1
+
+
+def test_mix_of_one_hot_row_and_many_sources(spark):
+    """A row with more copies than a block, beside sources enough for several ranges."""
+    docs = spark.range(12_000).selectExpr(
+        "if(id < 9000, 1, id) doc_id", "if(id < 9000, 'same words here', concat('w ', id)) text",
+        "if(id < 9000, 's', concat('s', id % 700)) source")
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r["source"]] += len(r["text"].split())
+    target = brute_targets(sizes)
+    report = mixing.mix_report(docs).collect()
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    assert all(math.isclose(r["target"], target[source[r["doc_id"]]], rel_tol=1e-9) for r in report)
+    mixed = Counter()
+    for r in mixing.mix(docs).collect():
+        mixed[r["source"]] += len(r["text"].split())
+    assert all(abs(mixed[s] - target[s]) <= 3 for s in sizes)
+
+
 def test_rollup_odd(odd_docs, no_docs, spark):
     labels = spark.createDataFrame([(5, 1), (5, 1), (6, 0), (9, 1)], "doc_id long, toxic int")
     got = token_rollup.documents_rollup(odd_docs, labels).collect()
@@ -217,6 +253,8 @@ def test_leaks_of_one_template(spark):
     got = found_pairs(spark, texts, bench)
     # 5 and 5 may stand for 3 and 4; 3 and 4 not for 5 and 5. Items 3 and 4 are one.
     assert set(got) >= {(0, 1), (0, 2), (1, 2), (2, 3), (3, 3), (4, 2), (5, 3)}
+    # Of the items of one template, the one whose own words the document holds is named.
+    assert [got[pair]["item_ids"] for pair in [(0, 1), (1, 2), (2, 3), (3, 3)]] == [[1], [2], [3], [4]]
     assert {d for d, _ in got} == set(range(6))
     assert all(got[pair]["coverage"] == 1.0 and got[pair]["slots_changed"] == 0 for pair in [(0, 1), (1, 2), (2, 3), (3, 3)])
 
@@ -243,7 +281,9 @@ def test_leaks_of_odd_rows(spark):
     got = found_pairs(spark, texts, once)
     assert set(got) == {(0, 1), (1, 1), (2, None), (3, None)}
     again = found_pairs(spark, texts, once * 5 + [(7, few)] * 3)
-    assert {k: tuple(r) for k, r in again.items()} == {k: tuple(r) for k, r in got.items()}
+    values = lambda found: {k: {**r.asDict(), "item_ids": None} for k, r in found.items()}
+    assert values(again) == values(got)
+    assert got[0, 1]["item_ids"] == [1] and again[0, 1]["item_ids"] == [1, 7] and got[2, None]["item_ids"] == []
 
 
 def test_leaks_of_short_items(spark):
@@ -330,13 +370,11 @@ def brute_pipeline(rows, items):
     for source, target in brute_targets(sizes).items():
         own = sorted((r for r in rows if r[3] == source), key=lambda r: size[r[0]])
         assert len({size[r[0]] for r in own}) == len(own) and max(size.values()) < 128  # the order is by size alone
-        rate, draws = target / sizes[source], []
-        for k in range(mixing.OFFSETS):
-            digest = hashlib.md5(f"{mixing.SEED}|{k}|{source or ''}".encode()).hexdigest()
-            shift = int(digest[: mixing.OFFSET_DIGITS], 16) / 16**mixing.OFFSET_DIGITS
-            taken = [math.floor((i + 1) * rate + shift) - math.floor(i * rate + shift) for i in range(len(own))]
-            draws.append((abs(sum(n * size[r[0]] for n, r in zip(taken, own)) - target), k, taken))
-        for n, r in zip(min(draws)[2], own):
+        rate = target / sizes[source]
+        digest = hashlib.md5(f"{mixing.SEED}|{'true' if source is None else 'false'}{source or ''}".encode()).hexdigest()
+        shift = int(digest[: mixing.OFFSET_DIGITS], 16) / 16**mixing.OFFSET_DIGITS
+        for i, r in enumerate(own):
+            n = math.floor((i + 1) * rate + shift) - math.floor(i * rate + shift)
             out[(*r, brute_jump(r[0], 8), brute_jump(r[0], 9))] += n
     return +out
 

@@ -182,6 +182,14 @@ def test_backoff():
     assert not model.unseen("q").any()
 
 
+def test_secrets_score_whole_candidates():
+    """A candidate that holds a base span is scored whole; one that a base span covers is not."""
+    text = "sk-live-AbCdEf0123456789abcdef0123XyZ_TAIL-end token = 'abcdefghijklmnop' 0123456789abcdef0123"
+    base = secrets.base_spans(text)
+    assert [secrets.KINDS[k] for k, *_ in base] == ["hex", "assign", "hex"]
+    assert secrets.other_candidates(text, base) == [(0, 46, "sk-live-AbCdEf0123456789abcdef0123XyZ_TAIL-end")]
+
+
 def brute_language(rows):
     """Languages and scores by the method in plain Python: words by log frequency, else n-grams."""
     import regex
