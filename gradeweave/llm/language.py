@@ -18,7 +18,7 @@ UNKNOWN = "und"
 #: The fit's bound: expected training documents per language. All their words and n-grams are kept.
 SAMPLE_PER_LANGUAGE = 2000
 #: Bytes of text that are scored at a time; a longer text goes through in pieces.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 #: Unseen words whose scores a task remembers.
 REMEMBERED = 50_000
 ORDERS = (4, 3, 2, 1)
@@ -55,7 +55,7 @@ class Model:
     def ready(self):
         """Makes the lookups, once in each task's process."""
         if not hasattr(self, "places"):
-            self.vocabulary = pa.array(list(self.words[0]), pa.large_string())
+            self.vocabulary = dict(zip(self.words[0], range(len(self.words[0]))))
             self.places = {order: dict(zip(items, range(len(items)))) for order, (items, _) in self.grams.items()}
             self.remembered = {}
         return self
@@ -79,11 +79,11 @@ class Model:
     def of_words(self, distinct: pa.Array) -> np.ndarray:
         """A row of scores for each of some distinct words."""
         _, scores = self.words
-        at = pc.fill_null(pc.index_in(distinct, self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        names, place = distinct.to_pylist(), self.vocabulary.get
+        at = np.fromiter((place(name, -1) for name in names), np.int64, len(names))
         value = scores[np.maximum(at, 0)] if len(scores) else np.zeros((len(at), len(self.langs)), np.float32)
-        missing = np.flatnonzero(at < 0)
-        for i, word in zip(missing.tolist(), distinct.take(pa.array(missing)).to_pylist()):
-            value[i] = self.unseen(word)
+        for i in np.flatnonzero(at < 0).tolist():
+            value[i] = self.unseen(names[i])
         return value
 
 
