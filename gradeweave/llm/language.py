@@ -47,7 +47,10 @@ def count_words(batches):
 
 
 class Model:
-    """Log frequencies: `words` and, by order, `grams`, each (items, a row of scores per item)."""
+    """Log frequencies: `words` and, by order, `grams`, each (items, a row of scores per item).
+
+    Items are an Arrow array; only a task's process makes Python strings of them.
+    """
 
     def __init__(self, langs, words, grams):
         self.langs, self.words, self.grams = langs, words, grams
@@ -55,8 +58,9 @@ class Model:
     def ready(self):
         """Makes the lookups, once in each task's process."""
         if not hasattr(self, "places"):
-            self.vocabulary = dict(zip(self.words[0], range(len(self.words[0]))))
-            self.places = {order: dict(zip(items, range(len(items)))) for order, (items, _) in self.grams.items()}
+            place = lambda items: {name: i for i, name in enumerate(names_of(items))}
+            self.vocabulary = place(self.words[0])
+            self.places = {order: place(items) for order, (items, _) in self.grams.items()}
             self.remembered = {}
         return self
 
@@ -87,15 +91,22 @@ class Model:
         return value
 
 
-def scores_of(counts, langs):
-    """(items, scores): log P(lang | item) of each item if languages were equally common."""
-    items, row = np.unique(counts["item"].to_numpy(dtype=object), return_inverse=True)
-    place = {lang: i for i, lang in enumerate(langs)}
-    table = np.zeros((len(items), len(langs)))
-    table[row, [place[g] for g in counts["lang"]]] = counts["n"]
-    logs = np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * max(1, len(items)))
+def scores_of(counts: DataFrame, langs):
+    """(items, scores): log P(lang | item) of each item if languages were equally common.
+
+    `counts` has item, lang and n; a row per item comes to the driver, as plain columns.
+    """
+    of_lang = [F.sum(F.when(F.col("lang") == g, F.col("n")).otherwise(0)).alias(f"n{i}") for i, g in enumerate(langs)]
+    found = counts.groupBy("item").agg(*of_lang).toArrow()
+    logs = np.stack([found.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.float64)
+    total = logs.sum(axis=0)
+    logs = np.log(logs + SMOOTHING) - np.log(total + SMOOTHING * max(1, len(logs)))
     logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
-    return items.tolist(), logs.astype(np.float32)
+    return found.column("item").combine_chunks(), logs.astype(np.float32)
+
+
+def names_of(items) -> list:
+    return items.to_pylist() if isinstance(items, (pa.Array, pa.ChunkedArray)) else list(items)
 
 
 def fit(training: DataFrame, sample=SAMPLE_PER_LANGUAGE, seed=7) -> Model:
@@ -115,14 +126,14 @@ def fit(training: DataFrame, sample=SAMPLE_PER_LANGUAGE, seed=7) -> Model:
     counted = drawn.select("lang", "text").mapInArrow(count_words, "lang string, word string, n bigint")
     counted = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
 
-    words = scores_of(counted.select("lang", F.col("word").alias("item"), "n").toPandas(), langs)
+    words = scores_of(counted.select("lang", F.col("word").alias("item"), "n"), langs)
     marked = counted.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("m"))
     grams = {}
     for order in ORDERS:
         cut = F.expr(f"transform(sequence(1, length(m) - {order - 1}), i -> substring(m, i, {order}))")
         cut = F.when(F.length("m") >= order, cut)
         rows = marked.select("lang", "n", F.explode(cut).alias("item"))
-        grams[order] = scores_of(rows.groupBy("lang", "item").agg(F.sum("n").alias("n")).toPandas(), langs)
+        grams[order] = scores_of(rows, langs)
     return Model(langs, words, grams)
 
 
