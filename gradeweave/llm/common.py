@@ -13,6 +13,8 @@ from ..session import scratch_path
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows that one explode makes from one row before they are dealt out again.
 BLOCK_ROWS = 4096
+#: Bytes of text whose words a task holds at a time.
+SLICE_BYTES = 4 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -104,6 +106,22 @@ def each_copy(units: DataFrame, copies: str = "copies", name: str = "copy") -> D
     return dealt.withColumn(name, F.explode(F.sequence(first, to))).drop("_block")
 
 
+def by_bytes(batches, column: str = "text", most: int = SLICE_BYTES):
+    """The batches in slices of about `most` bytes of text each; a longer text comes alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        first = total = 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > first and total + size > most:
+                yield batch.slice(first, i - first)
+                first, total = i, 0
+            total += size
+        if first < len(sizes):
+            yield batch.slice(first)
+    # What the pool holds for reuse would stay with the process through the stages to come.
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(texts: pa.Array, lower: bool = True):
     """(words, counts): the words of all texts in a row, and how many each text has. Null: none."""
     if isinstance(texts, pa.ChunkedArray):

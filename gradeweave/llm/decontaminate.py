@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import coded, hashes, mixed, stored, words_of
+from .common import by_bytes, coded, hashes, mixed, stored, words_of
 
 WINDOW = 8
 #: Items of fewer than WINDOW words are one window; of fewer than this, one of plain words only.
@@ -126,7 +126,7 @@ def window_batches(widths, known=None, least=None):
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             words, codes, kinds, exact, values, counts = canonical(batch.column("text"))
             firsts = np.cumsum(counts) - counts
             ids, keys = batch.column("id"), batch.column("text_key")

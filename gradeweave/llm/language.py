@@ -12,13 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, stored, words_of
+from .common import SLICE_BYTES, by_bytes, coded, stored, words_of
 
 UNKNOWN = "und"
 #: The fit's bound: expected training documents per language. All their words and n-grams are kept.
 SAMPLE_PER_LANGUAGE = 2000
-#: Bytes of text that are scored at a time; a longer text goes through in pieces.
-SLICE_BYTES = 4 << 20
 #: Unseen words whose scores a task remembers.
 REMEMBERED = 50_000
 ORDERS = (4, 3, 2, 1)
@@ -37,10 +35,10 @@ def letter_words(texts: pa.Array):
 
 def count_words(batches):
     """(lang, word, n) of each batch."""
-    for batch in batches:
-        for first, part in text_slices(batch.column("text")):
+    for batch in by_bytes(batches):
+        for part in text_parts(batch.column("text")):
             words, counts = letter_words(part)
-            lang = batch.column("lang").take(pa.array(first + np.repeat(np.arange(len(counts)), counts)))
+            lang = batch.column("lang").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
             table = pa.table({"lang": lang, "word": words.cast(pa.string())})
             table = table.group_by(["lang", "word"]).aggregate([([], "count_all")])
             yield from table.rename_columns(["lang", "word", "n"]).to_batches()
@@ -149,22 +147,13 @@ def pieces(text: bytes):
     yield text[at:]
 
 
-def text_slices(texts: pa.Array):
-    """(first row, texts): rows of about SLICE_BYTES together; a longer text comes alone, in parts."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    first = total = 0
-    for i, size in enumerate(sizes.tolist()):
-        if total and total + size > SLICE_BYTES:
-            yield first, texts.slice(first, i - first)
-            first, total = i, 0
-        if size > SLICE_BYTES:
-            for piece in pieces(texts[i].as_buffer().to_pybytes()):
-                yield i, pa.array([piece], pa.binary()).cast(pa.string())
-            first = i + 1
-            continue
-        total += size
-    if first < len(sizes):
-        yield first, texts.slice(first)
+def text_parts(texts: pa.Array):
+    """The texts of a slice together, or one that is longer than a slice in parts."""
+    if len(texts) == 1 and texts[0].is_valid and len(data := texts[0].as_buffer()) > SLICE_BYTES:
+        for piece in pieces(data.to_pybytes()):
+            yield pa.array([piece], pa.binary()).cast(pa.string())
+    else:
+        yield texts
 
 
 def add_scores(model: Model, texts: pa.Array, sums: np.ndarray):
@@ -187,16 +176,15 @@ def predictor(broadcast):
     def run(batches):
         model = broadcast.value.ready()
         langs = model.langs
-        for batch in batches:
+        for batch in by_bytes(batches):
             texts = batch.column("text")
             sums = np.zeros((len(texts), len(langs)))
             letter = np.zeros(len(texts), bool)
-            for first, part in text_slices(texts):
-                rows = slice(first, first + len(part))
+            for part in text_parts(texts):
                 has = pc.fill_null(pc.match_substring_regex(part, LETTER), False)
-                letter[rows] |= has.to_numpy(zero_copy_only=False)
+                letter |= has.to_numpy(zero_copy_only=False)
                 if langs:
-                    add_scores(model, part, sums[rows])
+                    add_scores(model, part, sums)
             named, certain = [], []
             for row, has in zip(sums, letter.tolist()):
                 if not has or not langs:
@@ -258,9 +246,9 @@ def keeper(broadcast):
     predict = predictor(broadcast)
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             text = pa.RecordBatch.from_arrays([batch.column("text")], ["text"])
-            for labelled in predict([text]):
-                yield batch.filter(pc.not_equal(labelled.column("lang_pred"), UNKNOWN))
+            (labelled,) = predict([text])
+            yield batch.filter(pc.not_equal(labelled.column("lang_pred"), UNKNOWN))
 
     return run

@@ -8,6 +8,7 @@ carry-save counters, and a comparison ends once all counters have passed the rad
 Links become components by rounds of hooking to the smallest neighbour.
 """
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import row_key, rows_once, stored, words_of
+from .common import by_bytes, row_key, rows_once, stored, words_of
 
 RADIUS = 4
 SHINGLE = 4
@@ -54,21 +55,17 @@ def fingerprint_of(words: list, width: int = SHINGLE) -> int:
 
 
 def fingerprint_batches(batches):
-    for batch in batches:
+    for batch in by_bytes(batches):
         words, counts = words_of(batch.column("text"))
         known = {}  # copies in a batch are hashed once
         values, at = [], 0
         for count in counts.tolist():
             own = words.slice(at, count).to_pylist()
             at += count
-            key = tuple(own) if count < 512 else None
-            if key is None or key not in known:
-                value = fingerprint_of(own)
-                if key is not None:
-                    known[key] = value
-            else:
-                value = known[key]
-            values.append(value)
+            key = hashlib.blake2b(" ".join(own).encode(), digest_size=16).digest()
+            if key not in known:
+                known[key] = fingerprint_of(own)
+            values.append(known[key])
         signed = np.array(values, np.uint64).view(np.int64)
         carried = [name for name in batch.schema.names if name != "text"]
         yield pa.RecordBatch.from_arrays(

@@ -264,7 +264,7 @@ def test_language_of_long_texts_in_many_languages():
     text = " ".join(np.array(vocabulary, object)[picked])
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["auk", text, None]})
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-    (out,) = language.predictor(Shared)([batch])
+    out = pa.Table.from_batches(language.predictor(Shared)([batch]))
     grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
     expected = np.bincount(picked, minlength=len(vocabulary)) @ scores.astype(np.float64)
     assert out.column("lang_pred")[1].as_py() == langs[expected.argmax()]
