@@ -106,6 +106,15 @@ def each_copy(units: DataFrame, copies: str = "copies", name: str = "copy") -> D
     return dealt.withColumn(name, F.explode(F.sequence(first, to))).drop("_block")
 
 
+def copied(rows, first: int, until: int):
+    """These rows of a batch, in buffers of their own.
+
+    Arrow's string functions misread a slice that was cast to longer offsets.
+    """
+    whole = first == 0 and until == rows.num_rows
+    return rows if whole else rows.take(pa.array(np.arange(first, until)))
+
+
 def by_bytes(batches, column: str = "text", most: int = SLICE_BYTES):
     """The batches in slices of about `most` bytes of text each; a longer text comes alone."""
     for batch in batches:
@@ -113,11 +122,11 @@ def by_bytes(batches, column: str = "text", most: int = SLICE_BYTES):
         first = total = 0
         for i, size in enumerate(sizes.tolist()):
             if i > first and total + size > most:
-                yield batch.slice(first, i - first)
+                yield copied(batch, first, i)
                 first, total = i, 0
             total += size
         if first < len(sizes):
-            yield batch.slice(first)
+            yield copied(batch, first, len(sizes))
     # What the pool holds for reuse would stay with the process through the stages to come.
     pa.default_memory_pool().release_unused()
 
@@ -128,6 +137,8 @@ def words_of(texts: pa.Array, lower: bool = True):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts, "")
     if pa.types.is_string(texts.type):
+        if texts.offset:
+            texts = texts.take(pa.array(np.arange(len(texts))))
         texts = texts.cast(pa.large_string())  # a batch of long texts may pass 2 GB of offsets
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words = split.flatten()

@@ -4,10 +4,11 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from gradeweave.llm import exact_dedup, simhash
+from gradeweave.llm import common, exact_dedup, simhash
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -72,6 +73,23 @@ def test_close_pairs_and_tiles():
     assert [len(x) for x in simhash.close_pairs(values[:0])] == [0, 0]
 
 
+def test_words_of_slices():
+    """Words of a batch cut in slices, and of an array that is itself a slice."""
+    texts = ["Ab é C", None, "", "ÖÄ 😀x\x0by z" * 50, " \x1c\u00a0 ", *[f"w{i} Ünï {i}" for i in range(400)]]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    split = lambda t: [w for w in BLANKS.split(ascii_lower(t or "")) if w]
+    for most in (1, 50, 1000, 1 << 22):
+        found, ids = [], []
+        for part in common.by_bytes([batch.slice(3), batch.slice(0, 3)], most=most):
+            words, counts = common.words_of(part.column("text"))
+            ends = np.cumsum(counts)
+            found += [words[e - c : e].to_pylist() for e, c in zip(ends.tolist(), counts.tolist())]
+            ids += part.column("id").to_pylist()
+        assert ids == [*range(3, len(texts)), 0, 1, 2] and found == [split(texts[i]) for i in ids]
+    words, counts = common.words_of(batch.column("text").slice(200))
+    assert words.to_pylist() == [w for t in texts[200:] for w in split(t)]
+
+
 def check_near(docs, rows):
     prints = [brute_fingerprint(r[1]) for r in rows]
     roots = brute_components(prints, [r[0] for r in rows])
