@@ -200,8 +200,8 @@ rate AS (
  FROM run GROUP BY 1, 2)
 """
 
-# Rankings, worked out by unnesting the numbers of a response.
-PLACED = """
+# Rollouts and their responses.
+SAID = """
 WITH base AS MATERIALIZED (
  SELECT o_orderkey AS problem_id, CAST(r AS BIGINT) AS rollout_idx, o_custkey,
   o_orderstatus AS generator, o_orderpriority AS difficulty,
@@ -223,7 +223,11 @@ said AS MATERIALIZED (
   WHEN 5 THEN 'Best: ' || ids[1] || ' ' || array_to_string(ids, ' ') || ' then 12345'
   WHEN 6 THEN (n + 1) || ', 0, ' || array_to_string(ids, ', ')
   ELSE '00002, ' || array_to_string(list_filter(ids, lambda d: d <> '2'), ', ') END AS response
- FROM perm),
+ FROM perm)
+"""
+
+# Rankings, worked out by unnesting the numbers of a response.
+PLACED = f"""{SAID},
 number AS (
  SELECT problem_id, rollout_idx, n, unnest(nums) AS d, generate_subscripts(nums, 1) AS seen FROM (
   SELECT problem_id, rollout_idx, n,
@@ -264,6 +268,30 @@ scored AS (
  FROM base b LEFT JOIN metric m USING (problem_id, rollout_idx))
 """
 
+# The same row by row, in list functions alone.
+LISTED = f"""{SAID},
+numbers AS (
+ SELECT *, list_filter(list_transform(list_filter(
+   regexp_extract_all(string_split(response, '</think>')[-1], '[0-9]+'), lambda d: length(d) <= 4),
+   lambda d: CAST(d AS INT)), lambda d: d >= 1 AND d <= n) AS seen FROM said),
+listed AS (
+ SELECT *, list_filter(seen, lambda d, i: list_position(seen, d) = i) AS chosen FROM numbers),
+judged AS (
+ SELECT *, CASE WHEN len(chosen) = n THEN list_transform(chosen, lambda d: rates[d]) END AS rel,
+  list_reverse_sort(rates) AS best FROM listed),
+summed AS (
+ SELECT *, list_sum(list_transform(rel, lambda r, i: (pow(2, r) - 1) / log2(i + 1))) AS dcg,
+  list_sum(list_transform(best, lambda r, i: (pow(2, r) - 1) / log2(i + 1))) AS idcg,
+  list_sum(list_transform(rel, lambda a, i: len(list_filter(rel[i + 1:], lambda b: b < a)))) AS better,
+  list_sum(list_transform(rel, lambda a, i: len(list_filter(rel[i + 1:], lambda b: b <> a)))) AS unequal
+ FROM judged),
+scores AS (
+ SELECT problem_id, rollout_idx, array_to_string(list_transform(chosen, lambda d: d - 1), ' ') AS ranking, rel,
+  CASE WHEN rel IS NULL THEN -1.0E0 WHEN idcg = 0 THEN 1.0E0 ELSE dcg / idcg END AS ndcg,
+  CASE WHEN rel IS NULL THEN -1.0E0 WHEN unequal = 0 THEN 1.0E0 ELSE better / unequal END AS pairacc,
+  CASE WHEN rel IS NULL THEN -1.0E0 WHEN rel[1] = best[1] THEN 1.0E0 ELSE 0.0E0 END AS top1_acc FROM summed)
+"""
+
 METRIC = """
 WITH metric AS (
  SELECT CAST(extract(day FROM ts) AS INT) * 10 AS step, CAST(user_id % 10 AS INT) AS repeat_idx,
@@ -344,16 +372,15 @@ def oracle_sql():
              round(coalesce(sum(r.pass_rate), 0), 9) AS sum_rates
             FROM problem p LEFT JOIN kept k USING (problem_id) LEFT JOIN rate r USING (problem_id, sample_idx)
             GROUP BY 1""",
-        "parse_ranking": f"""{PLACED} SELECT problem_id, rollout_idx, ranking FROM base LEFT JOIN (
-             SELECT problem_id, rollout_idx, string_agg(CAST(id - 1 AS VARCHAR), ' ' ORDER BY place) AS ranking
-             FROM placed GROUP BY 1, 2) USING (problem_id, rollout_idx)""",
+        "parse_ranking": f"""{LISTED} SELECT problem_id, rollout_idx,
+            CASE WHEN rel IS NOT NULL THEN ranking END AS ranking FROM scores""",
         "ndcg": f"{RANKED} SELECT problem_id, rollout_idx, round(ndcg, 9) AS ndcg FROM metric",
         "ndcg_at_2": f"{RANKED} SELECT problem_id, rollout_idx, round(ndcg2, 9) AS ndcg FROM metric",
         "pairacc": f"{RANKED} SELECT problem_id, rollout_idx, round(pairacc, 9) AS pairacc FROM metric",
         "top1_acc": f"{RANKED} SELECT problem_id, rollout_idx, round(top1_acc, 9) AS top1_acc FROM metric",
-        "reward": f"""{RANKED} SELECT problem_id, rollout_idx, round(score, 9) AS score,
-            round(ndcg, 9) AS ndcg, round(pairacc, 9) AS pairacc, round(top1_acc, 9) AS top1_acc FROM scored""",
-        "reward_by_ndcg": f"{RANKED} SELECT problem_id, rollout_idx, round(ndcg, 9) AS score FROM scored",
+        "reward": f"""{LISTED} SELECT problem_id, rollout_idx, round(pairacc, 9) AS score,
+            round(ndcg, 9) AS ndcg, round(pairacc, 9) AS pairacc, round(top1_acc, 9) AS top1_acc FROM scores""",
+        "reward_by_ndcg": f"{LISTED} SELECT problem_id, rollout_idx, round(ndcg, 9) AS score FROM scores",
         "reward_summary": f"""{RANKED} SELECT step, count(*) AS n, round(avg(score), 9) AS mean_score,
             round(avg(ndcg), 9) AS mean_ndcg, round(avg(pairacc), 9) AS mean_pairacc,
             round(avg(top1_acc), 9) AS mean_top1_acc,
