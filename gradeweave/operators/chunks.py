@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 4096
+#: Copies of a key's row that one task makes; the blocks of a key with more are dealt out first.
+BLOCK_CHUNKS = 64
 
 
 def chunk_number(index: str, rows: int = CHUNK_ROWS):
@@ -38,15 +40,46 @@ def join_by_key(
     """
     chunked = rows.withColumn("_chunk", chunk_number(index, chunk_rows))
     numbered = rows if numbering is None else numbering
-    filled = numbered.select(
-        F.col(key).alias("_key"), chunk_number(index, chunk_rows).alias("_chunk")
-    ).distinct()
     how = "left" if keep_all_keys else "inner"
+    copies = chunk_copies(per_key, key, numbered, index, chunk_rows, how, only)
+    return copies.join(chunked, [key, "_chunk"], how).drop("_chunk")
+
+
+def chunk_copies(
+    per_key: DataFrame,
+    key: str,
+    numbering: DataFrame,
+    index: str,
+    chunk_rows: int = CHUNK_ROWS,
+    how: str = "inner",
+    only: Column | None = None,
+) -> DataFrame:
+    """The rows of `per_key`, each once per `_chunk` that its key fills in `numbering`.
+
+    Copies are made on two levels: a key's chunks are listed in blocks, and its row is joined
+    to the list of each block. A key's first block is spread where it is; further blocks, of a
+    hot key only, are dealt over tasks before their copies are made, so the copies of one key
+    are no task's alone. With how='left', a key without chunks stays, with a null chunk.
+    """
+    chunk = chunk_number(index, chunk_rows)
+    block = F.expr(f"_chunk div {BLOCK_CHUNKS}")
+    blocks = (
+        numbering.select(F.col(key).alias("_key"), chunk.alias("_chunk"))
+        .groupBy("_key", block.alias("_block"))
+        # The block once more: a filter on a result is not pushed below the shared shuffle.
+        .agg(F.collect_set("_chunk").alias("_chunks"), F.max(block).alias("_at"))
+        .drop("_block")
+    )
     takes = F.col(key) == F.col("_key")
     if only is not None:
         takes = takes & only
-    copies = per_key.join(filled, takes, how).drop("_key")
-    return copies.join(chunked, [key, "_chunk"], how).drop("_chunk")
+    placed = per_key.join(blocks, takes, how).drop("_key")
+    first = placed.where(F.coalesce("_at", F.lit(0)) == 0)
+    more = placed.where(F.col("_at") > 0).repartition(key, "_at")
+    spread = [
+        part.select(*per_key.columns, F.explode_outer("_chunks").alias("_chunk")) for part in (first, more)
+    ]
+    return spread[0].union(spread[1])
 
 
 def bounds_below(bounds: Column, value: Column, most: int) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions import text
-from .chunks import CHUNK_ROWS, chunk_number, join_by_key
+from .chunks import CHUNK_ROWS, chunk_copies, chunk_number, join_by_key
 from .rows import each
 
 # Samples per nested row: at 0.4 MB a text, the most a context window holds, about 100 MB.
@@ -64,6 +64,65 @@ def nest_samples(samples: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     )
 
 
+def nest_completions(completions: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(problem_id, part, members): stripped outputs and finish reasons in sample order.
+
+    This is the one shuffle of the texts.
+    """
+    member = F.struct("sample_idx", text.strip(F.col("output")).alias("output"), "finish_reason")
+    part = chunk_number("sample_idx", part_rows).alias("part")
+    return completions.groupBy("problem_id", part).agg(F.array_sort(F.collect_list(member)).alias("members"))
+
+
+def nest_rates(rates: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(problem_id, part, rates): a map from sample number to pass rate, in parts as the texts are."""
+    part = chunk_number("sample_idx", part_rows).alias("part")
+    entries = F.collect_list(F.struct("sample_idx", "pass_rate"))
+    return rates.groupBy("problem_id", part).agg(F.map_from_entries(entries).alias("rates"))
+
+
+def generated_table(
+    asked: DataFrame,
+    completions: DataFrame,
+    rates: DataFrame | None = None,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """The nested table: problem columns beside the arrays of their samples.
+
+    asked: problems with `over_budget`; completions: (problem_id, sample_idx, output,
+    finish_reason); rates: (problem_id, sample_idx, pass_rate), or None where nothing was
+    verified. Rows are parts as in `nest_samples`. Texts are nested once by (problem, part);
+    rates are nested by the same keys and zipped in the row, and the problem's copies, one
+    per part, come to where the texts are. A problem over budget takes no samples; it, and
+    one without any, keeps one row with empty arrays.
+    """
+    nested = nest_completions(completions, part_rows)
+    if rates is None:
+        nested = nested.withColumn("rates", F.lit(None).cast("map<bigint,double>"))
+    else:
+        nested = nested.join(nest_rates(rates, part_rows), ["problem_id", "part"], "left")
+    parts = completions.groupBy("problem_id").agg(F.max(chunk_number("sample_idx", part_rows)).alias("_last"))
+    copies = chunk_copies(
+        asked.join(parts, "problem_id", "left"), "problem_id", completions, "sample_idx", part_rows, "left", ~F.col("over_budget")
+    )
+    joined = copies.withColumnRenamed("_chunk", "part").join(nested, ["problem_id", "part"], "left")
+    kept = F.col("part").isNotNull()
+    members = F.coalesce("members", F.array().cast(dict(nested.dtypes)["members"]))
+    rate = lambda member: F.try_element_at(F.col("rates"), member["sample_idx"].cast("bigint"))
+    part = F.coalesce("part", F.lit(0).cast("bigint"))
+    problem = [c for c in asked.columns if c != "problem_id"]
+    return joined.withColumn("members", members).select(
+        "problem_id",
+        *problem,
+        part.alias("part"),
+        F.when(kept, F.col("_last") + 1).otherwise(1).cast("bigint").alias("n_parts"),
+        (part * part_rows).alias("first_sample"),
+        F.col("members.output").alias(fx.OUTPUTS),
+        F.col("members.finish_reason").alias(fx.FINISH_REASONS),
+        F.transform("members", rate).alias(fx.PASS_RATES),
+    )
+
+
 def paired(outputs: str = fx.OUTPUTS, rates: str = fx.PASS_RATES) -> Column:
     """Array of (output, pass_rate) by place, cut to the shorter; null when there is none."""
     both = F.least(F.size(outputs), F.size(rates))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .chunks import CHUNK_ROWS, join_by_key
+from .chunks import CHUNK_ROWS, chunk_copies, chunk_number, join_by_key
 from .problems import test_cases
 from .rows import each, with_known
 
@@ -61,15 +61,22 @@ def with_programs(worklist: DataFrame) -> DataFrame:
     )
 
 
-def run_passed(expected: Column) -> Column:
-    """Did the run succeed and print what was expected? Never null."""
-    ok = (
+def text_digest(value: Column) -> Column:
+    """16 bytes that tell stripped texts apart; texts themselves are not shuffled to compare them."""
+    return F.unhex(F.md5(text.strip(value)))
+
+
+def succeeded(executions: DataFrame) -> DataFrame:
+    """(problem_id, sample_idx, test_idx, said) of the runs that ended well; `said` is the output's digest.
+
+    The others cannot have passed, so they end at the scan. A null output counts as empty.
+    """
+    well = (
         (F.col("status") == 200)
         & ~F.coalesce(F.col("timed_out"), F.lit(False))
         & (F.col("exit_code") == 0)
-        & (text.strip(F.coalesce(F.col("stdout"), F.lit(""))) == text.strip(expected))
     )
-    return F.coalesce(ok, F.lit(False))
+    return executions.where(well).select(*RUN, text_digest(F.coalesce("stdout", F.lit(""))).alias("said"))
 
 
 def verify(worklist: DataFrame, executions: DataFrame) -> DataFrame:
@@ -77,10 +84,73 @@ def verify(worklist: DataFrame, executions: DataFrame) -> DataFrame:
 
     A run with several results, as from a retry, counts once, and passed if any of them did.
     """
-    results = executions.select(*RUN, "status", "stdout", "exit_code", "timed_out")
-    joined = worklist.select(*RUN, "expected_output").join(results, list(RUN), "left")
-    passed = run_passed(F.col("expected_output"))
-    return joined.groupBy(*RUN).agg(F.max(passed).alias("passed"))
+    wanted = worklist.select(*RUN, text_digest(F.col("expected_output")).alias("said"))
+    right = succeeded(executions).distinct().withColumn("_right", F.lit(True))
+    joined = wanted.join(right, [*RUN, "said"], "left")
+    return joined.select(*RUN, F.coalesce("_right", F.lit(False)).alias("passed"))
+
+
+def sample_verdicts(
+    samples: DataFrame,
+    problems: DataFrame,
+    executions: DataFrame,
+    max_tests: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """(problem_id, sample_idx, n_tests, n_passed, passed): a row per sample with code and tests.
+
+    samples and problems as for `execution_worklist`, whose rows are never made here. `passed`
+    holds, per 64 tests, a bit for each that any run of it passed, so retries count once.
+    Expected texts become digests in their problem's row; a run passed if its digest is that
+    of its test, found by a join on (problem, sample chunk, test, digest).
+    """
+    cases = test_cases(F.col("test_suites"), max_tests)
+    tested = problems.select(
+        "problem_id", F.transform(cases, lambda case: text_digest(case["output"])).alias("_digests")
+    ).where(F.size("_digests") > 0)
+    copies = chunk_copies(tested, "problem_id", samples, "sample_idx", chunk_rows)
+    wanted = each(copies, ["problem_id", "_chunk"], F.col("_digests"), "test_idx", "said")
+    runs = succeeded(executions).withColumn("_chunk", chunk_number("sample_idx", chunk_rows))
+    # The runs that said what was wanted; a copy has a test once, so a run is joined once.
+    right = runs.join(wanted, ["problem_id", "_chunk", "test_idx", "said"])
+    word = F.expr("cast(test_idx as bigint) div 64")
+    bit = F.expr("shiftleft(1L, cast(test_idx as int) % 64)")
+    words = right.groupBy("problem_id", "sample_idx", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    passed = words.groupBy("problem_id", "sample_idx").agg(
+        F.sum(F.bit_count("bits")).alias("n_passed"),
+        F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("passed"),
+    )
+    coded = with_known(
+        samples.select("problem_id", "sample_idx", "output"),
+        "_code",
+        F.when(text.extract_code(F.col("output"), empty_is_none=True).isNotNull(), True),
+    ).select("problem_id", "sample_idx")
+    counts = tested.select("problem_id", F.size("_digests").cast("bigint").alias("n_tests"))
+    due = join_by_key(coded, counts, "problem_id", "sample_idx", chunk_rows, numbering=samples)
+    return due.join(passed, ["problem_id", "sample_idx"], "left").select(
+        "problem_id",
+        "sample_idx",
+        "n_tests",
+        F.coalesce("n_passed", F.lit(0)).cast("bigint").alias("n_passed"),
+        F.coalesce("passed", F.array().cast("array<struct<word:bigint,bits:bigint>>")).alias("passed"),
+    )
+
+
+def tests_of(verdicts: DataFrame) -> DataFrame:
+    """A row (problem_id, sample_idx, test_idx, passed) per sample and test, read off the bits."""
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("n_tests") - 1)
+    rows = verdicts.withColumn("test_idx", F.explode(numbers))
+    masks = F.map_from_entries("passed")
+    bits = F.coalesce(F.try_element_at(masks, F.expr("test_idx div 64")), F.lit(0).cast("bigint"))
+    bit = F.expr("cast(test_idx % 64 as int)")
+    passed = F.call_function("getbit", bits, bit) == 1
+    return rows.select("problem_id", "sample_idx", "test_idx", passed.alias("passed"))
+
+
+def verdict_rates(verdicts: DataFrame) -> DataFrame:
+    """Share of passed tests per sample, from the counts in its row."""
+    rate = F.col("n_passed").cast("double") / F.col("n_tests")
+    return verdicts.select("problem_id", "sample_idx", rate.alias("pass_rate"))
 
 
 def pass_rates(verified: DataFrame) -> DataFrame:

@@ -11,37 +11,23 @@ from ..operators import problems as P
 from ..operators import records as R
 from ..operators import sweep as S
 from ..operators import verification as V
-from ..operators.chunks import chunk_number, join_by_key
 from ..sources import results, tables
 
 
-def verified_samples(
+def verified_rates(
     asked: DataFrame,
     completions: DataFrame,
     executions: DataFrame,
     max_tests: int | None = None,
 ) -> DataFrame:
-    """Problems with their samples and pass rates, a row per sample.
+    """(problem_id, sample_idx, pass_rate) of the samples with code of problems with tests.
 
-    asked: problems with `over_budget`, `test_suites`, `function_name` (see
-    `problems.with_prompts`); completions and executions come from outside. A problem
-    without completions keeps one row with nulls.
+    asked: problems with `over_budget` and `test_suites` (see `problems.with_prompts`);
+    completions and executions come from outside.
     """
+    within = asked.where(~F.col("over_budget")).select("problem_id", "test_suites")
     stripped = completions.withColumn("output", text.strip(F.col("output")))
-    within = asked.where(~F.col("over_budget"))
-    work = V.execution_worklist(
-        stripped, within.select("problem_id", "test_suites", "function_name"), max_tests
-    )
-    rates = V.pass_rates(V.verify(work, executions))
-    return V.with_pass_rates(C.attach_completions(asked, completions), rates)
-
-
-def generated_table(asked: DataFrame, samples: DataFrame) -> DataFrame:
-    """The nested table: problem columns beside the arrays of its samples."""
-    nested = C.nest_samples(samples)
-    # A part is a long row already, so each meets its problem's copy in a place of its own.
-    parts = samples.select("problem_id", chunk_number("sample_idx", C.PART_ROWS).alias("part"))
-    return join_by_key(nested, asked, "problem_id", "part", chunk_rows=1, numbering=parts)
+    return V.verdict_rates(V.sample_verdicts(stripped, within, executions, max_tests))
 
 
 def generate_job(
@@ -59,13 +45,8 @@ def generate_job(
     Without `executions` nothing is verified, and all pass rates are null.
     """
     asked = P.with_prompts(problems, model, max_tokens)
-    if executions is None:
-        samples = C.attach_completions(asked.select("problem_id", "over_budget"), completions)
-        samples = samples.withColumn("pass_rate", F.lit(None).cast("double"))
-    else:
-        narrow = asked.select("problem_id", "over_budget", "test_suites", "function_name")
-        samples = verified_samples(narrow, completions, executions, max_tests)
-    return tables.write_generated(generated_table(asked, samples), folder)
+    rates = None if executions is None else verified_rates(asked, completions, executions, max_tests)
+    return tables.write_generated(C.generated_table(asked, completions, rates), folder)
 
 
 def group_job(

@@ -345,6 +345,10 @@ def oracle_sql():
             SELECT problem_id, sample_idx, round(pass_rate, 9) AS pass_rate FROM rate""",
         "verification_counts": f"""{RUNS}
             SELECT count(pass_rate) AS verified, count(*) AS samples FROM rate""",
+        "verified_tests": f"""{TESTS}, {COMPLETION}
+            SELECT problem_id, sample_idx, test_idx, (problem_id + sample_idx) % 4 < 2
+             OR (problem_id + sample_idx + test_idx) % 7 < 3 AS passed
+            FROM completion JOIN test USING (problem_id) WHERE code IS NOT NULL""",
         "flatten_test_cases": f"{TESTS} SELECT problem_id, test_idx, input, expected_output FROM test",
         "capped_test_cases": f"{TESTS} SELECT problem_id, test_idx, input, expected_output FROM test WHERE test_idx < 50",
         "execution_worklist": f"""{TESTS}, {COMPLETION}

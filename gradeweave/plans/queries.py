@@ -218,6 +218,14 @@ def verification_counts(spark, sf):
     )
 
 
+def verified_tests(spark, sf):
+    """Every test of every sample with code, read off the bits of the sample's verdict."""
+    verdicts = V.sample_verdicts(
+        derived.completions(spark, sf), derived.tested_problems(spark, sf), derived.stage_runs(spark, sf)
+    )
+    return V.tests_of(verdicts)
+
+
 def generate_and_verify(spark, sf):
     """The first stage end to end, with results derived from the work list itself."""
     problems = derived.tested_problems(spark, sf)
@@ -233,8 +241,7 @@ def generate_and_verify(spark, sf):
         F.lit(0).alias("exit_code"),
         (turn == 0).alias("timed_out"),
     )
-    rated = jobs.verified_samples(problems, completions, ran)
-    nested = jobs.generated_table(problems, rated)
+    nested = C.generated_table(problems, completions, jobs.verified_rates(problems, completions, ran))
     return nested.select(
         "problem_id",
         F.size(fx.OUTPUTS).cast("bigint").alias("n_outputs"),
@@ -577,6 +584,7 @@ ALL = (
     verify_join,
     pass_rate,
     verification_counts,
+    verified_tests,
     flatten_test_cases,
     execution_worklist,
     execution_programs,

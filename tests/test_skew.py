@@ -42,6 +42,30 @@ def test_join_spreads_a_hot_key(spark):
             spark.conf.set(key, value)
 
 
+def test_copies_of_a_hot_keys_row(spark):
+    """A key with 20,000 chunks: its row's copies are complete, and made by many tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in conf}
+    try:
+        for key, value in {**conf, "spark.sql.shuffle.partitions": "16"}.items():
+            spark.conf.set(key, value)
+        rows = skewed(spark)
+        per_key = rows.select("problem_id").distinct().withColumn("prompt", F.lit("q"))
+        for how in ("inner", "left"):
+            copies = chunks.chunk_copies(per_key, "problem_id", rows, "sample_idx", 1, how)
+            assert copies.count() == ROWS and copies.distinct().count() == ROWS
+            hot = copies.where("problem_id = 0")
+            assert hot.agg(F.countDistinct("_chunk"), F.max("_chunk")).first()[:] == (HOT, HOT - 1)
+            assert largest_task(hot) < HOT / 4
+        lone = per_key.limit(1).withColumn("problem_id", F.lit(-5).cast("bigint"))
+        kept = chunks.chunk_copies(lone, "problem_id", rows, "sample_idx", 1, "left")
+        assert kept.select("problem_id", "_chunk").collect() == [(-5, None)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_groups_of_a_hot_problem_are_whole(spark):
     groups = G.candidate_groups(skewed(spark), chunk_rows=333)
     hot = groups.where("problem_id = 0")

@@ -97,6 +97,72 @@ def test_passed_and_rates(spark):
     assert V.verification_counts(rated).first()[:] == (3, 4)
 
 
+def test_verdicts_of_many_tests_and_retries(spark):
+    """Bits over several words, retries that pass late, runs of no test, hot problems in small chunks."""
+    cases = lambda n: [{"cases": [{"input": str(t), "output": f" {t} " if t % 5 else None} for t in range(n)]}]
+    problems = [(1, cases(130), None), (2, cases(3), None), (3, None, None), (4, cases(64), "f")]
+    samples = [(p, s, "```python\nc\n```" if s % 7 else "no code") for p in (1, 2, 3, 4, 9) for s in range(40 if p == 1 else 5)]
+    right = lambda p, s, t: (p * 31 + s * 17 + t * 7) % 11 < 6
+    runs = []
+    for p, s, _ in samples:
+        for t in [*range(140), -1]:
+            if (p + s + t) % 13 == 0:
+                continue  # never came back
+            said = f"{t}\n" if t % 5 else "None"
+            runs.append((p, s, t, 200, said if right(p, s, t) else "?", "", 0, False))
+            if t % 3 == 0:  # tried again: a failure that counts, or one that does not undo the pass
+                runs += [(p, s, t, 200, said, "", int(not right(p, s, t)), None), (p, s, t, 500, said, "", 0, False)]
+    samples = spark.createDataFrame(samples, "problem_id long, sample_idx long, output string")
+    problems = spark.createDataFrame(problems, f"problem_id long, test_suites {TEST_SUITES.simpleString()}, function_name string")
+    runs = spark.createDataFrame(runs, EXECUTIONS)
+    n_tests = {1: 130, 2: 3, 4: 64}
+    expected = {
+        (p, s, t): right(p, s, t) and (p + s + t) % 13 != 0
+        for p, n in n_tests.items() for s in range(40 if p == 1 else 5) if s % 7 for t in range(n)
+    }
+    for chunk_rows in (1, 3, 4096):
+        verdicts = V.sample_verdicts(samples, problems, runs, chunk_rows=chunk_rows)
+        assert {tuple(r)[:3]: r.passed for r in V.tests_of(verdicts).collect()} == expected
+        rates = {(r.problem_id, r.sample_idx): r.pass_rate for r in V.verdict_rates(verdicts).collect()}
+        assert rates == {
+            (p, s): sum(expected[p, s, t] for t in range(n)) / n
+            for p, n in n_tests.items() for s in range(40 if p == 1 else 5) if s % 7
+        }
+    # The same as going through the work list.
+    listed = V.verify(V.execution_worklist(samples, problems), runs)
+    assert {tuple(r)[:3]: r.passed for r in listed.collect()} == expected
+
+
+def test_verdicts_shuffle_no_texts(spark):
+    """Neither expected texts nor outputs nor completions are in an exchange."""
+    samples = spark.createDataFrame([], "problem_id long, sample_idx long, output string")
+    problems = problem_table(spark)
+    verdicts = V.sample_verdicts(samples, problems, spark.createDataFrame([], EXECUTIONS))
+    plan = verdicts._jdf.queryExecution().optimizedPlan().toString()
+    for join in (line for line in plan.split("\n") if "Join" in line):
+        assert "output" not in join and "stdout" not in join and "test_suites" not in join
+    assert verdicts.collect() == []
+
+
+def test_generated_table(spark):
+    """Parts, rates in place of their samples, over-budget problems, samples of unknown problems."""
+    asked = spark.createDataFrame(
+        [(1, False, "a"), (2, True, "b"), (3, False, "c")], "problem_id long, over_budget boolean, prompt string"
+    )
+    texts = [(1, i, f" t{i}\n", "stop") for i in range(7)] + [(2, 0, "x", "stop"), (2, 8, "x", "stop"), (9, 0, "y", "stop")]
+    texts = spark.createDataFrame(texts, "problem_id long, sample_idx long, output string, finish_reason string")
+    rates = spark.createDataFrame([(1, 0, 0.5), (1, 4, 1.0), (9, 0, 1.0)], "problem_id long, sample_idx long, pass_rate double")
+    for given, rate in ((rates, {0: 0.5, 4: 1.0}), (None, {})):
+        rows = C.generated_table(asked, texts, given, part_rows=3).orderBy("problem_id", "part").collect()
+        assert [(r.problem_id, r.prompt, r.part, r.n_parts, r.first_sample) for r in rows] == [
+            (1, "a", 0, 3, 0), (1, "a", 1, 3, 3), (1, "a", 2, 3, 6), (2, "b", 0, 1, 0), (3, "c", 0, 1, 0)
+        ]
+        assert [r.self_distillation_outputs for r in rows] == [["t0", "t1", "t2"], ["t3", "t4", "t5"], ["t6"], [], []]
+        numbered = [r.first_sample + i for r in rows[:3] for i in range(len(r.self_distillation_outputs))]
+        assert [x for r in rows for x in r.self_distillation_pass_rates] == [rate.get(i) for i in numbered]
+    assert C.generated_table(asked, texts.limit(0), rates).count() == 3
+
+
 def test_attach_completions(spark):
     problems = spark.createDataFrame(
         [(1, False), (2, True), (3, False)], "problem_id long, over_budget boolean"
