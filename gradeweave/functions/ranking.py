@@ -15,6 +15,11 @@ from .text import let
 
 FAILED = -1.0
 SCORES = ("score", "ndcg", "pairacc", "top1_acc")
+#: Items up to which counting all pairs takes less time than merging.
+FEW = 32
+#: Decimal digits beyond ASCII, and what they stand for.
+OTHER_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal()]
+PLAIN_DIGITS = "".join(str(unicodedata.decimal(c)) for c in OTHER_DIGITS)
 
 
 def parse_ranking(response: Column, n_candidates: Column) -> Column:
@@ -42,10 +47,8 @@ def complete(ids: Column, n_candidates: Column) -> Column:
 
 def ascii_digits(text: Column) -> Column:
     """Decimal digits of all scripts as 0 to 9; texts in ASCII are passed through."""
-    others = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal()]
-    plain = "".join(str(unicodedata.decimal(c)) for c in others)
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(
-        F.translate(text, "".join(others), plain)
+        F.translate(text, "".join(OTHER_DIGITS), PLAIN_DIGITS)
     )
 
 
@@ -89,6 +92,72 @@ def top1_acc(ranking: Column, rates: Column) -> Column:
     return _unless_missing(ranking, rates, F.when(hit, 1.0).otherwise(0.0))
 
 
+def _tally(right, wrong) -> Column:
+    return F.struct(right.cast("bigint").alias("right"), wrong.cast("bigint").alias("wrong"))
+
+
+def _add(total, item) -> Column:
+    return _tally(total["right"] + item["right"], total["wrong"] + item["wrong"])
+
+
+def _pairs_of_few(order: Column) -> Column:
+    """How many pairs stand in falling and in rising order, by what comes after each item."""
+
+    def later(item, i):
+        after = F.slice(order, i + 2, F.size(order))
+        below, above = F.filter(after, lambda o: o < item), F.filter(after, lambda o: o > item)
+        return _tally(F.size(below), F.size(above))
+
+    return F.aggregate(F.transform(order, later), _tally(F.lit(0), F.lit(0)), _add)
+
+
+def _before(values: Column, value: Column, also_equal: bool) -> Column:
+    """How many of the sorted values are below the value, or not above it; by halving."""
+
+    def halve(at, _):
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        open_ = at["low"] < at["high"]
+        here = F.get(values, middle)
+        up = open_ & ((here <= value) if also_equal else (here < value))
+        return F.struct(
+            F.when(up, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(open_ & ~up, middle).otherwise(at["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+    return F.aggregate(steps, start, halve)["low"]
+
+
+def _pairs_of_many(order: Column) -> Column:
+    """The same by merging: sorted runs are joined two by two, and pairs counted across each two.
+
+    Rounds grow with the logarithm of the length, a round's work with the length times its
+    logarithm.
+    """
+
+    def merged(runs, k):
+        left = F.get(runs, 2 * k)
+        right = F.coalesce(F.get(runs, 2 * k + 1), F.array().cast("array<double>"))
+        # Of equal items those of the first run count once, for all of the second.
+        counts = F.transform(
+            left, lambda a: _tally(_before(right, a, False), F.size(right) - _before(right, a, True))
+        )
+        total = F.aggregate(counts, _tally(F.lit(0), F.lit(0)), _add)
+        return F.struct(F.sort_array(F.concat(left, right)).alias("run"), total.alias("pairs"))
+
+    def round_(state, _):
+        halves = F.sequence(F.lit(0), F.floor((F.size(state["runs"]) - 1) / 2).cast("int"))
+        made = F.transform(halves, lambda k: merged(state["runs"], k))
+        total = F.aggregate(made, state["pairs"], lambda t, m: _add(t, m["pairs"]))
+        return F.struct(F.transform(made, lambda m: m["run"]).alias("runs"), total.alias("pairs"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(order))).cast("int"))
+    single = F.transform(order, lambda item: F.array(item))
+    start = F.struct(single.alias("runs"), _tally(F.lit(0), F.lit(0)).alias("pairs"))
+    return F.aggregate(rounds, start, round_)["pairs"]
+
+
 def pairacc(ranking: Column, rates: Column) -> Column:
     """Share of unequal pairs that the ranking puts in the right order.
 
@@ -105,26 +174,13 @@ def pairacc(ranking: Column, rates: Column) -> Column:
     )
 
     def share(order):
-        # What an item is better or worse than, among those placed after it.
-        def tally(item, i):
-            later = F.slice(order, i + 2, F.size(order))
-            return F.struct(
-                F.size(F.filter(later, lambda other: other < item)).alias("right"),
-                F.size(F.filter(later, lambda other: other > item)).alias("wrong"),
-            )
-
-        def add(total, item):
-            return F.struct(
-                (total["right"] + item["right"]).alias("right"),
-                (total["wrong"] + item["wrong"]).alias("wrong"),
-            )
+        pairs = F.when(F.size(order) <= FEW, _pairs_of_few(order)).otherwise(_pairs_of_many(order))
 
         def divide(total):
             right, wrong = total["right"].cast("double"), total["wrong"].cast("double")
             return F.coalesce(F.try_divide(right, right + wrong), F.lit(1.0))
 
-        none = F.struct(F.lit(0).alias("right"), F.lit(0).alias("wrong"))
-        return F.aggregate(F.transform(order, tally), none, add, divide)
+        return let(pairs, divide)
 
     return _unless_missing(ranking, rates, let(in_order, share))
 

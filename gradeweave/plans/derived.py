@@ -4,12 +4,14 @@ At scale no derivation needs a shuffle except `metrics`, which averages before i
 The given test tables are one row group, so one split, each: `spread` is for these alone.
 """
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions import text
 from ..operators.verification import execution_worklist
+from ..sources.files import opened
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
@@ -245,6 +247,23 @@ def rollouts(spark, sf_dir):
     )
 
 
+#: A reward as a user may write it: all four arguments, a dict, and an error where it has no answer.
+REWARD_FILE = """
+import json
+import re
+
+
+def first_choice(data_source, solution_str, ground_truth, extra_info=None):
+    rates = json.loads(ground_truth)
+    answer = solution_str.split("</think>")[-1]
+    named = [int(d) for d in re.findall("[0-9]+", answer) if int(d) <= len(rates)]
+    if not named:
+        raise ValueError("no candidate named")
+    score = rates[named[0] - 1] if named[0] else -1
+    return {"score": score, "step": extra_info["step"], "known": data_source == "code_ranking"}
+"""
+
+
 def metrics(spark, sf_dir):
     """Event types as metrics; days as steps, users as repeats."""
     return (
@@ -283,3 +302,24 @@ def result_documents(spark, sf_dir):
         .otherwise(F.array(broken, other))
     )
     return run.select("step", "repeat_idx", F.posexplode(files).alias("file_idx", "value"))
+
+
+def result_file_batches(folder):
+    """Writes each row's document as a file of its run's folder, and a draft beside the first."""
+
+    def run(batches):
+        store, root = opened(folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                below = f"{root}/step_{row['step']}/repeat_{row['repeat_idx']}/files"
+                store.create_dir(below, recursive=True)
+                mark = "_" if (row["step"] // 10 + row["repeat_idx"]) % 2 else ""
+                files = {f"{mark}{row['file_idx']}.json": row["value"]}
+                if row["file_idx"] == 0:
+                    files[".draft.json"] = '{"accuracy":0.75}'
+                for name, text in files.items():
+                    with store.open_output_stream(f"{below}/{name}") as file:
+                        file.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32())], ["n"])
+
+    return run

@@ -38,15 +38,17 @@ def generate_job(
     model: str,
     max_tokens: int = fx.MAX_TOKENS,
     max_tests: int | None = None,
+    part: int = 0,
 ) -> str:
-    """Write `train-000.parquet` from raw problems and what came back for their prompts.
+    """Write shard `train-NNN.parquet` from raw problems and what came back for their prompts.
 
+    Batches of problems are shards of their own, by `part`; writing one again replaces it.
     problems: (problem_id, canonical_id, statement, starter_code, problem_type, test_suites).
     Without `executions` nothing is verified, and all pass rates are null.
     """
     asked = P.with_prompts(problems, model, max_tokens)
     rates = None if executions is None else verified_rates(asked, completions, executions, max_tests)
-    return tables.write_generated(C.generated_table(asked, completions, rates), folder)
+    return tables.write_generated(C.generated_table(asked, completions, rates), folder, part)
 
 
 def group_job(

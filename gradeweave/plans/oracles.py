@@ -385,6 +385,13 @@ def oracle_sql():
         "reward": f"""{LISTED} SELECT problem_id, rollout_idx, round(pairacc, 9) AS score,
             round(ndcg, 9) AS ndcg, round(pairacc, 9) AS pairacc, round(top1_acc, 9) AS top1_acc FROM scores""",
         "reward_by_ndcg": f"{LISTED} SELECT problem_id, rollout_idx, round(ndcg, 9) AS score FROM scores",
+        "reward_from_file": f"""{SAID},
+            named AS (SELECT *, list_filter(list_transform(
+              regexp_extract_all(string_split(response, '</think>')[-1], '[0-9]+'), lambda d: CAST(d AS INT)),
+              lambda d: d <= n)[1] AS first FROM said)
+            SELECT problem_id, rollout_idx, CASE WHEN first = 0 THEN -1.0E0 WHEN first > 0 THEN round(rates[first], 9) END AS score,
+             CASE WHEN first IS NOT NULL THEN CAST(step AS DOUBLE) END AS step, CASE WHEN first IS NOT NULL THEN 1.0E0 END AS known,
+             CASE WHEN first IS NULL THEN 'ValueError: no candidate named' END AS reward_error FROM named""",
         "reward_summary": f"""{RANKED} SELECT step, count(*) AS n, round(avg(score), 9) AS mean_score,
             round(avg(ndcg), 9) AS mean_ndcg, round(avg(pairacc), 9) AS mean_pairacc,
             round(avg(top1_acc), 9) AS mean_top1_acc,
@@ -448,6 +455,13 @@ def oracle_sql():
             SELECT s.problem_id, 'd-' || s.problem_id AS canonical_id, CAST(1 AS BIGINT) AS n_parts,
              count(t.sample_idx) AS n_outputs, CAST(0 AS BIGINT) AS n_rated
             FROM sent s LEFT JOIN taken t USING (problem_id) GROUP BY s.problem_id""",
+        "generate_in_shards": f"""{STAGES}
+            SELECT s.problem_id, 'd-' || s.problem_id AS canonical_id, count(t.sample_idx) AS n_outputs
+            FROM sent s LEFT JOIN taken t USING (problem_id) GROUP BY s.problem_id""",
+        "columns_by_file": f"""
+            SELECT 'train-00' || (doc_id % 3) AS shard, gone AS "column", count(*) AS n_rows FROM documents
+            JOIN (VALUES (1, 'self_distillation_outputs'), (2, 'prompt'), (2, 'self_distillation_pass_rates')) AS g(k, gone)
+             ON doc_id % 3 = k GROUP BY 1, 2""",
         "scan_required_columns": f"""{SAMPLE}
             SELECT CASE WHEN problem_id % 3 = 0 THEN any_value(canonical_id) END AS canonical_id,
              any_value(prompt) AS prompt, CAST(count(*) AS INT) AS n_valid FROM valid

@@ -8,7 +8,7 @@ from ..operators import completions as C
 from ..operators import grouping as G
 from ..operators import problems as P
 from ..operators import records as R
-from ..operators import scoring, sweep
+from ..operators import reward_files, scoring, sweep
 from ..operators import verification as V
 from ..operators.rows import each, with_known
 from ..session import scratch_path
@@ -66,31 +66,43 @@ def json_array_column(spark, sf):
     )
 
 
+def columns_by_file(spark, sf):
+    """Which shards lack which columns, by the footers of their files, and how many rows they hold."""
+    folder = scratch_path(spark, "columns")
+    made = derived.generated(spark, sf)
+    third = F.col("problem_id") % 3
+    tables.write_generated(made.where(third == 0).drop("canonical_id"), folder, 0)
+    tables.write_generated(made.where(third == 1).drop(fx.OUTPUTS), folder, 1)
+    tables.write_generated(made.where(third == 2).drop("prompt", fx.PASS_RATES), folder, 2)
+    made.write.parquet(f"{folder}/other-000.parquet")
+    shard = F.regexp_extract("file", r"/(train-\d+)\.parquet/", 1).alias("shard")
+    missing = tables.missing_columns(spark, folder)
+    return missing.groupBy(shard, "column").agg(F.sum("rows").alias("n_rows"))
+
+
 def written_results(spark, sf):
     """Write the derived result documents, one file each, below step and repeat folders.
 
-    Spark's text writer ends the names in .txt, so the reads ask for that.
+    Every second run's files have names that begin with `_`; every run has a draft as well,
+    whose name begins with a dot.
     """
     folder = scratch_path(spark, "results")
-    place = ("step", "repeat", "file")
-    documents = derived.result_documents(spark, sf).withColumnsRenamed(
-        {"repeat_idx": "repeat", "file_idx": "file"}
-    )
+    documents = derived.result_documents(spark, sf)
     # Small files, so the time goes into making them: share them among all cores.
-    shared = documents.repartition(spark.sparkContext.defaultParallelism, *place)
-    shared.write.partitionBy(*place).text(folder)
+    shared = documents.repartition(spark.sparkContext.defaultParallelism, "step", "repeat_idx", "file_idx")
+    shared.mapInArrow(derived.result_file_batches(folder), "n int").write.format("noop").mode("overwrite").save()
     return folder
 
 
 def result_json_scan(spark, sf):
-    files = results.read_result_files(spark, written_results(spark, sf), "*.txt")
+    files = results.read_result_files(spark, written_results(spark, sf))
     return sweep.run_documents(files).select(
         "step", "repeat_idx", F.length("metrics").cast("bigint").alias("n_chars")
     )
 
 
 def extract_metrics(spark, sf):
-    files = results.read_result_files(spark, written_results(spark, sf), "*.txt")
+    files = results.read_result_files(spark, written_results(spark, sf))
     return sweep.metric_values(sweep.run_documents(files)).select(
         "step", "repeat_idx", "metric", rounded("value")
     )
@@ -440,6 +452,19 @@ def problems_to_records(spark, sf):
     )
 
 
+def generate_in_shards(spark, sf):
+    """Two shards by themselves, one of them again after a run that stopped short, read together."""
+    folder = scratch_path(spark, "shards")
+    problems, completions = derived.raw_problems(spark, sf), derived.completions(spark, sf)
+    odd = F.col("problem_id") % 2 == 1
+    batches = ((0, ~odd), (1, odd & (F.col("problem_id") % 3 == 0)), (1, odd))
+    for part, batch in batches:
+        jobs.generate_job(problems.where(batch), completions, None, folder, "m-instruct-1", SMALL_CONTEXT, part=part)
+    return tables.read_generated(spark, folder).select(
+        "problem_id", "canonical_id", F.size(fx.OUTPUTS).cast("bigint").alias("n_outputs")
+    )
+
+
 def generate_unverified(spark, sf):
     """The first job without a runner: every sample is kept, no pass rate is known."""
     folder = scratch_path(spark, "unverified")
@@ -513,6 +538,17 @@ def reward_by_ndcg(spark, sf):
     return scored.select("problem_id", "rollout_idx", rounded("score"))
 
 
+def reward_from_file(spark, sf):
+    """Scoring by a function that the user keeps in a file and that fails on some responses."""
+    path = scratch_path(spark, "reward")
+    spark.createDataFrame([(derived.REWARD_FILE,)], "value string").coalesce(1).write.text(path)
+    rollouts = derived.rollouts(spark, sf).withColumn("extra_info", F.struct("step", "rollout_idx"))
+    scored = reward_files.score_with_file(rollouts, path, "first_choice", ("score", "step", "known"))
+    return scored.select(
+        "problem_id", "rollout_idx", rounded("score"), "step", rounded("known"), "reward_error"
+    )
+
+
 def reward_summary(spark, sf):
     summary = scoring.reward_summary(_scored(spark, sf), "step")
     means = [rounded(c) for c in summary.columns if c not in ("step", "n")]
@@ -559,7 +595,7 @@ def sweep_report(spark, sf):
     """The third stage end to end: result files in, summary files out, read back nested."""
     root = written_results(spark, sf)
     target = scratch_path(spark, "sweep")
-    jobs.sweep_job(spark, root, target, "*.txt")
+    jobs.sweep_job(spark, root, target)
     entry = "map<string,struct<mean:double,stderr:double,n:bigint>>"
     nested = spark.read.schema(f"step int, metrics {entry}").json(
         f"{target}/sweep_results_by_step.json"
@@ -597,6 +633,7 @@ ALL = (
     top1_acc,
     reward,
     reward_by_ndcg,
+    reward_from_file,
     reward_summary,
     group_advantage,
     selection_report,
@@ -622,6 +659,8 @@ ALL = (
     group_and_split,
     problems_to_records,
     generate_unverified,
+    generate_in_shards,
+    columns_by_file,
     scan_required_columns,
     json_array_column,
     result_json_scan,

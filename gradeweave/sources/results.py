@@ -1,47 +1,35 @@
 """Evaluation result files and the sweep's summary files."""
 
-import re
-from urllib.parse import quote, urlparse
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.sweep import nested_summary
+from .files import RunFiles
+from .tables import publish
 
 SUMMARY = "step int, metric string, mean double, stderr double, n bigint"
-RUN_FOLDER = r"/step[_=](\d+)/repeat[_=](\d+)/"
-#: Characters that a file's address keeps as they are.
-PLAIN = "/:@!$&'()*+,;=~"
 
 
-def read_result_files(spark: SparkSession, root: str, names: str = "*.json") -> DataFrame:
+def read_result_files(
+    spark: SparkSession, root: str, names: str = "*.json", dotted: bool = False
+) -> DataFrame:
     """All result files at any depth below `root/step_S/repeat_R`: (step, repeat_idx, path, value).
 
-    Spark's file sources pass over names that begin with `_` or `.`.
+    Names may begin with `_`; names that begin with a dot are read if `dotted` says so. Run
+    folders further down, of another sweep kept below this one, are not this one's. A file
+    that is no UTF-8 text has a null value.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", names)
-        .text(root, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
-    # Run folders further down, of another sweep kept below this one, are not this one's.
-    base = quote(urlparse(root).path.rstrip("/"), PLAIN)
-    start = "^[a-z0-9+.-]+:(?://[^/]*)?" if base.startswith("/") or not base else "^.*/"
-    anchored = start + re.escape(base) + RUN_FOLDER
-    run = [F.regexp_extract("path", anchored, i) for i in (1, 2)]
-    return files.where(F.col("path").rlike(anchored)).select(
-        run[0].cast("int").alias("step"), run[1].cast("int").alias("repeat_idx"), "path", "value"
-    )
+    spark.dataSource.register(RunFiles)
+    reader = spark.read.format("run_files").option("names", names).option("dotted", str(dotted).lower())
+    return reader.option("tasks", 4 * spark.sparkContext.defaultParallelism).load(root)
 
 
 def write_summary(summary: DataFrame, folder: str) -> str:
     """The long table (step, metric, mean, stderr, n), and one nested object per step."""
     base = folder.rstrip("/")
-    summary.write.json(f"{base}/sweep_results.json")
-    read_summary(summary.sparkSession, base).transform(nested_summary).write.json(
-        f"{base}/sweep_results_by_step.json"
-    )
+    spark = summary.sparkSession
+    publish(spark, f"{base}/sweep_results.json", summary.write.json)
+    nested = read_summary(spark, base).transform(nested_summary)
+    publish(spark, f"{base}/sweep_results_by_step.json", nested.write.json)
     return base
 
 

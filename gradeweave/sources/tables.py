@@ -1,12 +1,25 @@
 """Parquet tables in and out."""
 
+import sys
+import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import fixed_values as fx
+from .files import opened
+
+# Send this module's functions with the job: workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GENERATED_GLOB = "train-*.parquet"
+#: A file without one of these gives no groups.
+REQUIRED = ("prompt", fx.OUTPUTS, fx.PASS_RATES)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -44,17 +57,66 @@ def unusable_rows(generated: DataFrame) -> DataFrame:
     )
 
 
+def missing_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, column, rows): the columns grouping needs that a file lacks, and the file's rows.
+
+    Files are listed as `read_generated` finds them; their footers are read in tasks, and
+    nothing else of them.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+    files = listed.load(f"{folder.rstrip('/')}/{GENERATED_GLOB}").select("path")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return files.repartition(tasks, "path").mapInArrow(footer_batches, "file string, column string, rows bigint")
+
+
+def footer_batches(batches):
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            store, place = opened(path)
+            with store.open_input_file(place) as file:
+                footer = pq.ParquetFile(file)
+                names = set(footer.schema_arrow.names)
+                found += [(path, name, footer.metadata.num_rows) for name in REQUIRED if name not in names]
+        columns = zip(*found) if found else ((), (), ())
+        kinds = (pa.string(), pa.string(), pa.int64())
+        arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, ["file", "column", "rows"])
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """Have `write` fill a folder beside the path, then put it in the path's place.
+
+    A write that fails leaves what was there before; a retry, or a rerun, replaces it whole.
+    Names that begin with `_` are passed over by whoever reads the folder meanwhile.
+    """
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    staged, replaced = (f"{parent}/_{kind}-{uuid.uuid4().hex}" for kind in ("staged", "replaced"))
+    write(f"{staged}/{name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    target = place(path)
+    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if store.exists(target) and not store.rename(target, place(replaced)):
+        raise OSError(f"cannot replace {path}")
+    if not store.rename(place(f"{staged}/{name}"), target):
+        raise OSError(f"cannot publish {path}")
+    for left in (staged, replaced):
+        store.delete(place(left), True)
+    return path
+
+
 def write_generated(generated: DataFrame, folder: str, part: int = 0) -> str:
-    """Write as `train-NNN.parquet` below the folder, where `read_generated` looks."""
+    """Write as shard `train-NNN.parquet` below the folder, where `read_generated` looks.
+
+    Other shards are left alone; the same shard, as of a retry, is replaced.
+    """
     path = f"{folder.rstrip('/')}/train-{part:03d}.parquet"
-    generated.write.parquet(path)
-    return path
+    return publish(generated.sparkSession, path, generated.write.parquet)
 
 
 def write_groups(groups: DataFrame, folder: str, group_size: int = fx.GROUP_SIZE) -> str:
     path = f"{folder.rstrip('/')}/processed_train_n{group_size}.parquet"
-    groups.write.parquet(path)
-    return path
+    return publish(groups.sparkSession, path, groups.write.parquet)
 
 
 def write_split(records: DataFrame, folder: str, shuffled: bool = True) -> str:
@@ -72,5 +134,5 @@ def write_split(records: DataFrame, folder: str, shuffled: bool = True) -> str:
         records = records.repartitionById(parts, part)
         # The writer wants rows sorted by side; sorting by both keeps the order within one.
         records = records.sortWithinPartitions("split", "shuffle_key")
-    records.drop("shuffle_key").write.partitionBy("split").parquet(path)
-    return path
+    writer = records.drop("shuffle_key").write.partitionBy("split")
+    return publish(records.sparkSession, path, writer.parquet)

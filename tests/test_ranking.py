@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -152,3 +153,36 @@ def test_selection_report(spark):
     r = scoring.selection_report(df, "k").first()
     assert r.n == 3
     assert (r.selected_pass, r.pass_at_1, r.upper_bound) == pytest.approx((1 / 3, 1 / 3, 2 / 3))
+
+
+def test_pairacc_of_long_lists(spark):
+    """Merging counts what counting all pairs does, for ties, odd lengths and left-out candidates."""
+    draw = random.Random(4)
+    rows = []
+    for n in (0, 1, 2, 31, 32, 33, 34, 63, 64, 65, 100, 301):
+        for kinds in (1, 3, 50):
+            rates = [draw.randrange(kinds) / kinds for _ in range(n)]
+            order = draw.sample(range(n), n)
+            rows += [(order, rates), (order[: n // 2], rates), (sorted(order, key=lambda i: -rates[i]), rates)]
+    got = spark.createDataFrame(rows, "ranking array<int>, rates array<double>").select(
+        "ranking", "rates", R.pairacc(F.col("ranking"), F.col("rates")).alias("v")
+    )
+    for r in got.collect():
+        place = {c: i for i, c in enumerate(r.ranking)}
+        n, right, total = len(r.rates), 0, 0
+        for a in range(n):
+            for b in range(n):
+                if r.rates[a] > r.rates[b]:
+                    total += 1
+                    right += place.get(a, n) < place.get(b, n)
+        expected = 0.0 if not r.ranking or not n else right / total if total else 1.0
+        assert r.v == pytest.approx(expected)
+
+
+def test_pairacc_of_five_thousand(spark):
+    row = spark.range(1).selectExpr("transform(sequence(0, 4999), i -> i * 7 % 5000) r", "transform(sequence(0, 4999), i -> i * 11 % 5003 / 5003D) p")
+    score = row.select(R.pairacc(F.col("r"), F.col("p")).alias("v"))
+    score.collect()  # compiles
+    start = time.perf_counter()
+    assert 0 < score.first().v < 1
+    assert time.perf_counter() - start < 4  # about one second; counting all pairs takes far more

@@ -105,6 +105,78 @@ def test_sweep_from_files(spark, tmp_path):
     assert sweep.missing_runs(found, repeats=0, steps=[10]).count() == 0
 
 
+def test_files_of_any_name(spark, tmp_path):
+    """Names that begin with `_` are read, dotted ones if asked for; deeper sweeps and other folders are not."""
+    files = {
+        "step_10/repeat_0/_late.json": b'{"accuracy": 1}',
+        "step_10/repeat_0/_kept/_more/a.json": b'{"accuracy": 2}',
+        "step_10/repeat_0/.draft.json": b'{"accuracy": 3}',
+        "step_10/repeat_0/.cache/b.json": b'{"accuracy": 4}',
+        "step=10/repeat=1/c d%20\u00e9.json": b"\xff{}",
+        "step_10/repeat_x/d.json": b"{}",
+        "step_10/e.json": b"{}",
+        "step_7/repeat_2/f.txt": b"{}",
+        "sub/step_10/repeat_5/g.json": b"{}",
+    }
+    for name, body in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    read = lambda **o: {(r.step, r.repeat_idx, r.path.rsplit("/", 1)[1]): r.value for r in results.read_result_files(spark, **o).collect()}
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        assert read(root=root) == {
+            (10, 0, "_late.json"): '{"accuracy": 1}',
+            (10, 0, "a.json"): '{"accuracy": 2}',
+            (10, 1, "c d%20\u00e9.json"): None,
+        }
+        assert {k[2] for k in read(root=root, dotted=True)} >= {".draft.json", "b.json"}
+        assert set(read(root=root, names="*.txt")) == {(7, 2, "f.txt")}
+    assert read(root=str(tmp_path / "sub")) == {(10, 5, "g.json"): "{}"}
+    assert read(root=str(tmp_path / "nowhere")) == {}
+
+
+def test_shards_are_replaced_whole(spark, tmp_path):
+    """A shard written again replaces itself alone; a write that fails leaves what was there."""
+    folder = str(tmp_path)
+    rows = lambda a, b: spark.range(a, b, 1, 3).selectExpr("id AS problem_id", "'q' AS prompt")
+    ids = lambda: sorted(r.problem_id for r in tables.read_generated(spark, folder).collect())
+    tables.write_generated(rows(0, 4), folder, 0)
+    tables.write_generated(rows(10, 13), folder, 1)
+    tables.write_generated(rows(20, 25), folder, 1)
+    assert ids() == [0, 1, 2, 3, 20, 21, 22, 23, 24]
+    broken = rows(0, 9).withColumn("prompt", F.when(F.col("problem_id") == 8, F.raise_error(F.lit("stop"))).otherwise("q"))
+    with pytest.raises(Exception, match="stop"):
+        tables.write_generated(broken, folder, 0)
+    assert ids() == [0, 1, 2, 3, 20, 21, 22, 23, 24]
+    tables.write_generated(rows(0, 0), folder, 1)
+    assert ids() == [0, 1, 2, 3]
+    assert sorted(f.name for f in tmp_path.iterdir() if not f.name.startswith("_")) == ["train-000.parquet", "train-001.parquet"]
+
+
+def test_every_job_runs_again(spark, tmp_path):
+    rows = [(p, 0, str(p), f"q{p}", [f"o{i}" for i in range(8)], [float(i % 2) for i in range(8)]) for p in range(5)]
+    schema = f"problem_id bigint, part bigint, canonical_id string, prompt string, {fx.OUTPUTS} array<string>, {fx.PASS_RATES} array<double>"
+    for last in (3, 5):
+        tables.write_generated(spark.createDataFrame(rows[:last], schema), str(tmp_path))
+        path, _, _ = jobs.group_job(spark, str(tmp_path), str(tmp_path))
+        assert spark.read.parquet(jobs.record_job(spark, path, str(tmp_path))).count() == 2 * last
+        summary = spark.createDataFrame([(last, "m", 1.0, 0.0, 1)], results.SUMMARY)
+        results.write_summary(summary, str(tmp_path))
+        assert [r.step for r in results.read_summary(spark, str(tmp_path)).collect()] == [last]
+
+
+def test_missing_columns_of_each_file(spark, tmp_path):
+    row = {fx.OUTPUTS: ["a"], fx.PASS_RATES: [1.0], "prompt": None, "x": 1}
+    full = spark.createDataFrame([row] * 3, f"{fx.OUTPUTS} array<string>, {fx.PASS_RATES} array<double>, prompt string, x int").coalesce(1)
+    tables.write_generated(full, str(tmp_path), 0)  # nulls are not a missing column
+    tables.write_generated(full.drop("prompt", fx.OUTPUTS), str(tmp_path), 1)
+    full.drop("prompt").write.parquet(str(tmp_path / "other-000.parquet"))
+    got = tables.missing_columns(spark, str(tmp_path)).collect()
+    assert sorted((r.file.split("/")[-2], r.column, r.rows) for r in got) == [
+        ("train-001.parquet", "prompt", 3),
+        ("train-001.parquet", fx.OUTPUTS, 3),
+    ]
+
+
 def test_scores_of_a_stream(spark, tmp_path):
     schema = "id long, response string, ground_truth string"
     rows = [(0, "2, 1", "[0.0, 1.0]"), (1, "?", "[0.0, 1.0]")]
