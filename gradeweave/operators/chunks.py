@@ -9,6 +9,8 @@ must know is aggregated before it is shuffled and joined back per chunk.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 CHUNK_ROWS = 4096
 #: Copies of a key's row that one task makes; the blocks of a key with more are dealt out first.
 BLOCK_CHUNKS = 64
@@ -82,67 +84,38 @@ def chunk_copies(
     return spread[0].union(spread[1])
 
 
-def bounds_below(bounds: Column, value: Column, most: int) -> Column:
-    """How many of the sorted bounds, at most `most`, are not above the value; by halving."""
-
-    def halve(at, _):
-        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
-        open_ = at["low"] < at["high"]
-        up = open_ & (F.get(bounds, middle) <= value)
-        return F.struct(
-            F.when(up, middle + 1).otherwise(at["low"]).alias("low"),
-            F.when(open_ & ~up, middle).otherwise(at["high"]).alias("high"),
-        )
-
-    start = F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high"))
-    steps = F.sequence(F.lit(0), F.lit(most.bit_length()))
-    return F.aggregate(steps, start, halve)["low"]
-
-
 def dense_index(
     rows: DataFrame, key: str, index: str, name: str, ranges: int | None = None
 ) -> DataFrame:
     """Number all rows 0, 1, 2, ... in the order of (key, index), without one big sort.
 
-    Rows are counted per (key, chunk); the counts are cut into ranges, as many as the
-    session has shuffle partitions, at keys chosen by hash, summed within each range and
-    shifted by the total of the ranges before. Rows then only need their place inside their
-    own chunk.
+    One pass over the keys counts rows per (key, chunk) and stores the counts in ranges of
+    keys, as many as the session has shuffle partitions. The sums before each range, a number
+    per range, and the sums inside the ranges give each chunk's offset; rows then only need
+    their place inside their own chunk.
     """
-    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunked = rows.withColumn("_chunk", chunk_number(index))
     units = chunked.groupBy(key, "_chunk").agg(F.count("*").alias("_rows"))
-    place = F.struct(key, "_chunk")
-
-    # The same few units on every run: those whose hashes are lowest.
-    bounds = (
-        units.select(place.alias("place"))
-        .orderBy(F.xxhash64("place"), "place")
-        .limit(ranges - 1)
-        .agg(F.array_sort(F.collect_list("place")).alias("bounds"))
-    ).scalar()
-    # Never null, or joins on it would add a filter that runs for each row, not each unit.
-    below = bounds_below(F.col("_bounds"), place, ranges)
-    ranged = units.withColumn("_bounds", bounds).select(
-        key, "_chunk", "_rows", F.coalesce(below, F.lit(0)).alias("_range")
-    )
-
-    # A row per range, so one task may hold them.
-    totals = ranged.groupBy("_range").agg(F.sum("_rows").alias("_n"))
-    before_range = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(
-        "_range", F.coalesce(F.sum("_n").over(before_range), F.lit(0)).alias("_shift")
-    )
-    before_unit = (
+    # Which range a count is in is stored with it: a later run may cut ranges elsewhere.
+    ranged = units.repartitionByRange(ranges, key, "_chunk").withColumn("_range", F.spark_partition_id())
+    path = scratch_path(spark, "chunk-counts")
+    ranged.write.parquet(path)
+    counts = spark.read.schema(ranged.schema).parquet(path)
+
+    shifts, total = [0] * ranges, 0
+    for row in counts.groupBy("_range").agg(F.sum("_rows").alias("n")).orderBy("_range").collect():
+        shifts[row["_range"]] = total
+        total += row["n"]
+    shift = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in shifts]), F.col("_range") + 1)
+    inside_range = (
         Window.partitionBy("_range")
         .orderBy(key, "_chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        ranged.withColumn("_before", F.coalesce(F.sum("_rows").over(before_unit), F.lit(0)))
-        .join(F.broadcast(shifts), "_range")  # a row per range
-        .select(key, "_chunk", (F.col("_shift") + F.col("_before")).alias("_offset"))
-    )
+    before = F.coalesce(F.sum("_rows").over(inside_range), F.lit(0))
+    offsets = counts.select(key, "_chunk", (shift + before).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(index)) - 1
     return (
         chunked.join(offsets, [key, "_chunk"])

@@ -85,7 +85,8 @@ def record_job(
     labelled = R.train_val_split(R.read_groups_columns(groups), val_ratio, seed, by)
     # Rows are stored in an order of their own, or a problem's would be one task's.
     labelled = labelled.withColumn("shuffle_key", R.shuffle_key(("problem_id", "group_idx"), seed))
-    records = R.training_records(R.record_index(labelled), "shuffle_key", "split")
+    needed = ("problem_id", "group_idx", "prompt", "candidates_code", "pass_rates", "split", "shuffle_key")
+    records = R.training_records(R.dealt_with_index(labelled.select(*needed)), "shuffle_key", "split")
     return tables.write_split(records, target)
 
 

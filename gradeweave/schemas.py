@@ -1,4 +1,4 @@
-"""Explicit table schemas; reads use them so no footer or row is read to infer types."""
+"""Explicit table schemas; `read_generated` uses them, so no footer is read to infer types."""
 
 from pyspark.sql import types as T
 
@@ -39,7 +39,13 @@ PROBLEMS = T.StructType(
 )
 
 GENERATED = T.StructType(
-    PROBLEMS.fields
+    [
+        T.StructField("problem_id", T.LongType()),
+        T.StructField("part", T.LongType()),
+        T.StructField("n_parts", T.LongType()),
+        T.StructField("first_sample", T.LongType()),
+    ]
+    + PROBLEMS.fields
     + [
         T.StructField("question", T.StringType()),
         T.StructField("prompt", T.StringType()),
@@ -63,42 +69,7 @@ EXECUTIONS = T.StructType(
     ]
 )
 
-GROUPS = T.StructType(
-    [
-        T.StructField("canonical_id", T.StringType()),
-        T.StructField("prompt", T.StringType()),
-        T.StructField("candidates", T.ArrayType(T.StringType())),
-        T.StructField("candidates_code", T.ArrayType(T.StringType())),
-        T.StructField("pass_rates", T.ArrayType(T.DoubleType())),
-    ]
-)
-
-CHAT = T.ArrayType(
-    T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
-)
 
-RECORDS = T.StructType(
-    [
-        T.StructField("data_source", T.StringType()),
-        T.StructField("prompt", CHAT),
-        T.StructField("ability", T.StringType()),
-        T.StructField(
-            "reward_model",
-            T.StructType(
-                [
-                    T.StructField("style", T.StringType()),
-                    T.StructField("ground_truth", T.StringType()),
-                ]
-            ),
-        ),
-        T.StructField(
-            "extra_info",
-            T.StructType(
-                [
-                    T.StructField("index", T.LongType()),
-                    T.StructField("n_candidates", T.IntegerType()),
-                ]
-            ),
-        ),
-    ]
-)
+def columns(schema: T.StructType, *names: str) -> T.StructType:
+    """The named fields of a schema, in the given order."""
+    return T.StructType([schema[name] for name in names])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import fixed_values as fx
+from ..schemas import GENERATED, columns
 from .files import opened
 
 # Send this module's functions with the job: workers need not have the package installed.
@@ -35,11 +36,8 @@ def read_generated(spark: SparkSession, folder: str) -> DataFrame:
     is merged), and `valid_candidates` then drops its rows; without `canonical_id`, or
     the numbers of problem and parts, the rows stay, as whole problems.
     """
-    schema = (
-        f"problem_id bigint, part bigint, n_parts bigint, first_sample bigint, canonical_id string, prompt string, "
-        f"{fx.OUTPUTS} array<string>, "
-        f"{fx.PASS_RATES} array<double>"
-    )
+    numbers = ("problem_id", "part", "n_parts", "first_sample")
+    schema = columns(GENERATED, *numbers, "canonical_id", *REQUIRED)
     return spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{GENERATED_GLOB}")
 
 
@@ -119,20 +117,12 @@ def write_groups(groups: DataFrame, folder: str, group_size: int = fx.GROUP_SIZE
     return publish(groups.sparkSession, path, groups.write.parquet)
 
 
-def write_split(records: DataFrame, folder: str, shuffled: bool = True) -> str:
-    """Write labelled records by side.
+def write_split(records: DataFrame, folder: str) -> str:
+    """Write labelled records by side, as they are dealt (see `records.dealt_with_index`).
 
-    `shuffled` stores them in the order of the shuffle key, file after file. The key is a
-    hash, so its first digits cut the rows into equal ranges, and no pass over the data
-    is needed to find the cuts.
+    They are stored in the order of the shuffle key, file after file.
     """
     path = f"{folder.rstrip('/')}/records"
-    if shuffled:
-        parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        prefix = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("bigint")
-        part = F.floor(prefix * parts / 16**8).cast("int")
-        records = records.repartitionById(parts, part)
-        # The writer wants rows sorted by side; sorting by both keeps the order within one.
-        records = records.sortWithinPartitions("split", "shuffle_key")
-    writer = records.drop("shuffle_key").write.partitionBy("split")
-    return publish(records.sparkSession, path, writer.parquet)
+    # The writer wants rows sorted by side; sorting by both keeps the order within one.
+    ordered = records.sortWithinPartitions("split", "shuffle_key").drop("shuffle_key")
+    return publish(records.sparkSession, path, ordered.write.partitionBy("split").parquet)

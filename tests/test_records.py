@@ -52,6 +52,56 @@ def test_split_is_exact(spark, ratio, by):
     assert all((r.split == "train") == (r.shuffle_key in train) for r in out)
 
 
+@pytest.mark.parametrize("most", [1, 3, 40])
+def test_split_by_longer_prefixes(spark, monkeypatch, most):
+    """Where a prefix holds too many hashes to rank, longer ones are counted."""
+    monkeypatch.setattr(R, "DIGITS", 1)
+    monkeypatch.setattr(R, "MOST_RANKED", most)
+    table = group_table(spark)
+    expected = sorted(map(str, map(tuple, R.train_val_split(table, 0.3).select("problem_id", "group_idx", "split").collect())))
+    monkeypatch.undo()
+    got = R.train_val_split(table, 0.3).select("problem_id", "group_idx", "split").collect()
+    assert sorted(map(str, map(tuple, got))) == expected
+
+
+def test_index_beside_the_texts(spark):
+    """The index of whole rows is that of their keys, whether the keys travel or the rows do."""
+    table = group_table(spark)
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            out = R.record_index(table)
+            assert out.columns == [*table.columns, "index"]
+            rows = out.orderBy("problem_id", "group_idx").collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert [r["index"] for r in rows] == list(range(257)) and all(r.prompt == f"q{r.problem_id}" for r in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_dealt_rows_move_once(spark, parts):
+    """Texts are in one exchange, partitions are ranges of the key in order, numbers are right."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        labelled = R.train_val_split(group_table(spark), 0.2)
+        dealt = R.dealt_with_index(labelled)
+        assert dealt.columns == [*labelled.columns, "index"]
+        rows = dealt.withColumn("task", F.spark_partition_id()).collect()
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # All other exchanges are of numbers and keys: above the one of the texts there is none.
+    assert parts == 1 or plan.count("hashpartitioning(_slot") == 1 and plan.index("Exchange") == plan.index("Exchange hashpartitioning(_slot")
+    index = {(r.problem_id, r.group_idx): r["index"] for r in R.record_index(group_table(spark)).collect()}
+    assert len(rows) == 257 and all(r["index"] == index[r.problem_id, r.group_idx] for r in rows)
+    by_key = sorted(rows, key=lambda r: r.shuffle_key)
+    assert [r.task for r in by_key] == sorted(r.task for r in rows)
+    for task in {r.task for r in rows}:
+        own = [(r.split, r.shuffle_key) for r in rows if r.task == task]
+        assert own == sorted(own)
+
+
 def test_split_of_repeated_keys_fails(spark):
     table = spark.createDataFrame([(1, 1)] * 10, "problem_id long, group_idx long")
     with pytest.raises(Exception, match="not unique"):
