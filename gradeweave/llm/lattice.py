@@ -8,6 +8,7 @@ several times counts in its first meeting only, which a task can tell from the t
 alone, so pairs are never written: tasks give link counts and, for components, stars.
 """
 
+import functools
 from itertools import combinations, product
 
 import numpy as np
@@ -26,7 +27,9 @@ COSINE = 0.98
 TABLES, BLOCKS, PROBES, STEP = 5, 2, 3, 0.6
 SEED = 11
 #: Rows of a cell compared at once; larger cells are cut into chunks, and all chunks meet.
-TILE = 1024
+TILE = 512
+#: Vectors whose cells are worked out at a time, and pairs that are looked at at a time.
+CACHED, PAIRS = 128, 1 << 18
 
 CELLS = "class bigint, cell bigint, tab int, home boolean"
 FOUND = "class bigint, root bigint, links bigint"
@@ -72,6 +75,7 @@ def decode(points: np.ndarray) -> np.ndarray:
     return np.where(nearer[..., None], whole, half)
 
 
+@functools.lru_cache(maxsize=8)
 def projection(width: int) -> np.ndarray:
     """The tables' fixed directions for vectors of a width: (width, TABLES * BLOCKS * 8)."""
     return np.random.default_rng([SEED, width]).normal(size=(width, TABLES * BLOCKS * 8))
@@ -80,13 +84,18 @@ def projection(width: int) -> np.ndarray:
 def nearest_moves(off: np.ndarray):
     """For points `off` their lattice point: the PROBES nearest neighbours' moves, after none,
     and what each adds to the squared distance."""
-    pull = np.zeros((*off.shape[:-1], len(NEIGHBOURS)))
-    for i in range(8):
-        pull = pull + off[..., i, None] * NEIGHBOURS[:, i]
-    best = np.argsort(-pull, axis=-1, kind="stable")[..., :PROBES]
+    pull = off[..., 0, None] * NEIGHBOURS[:, 0]
+    for i in range(1, 8):
+        pull += off[..., i, None] * NEIGHBOURS[:, i]
+    best, extra = [], []
+    for _ in range(PROBES):  # of equals the first
+        top = pull.argmax(axis=-1)[..., None]
+        best.append(top)
+        extra.append(2 - 2 * np.take_along_axis(pull, top, -1))
+        np.put_along_axis(pull, top, -np.inf, -1)
     none = np.zeros((*off.shape[:-1], 1))
-    extra = np.concatenate([none, 2 - 2 * np.take_along_axis(pull, best, -1)], axis=-1)
-    return np.concatenate([none[..., None] * NEIGHBOURS[0], NEIGHBOURS[best]], axis=-2), extra
+    moves = NEIGHBOURS[np.concatenate(best, axis=-1)]
+    return np.concatenate([none[..., None] * NEIGHBOURS[0], moves], axis=-2), np.concatenate([none, *extra], axis=-1)
 
 
 def cells_of(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -95,11 +104,17 @@ def cells_of(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
     A vector's cells depend on it alone, to the last bit: sums run in a fixed order, not in
     one that a matrix product picks by the batch's shape.
     """
+    # Few at a time: what is made for them stays in the processor's cache.
+    parts = [some_cells(unit[i : i + CACHED], label[i : i + CACHED]) for i in range(0, len(unit), CACHED)]
+    return np.concatenate(parts) if parts else np.zeros((0, TABLES, 1 + PROBES), np.int64)
+
+
+def some_cells(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
     rows, width = unit.shape
     directions = projection(width)
     flat = np.zeros((rows, TABLES * BLOCKS * 8))
     for k in range(width):
-        flat = flat + unit[:, k, None] * directions[k]
+        flat += unit[:, k, None] * directions[k]
     points = (flat * STEP).reshape(rows, TABLES, BLOCKS, 8)
     home = decode(points)
     moves, extra = nearest_moves(points - home)
@@ -152,7 +167,7 @@ def cell_batches(batches):
                 )
 
 
-def first_meeting(mine, other, table: int, cell: int) -> np.ndarray:
+def first_meeting(mine, other, table: int, cell) -> np.ndarray:
     """Is this table's cell the first place where the pairs meet? `mine` and `other`: their cells, row by row."""
     earlier = np.zeros(len(mine), bool)
     for t in range(table):
@@ -165,85 +180,95 @@ def first_meeting(mine, other, table: int, cell: int) -> np.ndarray:
     return ~earlier & (first == cell)
 
 
-def compare(unit, home, label, side, table, cell, classes, copies):
-    """(class, root, links) of the linked rows of one cell, or of two chunks of it.
-
-    `side` tells the chunks apart; where there are two, only pairs across them count here.
-    """
-    close = unit @ unit.T >= COSINE
-    close &= home[:, None] | home[None]
-    close &= label[:, None] == label[None]
-    if side is not None:
-        close &= side[:, None] != side[None]
-    left, right = np.nonzero(np.triu(close, 1))
-    if not len(left):
-        return None
-    linked = np.unique(np.concatenate([left, right]))
-    place = np.zeros(len(unit), np.int64)
-    place[linked] = np.arange(len(linked))
-    entered = cells_of(unit[linked], label[linked])
-    links = np.zeros(len(unit), np.int64)
-    for at in range(0, len(left), 1 << 16):
-        i, j = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
-        new = first_meeting(entered[place[i]], entered[place[j]], table, cell)
-        np.add.at(links, i[new], copies[j[new]])
-        np.add.at(links, j[new], copies[i[new]])
-    root = classes[roots(len(unit), left, right)]
-    return classes[linked], root[linked], links[linked]
+class Rows:
+    """A batch of entries, in columns, sorted by (cell, meeting)."""
+
+    def __init__(self, batch):
+        names = ("class", "cell", "tab", "side", "meeting", "label", "width", "copies")
+        self.batch = batch
+        for name in names:
+            setattr(self, name if name != "class" else "classes", batch.column(name).to_numpy())
+        self.home = batch.column("home").to_numpy(zero_copy_only=False)
+
+    def units(self, rows):
+        """Unit vectors of some rows of one width."""
+        return units_of(self.batch.column("vector").take(pa.array(rows)), int(self.width[rows[0]]))
+
+    def pairs(self, first: int, until: int):
+        """Linked pairs of one run. Two chunks of a cell meet in it, or one chunk, or the whole cell."""
+        rows = np.arange(first, until)
+        left, right = [], []
+        for width in np.unique(self.width[rows]).tolist():  # one width, as good as always
+            own = rows[self.width[rows] == width]
+            unit, home, label, side = self.units(own), self.home[own], self.label[own], self.side[own]
+            close = unit @ unit.T >= COSINE
+            close &= home[:, None] | home[None]
+            close &= label[:, None] == label[None]
+            if self.meeting[first] >= 0:  # two chunks: what links inside one is found where it is alone
+                close &= side[:, None] != side[None]
+            i, j = np.nonzero(np.triu(close, 1))
+            left.append(own[i])
+            right.append(own[j])
+        return np.concatenate(left), np.concatenate(right)
+
+    def found(self, left, right):
+        """(class, root, links) of the linked rows; a pair counts where it meets first."""
+        linked, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+        i, j = place[: len(left)], place[len(left) :]
+        classes, one, of = np.unique(self.classes[linked], return_index=True, return_inverse=True)
+        entered = np.zeros((len(classes), TABLES, 1 + PROBES), np.int64)
+        sample = linked[one]
+        for width in np.unique(self.width[sample]).tolist():
+            own = np.flatnonzero(self.width[sample] == width)
+            entered[own] = cells_of(self.units(sample[own]), self.label[sample[own]])
+        links = np.zeros(len(linked), np.int64)
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            table = self.tab[linked[a]]
+            for t in np.unique(table).tolist():
+                x, y = a[table == t], b[table == t]
+                new = first_meeting(entered[of[x]], entered[of[y]], t, self.cell[linked[x]])
+                np.add.at(links, x[new], self.copies[linked[y[new]]])
+                np.add.at(links, y[new], self.copies[linked[x[new]]])
+        # Rows of different runs are different entries, so stars never join two runs.
+        root = classes[of][roots(len(linked), i, j)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (classes[of], root, links)], ["class", "root", "links"])
 
 
 def meeting_batches(batches):
     """Links of each partition's rows, sorted by (cell, meeting): each such run is compared whole."""
     held = None
 
-    def run_of(rows):
-        # Cells of two widths have one number as good as never; their rows are told apart even so.
-        width = rows.column("width").to_numpy()
-        if width.min() != width.max():
-            parts = [run_of(part) for _, part in by_width(rows)]
-            parts = [p for p in parts if p is not None]
-            return tuple(map(np.concatenate, zip(*parts))) if parts else None
-        side = rows.column("side").to_numpy()
-        return compare(
-            units_of(rows.column("vector"), int(width[0])),
-            rows.column("home").to_numpy(zero_copy_only=False),
-            rows.column("label").to_numpy(),
-            side if rows.column("meeting")[0].as_py() >= 0 else None,
-            rows.column("tab")[0].as_py(),
-            rows.column("cell")[0].as_py(),
-            rows.column("class").to_numpy(),
-            rows.column("copies").to_numpy(),
-        )
-
-    def runs(table, last):
-        """The found rows of all whole runs, and the run that may go on in the next batch."""
-        keys = np.stack([table.column(c).to_numpy() for c in ("cell", "meeting")], axis=1)
-        new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        edges = [0, *new.tolist(), len(keys)]
-        upto = len(edges) - 1 if last else len(edges) - 2
-        found = []
-        for i in range(upto):
-            if edges[i + 1] - edges[i] > 1:
-                got = run_of(table.slice(edges[i], edges[i + 1] - edges[i]))
-                if got is not None:
-                    found.append(got)
-        return found, table.slice(edges[upto])
-
-    def out(found):
-        columns = map(np.concatenate, zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["class", "root", "links"])
+    def results(rows, edges):
+        left, right, held_pairs = [], [], 0
+        for first, until in zip(edges[:-1], edges[1:]):
+            if until - first < 2:
+                continue
+            i, j = rows.pairs(first, until)
+            if not len(i):
+                continue
+            left.append(i)
+            right.append(j)
+            held_pairs += len(i)
+            if held_pairs >= PAIRS:
+                yield rows.found(np.concatenate(left), np.concatenate(right))
+                left, right, held_pairs = [], [], 0
+        if left:
+            yield rows.found(np.concatenate(left), np.concatenate(right))
 
     for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if not batch.num_rows:
             continue
-        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        found, held = runs(rows, False)
-        if found:
-            yield out(found)
+        rows = Rows(batch)
+        new = (rows.cell[1:] != rows.cell[:-1]) | (rows.meeting[1:] != rows.meeting[:-1])
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        # The last run may go on in the next batch.
+        yield from results(rows, edges)
+        held = batch.slice(edges[-1])
     if held is not None and held.num_rows:
-        found, _ = runs(held, True)
-        if found:
-            yield out(found)
+        yield from results(Rows(held), [0, held.num_rows])
 
 
 def meetings(cells: DataFrame) -> DataFrame:
