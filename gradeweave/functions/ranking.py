@@ -93,22 +93,27 @@ def top1_acc(ranking: Column, rates: Column) -> Column:
 
 
 def _tally(right, wrong) -> Column:
-    return F.struct(right.cast("bigint").alias("right"), wrong.cast("bigint").alias("wrong"))
+    return F.struct(right.alias("right"), wrong.alias("wrong"))
 
 
 def _add(total, item) -> Column:
     return _tally(total["right"] + item["right"], total["wrong"] + item["wrong"])
 
 
-def _pairs_of_few(order: Column) -> Column:
-    """How many pairs stand in falling and in rising order, by what comes after each item."""
+def _share_right(total) -> Column:
+    right, wrong = total["right"].cast("double"), total["wrong"].cast("double")
+    return F.coalesce(F.try_divide(right, right + wrong), F.lit(1.0))
+
+
+def _share_of_few(order: Column) -> Column:
+    """Share of the unequal pairs that stand in falling order, by what comes after each item."""
 
     def later(item, i):
         after = F.slice(order, i + 2, F.size(order))
         below, above = F.filter(after, lambda o: o < item), F.filter(after, lambda o: o > item)
         return _tally(F.size(below), F.size(above))
 
-    return F.aggregate(F.transform(order, later), _tally(F.lit(0), F.lit(0)), _add)
+    return F.aggregate(F.transform(order, later), _tally(F.lit(0), F.lit(0)), _add, _share_right)
 
 
 def _before(values: Column, value: Column, also_equal: bool) -> Column:
@@ -129,21 +134,25 @@ def _before(values: Column, value: Column, also_equal: bool) -> Column:
     return F.aggregate(steps, start, halve)["low"]
 
 
-def _pairs_of_many(order: Column) -> Column:
+def _share_of_many(order: Column) -> Column:
     """The same by merging: sorted runs are joined two by two, and pairs counted across each two.
 
     Rounds grow with the logarithm of the length, a round's work with the length times its
     logarithm.
     """
+    none = _tally(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
     def merged(runs, k):
         left = F.get(runs, 2 * k)
         right = F.coalesce(F.get(runs, 2 * k + 1), F.array().cast("array<double>"))
         # Of equal items those of the first run count once, for all of the second.
         counts = F.transform(
-            left, lambda a: _tally(_before(right, a, False), F.size(right) - _before(right, a, True))
+            left,
+            lambda a: _tally(
+                _before(right, a, False).cast("bigint"), (F.size(right) - _before(right, a, True)).cast("bigint")
+            ),
         )
-        total = F.aggregate(counts, _tally(F.lit(0), F.lit(0)), _add)
+        total = F.aggregate(counts, none, _add)
         return F.struct(F.sort_array(F.concat(left, right)).alias("run"), total.alias("pairs"))
 
     def round_(state, _):
@@ -154,8 +163,8 @@ def _pairs_of_many(order: Column) -> Column:
 
     rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(order))).cast("int"))
     single = F.transform(order, lambda item: F.array(item))
-    start = F.struct(single.alias("runs"), _tally(F.lit(0), F.lit(0)).alias("pairs"))
-    return F.aggregate(rounds, start, round_)["pairs"]
+    start = F.struct(single.alias("runs"), none.alias("pairs"))
+    return F.aggregate(rounds, start, round_, lambda state: _share_right(state["pairs"]))
 
 
 def pairacc(ranking: Column, rates: Column) -> Column:
@@ -174,13 +183,7 @@ def pairacc(ranking: Column, rates: Column) -> Column:
     )
 
     def share(order):
-        pairs = F.when(F.size(order) <= FEW, _pairs_of_few(order)).otherwise(_pairs_of_many(order))
-
-        def divide(total):
-            right, wrong = total["right"].cast("double"), total["wrong"].cast("double")
-            return F.coalesce(F.try_divide(right, right + wrong), F.lit(1.0))
-
-        return let(pairs, divide)
+        return F.when(F.size(order) <= FEW, _share_of_few(order)).otherwise(_share_of_many(order))
 
     return _unless_missing(ranking, rates, let(in_order, share))
 
