@@ -27,9 +27,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 
-#: The fit's bounds: distinct strings per kind, and their length.
+#: The fit's bound: distinct examples per kind. A string longer than a piece teaches by its pieces.
 SAMPLE = 500
-LONGEST_EXAMPLE = 128
+PIECE = 128
 #: Bits by which a grammar must beat the ordinary one, in all and per character.
 MARGIN_BITS = 8.0
 MARGIN_PER_CHARACTER = 0.5
@@ -90,9 +90,18 @@ def scan_batches(batches):
 
 
 def examples(values: DataFrame, sample: int) -> list[str]:
-    """A bounded sample of the distinct strings, the same on every run, as symbols."""
-    short = values.where(F.length("value") <= LONGEST_EXAMPLE).distinct()
-    rows = short.orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+    """A bounded sample of the distinct strings, the same on every run, as symbols.
+
+    Strings longer than PIECE are cut into pieces of that length, each an example; a last
+    piece too short to be a credential is none.
+    """
+    cuts = F.sequence(F.lit(0), F.floor((F.length("value") - 1) / PIECE).cast("int"))
+    parts = F.transform(cuts, lambda i: F.substring("value", i * PIECE + 1, F.lit(PIECE)))
+    whole = F.when(F.length("value") <= PIECE, F.array("value")).otherwise(
+        F.filter(parts, lambda part: F.length(part) >= LEAST_ASSIGN)
+    )
+    distinct = values.select(F.explode(whole).alias("value")).distinct()
+    rows = distinct.orderBy(F.xxhash64("value"), "value").limit(sample).collect()
     return [r["value"].translate(SYMBOLS) for r in rows]
 
 

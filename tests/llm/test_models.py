@@ -190,6 +190,15 @@ def test_secrets_score_whole_candidates():
     assert secrets.other_candidates(text, base) == [(0, 46, "sk-live-AbCdEf0123456789abcdef0123XyZ_TAIL-end")]
 
 
+def test_long_secrets_teach(spark):
+    """A table whose only credentials are long: their pieces are examples, whole strings of 128 as they are."""
+    texts = [hashlib.sha256(str(i).encode()).hexdigest() * n for i, n in enumerate((2, 3, 9))] + ["ab" * 64 + "c" * 5]
+    values = spark.createDataFrame([(t,) for t in texts], "value string")
+    pieces = [t[i : i + 128] for t in texts for i in range(0, len(t), 128)]
+    expected = {p.translate(secrets.SYMBOLS) for p in pieces if len(p) >= 12}
+    assert set(secrets.examples(values, 500)) == expected and len(secrets.examples(values, 3)) == 3
+
+
 def brute_language(rows):
     """Languages and scores by the method in plain Python: words by log frequency, else n-grams."""
     import regex
