@@ -1,5 +1,8 @@
 """The corpus pipeline: documents in, sharded training rows out.
 
+Stages keep the columns of the documents, also further ones, and take nulls in any column,
+empty and very long texts and repeated rows as each says; of an empty table nothing is left.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each stage's
 rows as Parquet into the shared folder and reads them back as the next stage's documents.
 """
@@ -23,17 +26,27 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def decontamination(spark, docs, sf_dir):
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together.
+    """
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark, docs, sf_dir):
-    """Takes each document as often as the mix of the sources asks for."""
+    """Takes each document as often as the mix of the sources asks for.
+
+    Null sources are one source, the last; null and empty texts have no words and may be
+    taken; repeated rows are rows of their own.
+    """
     return mixing.mix(docs)
 
 
 def sharded(spark, docs, sf_dir):
-    """Adds the shard of each row's doc_id, and the shard it would have with one shard more."""
+    """Adds the shard of each row's doc_id, and the shard it would have with one shard more.
+
+    Null ids count as id 0. Columns that are named `shard` or `grown_shard` are replaced.
+    """
     out = sharding.assign_shards(docs, SHARDS)
     return out.withColumn("grown_shard", sharding.jump_shard(F.col("doc_id"), SHARDS + 1))
 

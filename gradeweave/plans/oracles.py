@@ -1,5 +1,8 @@
 """SQL (DuckDB) for the registered queries, on the given tables; written apart from the
-Spark code: windows, joins and unnesting where that uses array expressions."""
+Spark code: windows, joins and unnesting where that uses array expressions.
+
+The prompts' wording in here is fixed values, written out once more so that the comparison
+does not rest on the library's own."""
 
 NL = "chr(10)"
 
