@@ -9,6 +9,8 @@ from .problems import test_cases
 from .rows import each, with_known
 
 RUN = ("problem_id", "sample_idx", "test_idx")
+#: Test number and digest that stand for the sample itself among its runs.
+NO_TEST, NOTHING = -1, b""
 
 
 def execution_worklist(
@@ -102,38 +104,48 @@ def sample_verdicts(
     samples and problems as for `execution_worklist`, whose rows are never made here. `passed`
     holds, per 64 tests, a bit for each that any run of it passed, so retries count once.
     Expected texts become digests in their problem's row; a run passed if its digest is that
-    of its test, found by a join on (problem, sample chunk, test, digest).
+    of its test, found by a join on (problem, sample chunk, test, digest). A sample with code
+    goes through the same join as a run of no test, and so learns how many tests there are.
+    A sample that comes twice has one row, with code if either has.
     """
     cases = test_cases(F.col("test_suites"), max_tests)
-    tested = problems.select(
-        "problem_id", F.transform(cases, lambda case: text_digest(case["output"])).alias("_digests")
-    ).where(F.size("_digests") > 0)
+    digest = lambda case, i: F.struct(i.cast("bigint").alias("test"), text_digest(case["output"]).alias("said"))
+    tested = problems.select("problem_id", F.transform(cases, digest).alias("_digests")).where(F.size("_digests") > 0)
     copies = chunk_copies(tested, "problem_id", samples, "sample_idx", chunk_rows)
-    wanted = each(copies, ["problem_id", "_chunk"], F.col("_digests"), "test_idx", "said")
-    runs = succeeded(executions).withColumn("_chunk", chunk_number("sample_idx", chunk_rows))
-    # The runs that said what was wanted; a copy has a test once, so a run is joined once.
-    right = runs.join(wanted, ["problem_id", "_chunk", "test_idx", "said"])
-    word = F.expr("cast(test_idx as bigint) div 64")
-    bit = F.expr("shiftleft(1L, cast(test_idx as int) % 64)")
-    words = right.groupBy("problem_id", "sample_idx", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    passed = words.groupBy("problem_id", "sample_idx").agg(
-        F.sum(F.bit_count("bits")).alias("n_passed"),
-        F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("passed"),
+    none = F.struct(F.lit(NO_TEST).cast("bigint").alias("test"), F.lit(NOTHING).alias("said"))
+    wanted = copies.select(
+        "problem_id", "_chunk", F.size("_digests").alias("_size"), F.explode(F.concat(F.array(none), "_digests")).alias("_d")
+    ).select(
+        "problem_id",
+        "_chunk",
+        F.col("_d.test").alias("test_idx"),
+        F.col("_d.said").alias("said"),
+        F.when(F.col("_d.test") < 0, F.col("_size")).alias("n_tests"),
     )
     coded = with_known(
         samples.select("problem_id", "sample_idx", "output"),
         "_code",
         F.when(text.extract_code(F.col("output"), empty_is_none=True).isNotNull(), True),
-    ).select("problem_id", "sample_idx")
-    counts = tested.select("problem_id", F.size("_digests").cast("bigint").alias("n_tests"))
-    due = join_by_key(coded, counts, "problem_id", "sample_idx", chunk_rows, numbering=samples)
-    return due.join(passed, ["problem_id", "sample_idx"], "left").select(
-        "problem_id",
-        "sample_idx",
-        "n_tests",
-        F.coalesce("n_passed", F.lit(0)).cast("bigint").alias("n_passed"),
-        F.coalesce("passed", F.array().cast("array<struct<word:bigint,bits:bigint>>")).alias("passed"),
     )
+    own = (F.lit(NO_TEST).cast("bigint").alias("test_idx"), F.lit(NOTHING).alias("said"))
+    runs = succeeded(executions).where("test_idx >= 0").unionByName(coded.select("problem_id", "sample_idx", *own))
+    # A copy has a test once, so a run is joined once, where it said what was wanted.
+    right = runs.withColumn("_chunk", chunk_number("sample_idx", chunk_rows)).join(
+        wanted, ["problem_id", "_chunk", "test_idx", "said"]
+    )
+    word = F.when(F.col("test_idx") >= 0, F.expr("cast(test_idx as bigint) div 64"))
+    bit = F.expr("if(test_idx >= 0, shiftleft(1L, cast(test_idx % 64 as int)), 0L)")
+    words = right.groupBy("problem_id", "sample_idx", word.alias("word")).agg(
+        F.bit_or(bit).alias("bits"), F.max("n_tests").alias("n_tests")
+    )
+    some = F.when(F.col("word").isNotNull(), F.struct("word", "bits"))
+    verdicts = words.groupBy("problem_id", "sample_idx").agg(
+        F.max("n_tests").cast("bigint").alias("n_tests"),
+        F.sum(F.bit_count("bits")).cast("bigint").alias("n_passed"),
+        F.array_sort(F.collect_list(some)).alias("passed"),
+    )
+    # Runs of samples without code count for nothing.
+    return verdicts.where(F.col("n_tests").isNotNull())
 
 
 def tests_of(verdicts: DataFrame) -> DataFrame:

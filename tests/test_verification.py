@@ -128,6 +128,10 @@ def test_verdicts_of_many_tests_and_retries(spark):
             (p, s): sum(expected[p, s, t] for t in range(n)) / n
             for p, n in n_tests.items() for s in range(40 if p == 1 else 5) if s % 7
         }
+    # A completion that comes twice, once without code, is one sample.
+    twice = samples.union(samples.withColumn("output", F.lit("no code")))
+    again = V.sample_verdicts(twice, problems, runs)
+    assert sorted(map(str, map(tuple, again.collect()))) == sorted(map(str, map(tuple, verdicts.collect())))
     # The same as going through the work list.
     listed = V.verify(V.execution_worklist(samples, problems), runs)
     assert {tuple(r)[:3]: r.passed for r in listed.collect()} == expected
