@@ -11,10 +11,12 @@ HEADER = 4
 PACK_ROWS = 1 << 16
 #: Low bits at most, so that a number's bits lie in eight bytes whatever bit they start at.
 MOST_LOW = 56
-CONTEXT_BITS, SUCCESSOR_BITS = 28, 36
+#: Bits of a successor's number; the rank of its context takes the rest of 64.
+SUCCESSOR_BITS = 36
 SUCCESSOR_MASK = np.uint64((1 << SUCCESSOR_BITS) - 1)
-#: Steps per factor of ten of the quantised counts; code 0 stands for none.
-STEPS = 2048
+MOST_CONTEXTS = 1 << (64 - SUCCESSOR_BITS)
+#: Steps per factor of ten of the quantised probabilities; code 0 stands for none.
+STEPS = 4000
 
 
 def encode(values: np.ndarray, bits: int) -> np.ndarray:
@@ -46,7 +48,8 @@ class Sequence:
     def __init__(self, words: np.ndarray):
         self.n, self.low_bits, low, high = (int(x) for x in words[:HEADER])
         self.words = HEADER + low + high
-        self.low = words[HEADER : HEADER + low].view(np.uint8)
+        # The eight bytes from each byte of the low bits on.
+        self.eights = np.lib.stride_tricks.as_strided(words[HEADER : HEADER + low], (max(0, 8 * low - 7),), (1,))
         upper = np.unpackbits(words[HEADER + low : self.words].view(np.uint8), bitorder="little")
         # Where each value of the high bits begins: the zeros of the unary gaps, less those before.
         zeros = np.flatnonzero(upper == 0)
@@ -56,10 +59,7 @@ class Sequence:
         if not self.low_bits:
             return np.zeros(len(index), np.uint64)
         bit = index * self.low_bits
-        byte, out = bit >> 3, np.zeros(len(index), np.uint64)
-        for i in range(8):
-            out |= self.low[byte + i].astype(np.uint64) << np.uint64(8 * i)
-        return (out >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
+        return (self.eights[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
     def decode(self) -> np.ndarray:
         per_high = np.diff(self.begins)
@@ -89,72 +89,117 @@ class Sequence:
             hi[open_] = np.where(below, hi[open_], mid)
 
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    """log10 of the counts in 16-bit steps."""
-    return (np.rint(np.log10(counts.astype(np.float64)) * STEPS) + 1).astype(np.uint16)
+def quantised(chances: np.ndarray) -> np.ndarray:
+    """log10 of probabilities above 0 in 16-bit steps; what is below 10**-16 is taken for that."""
+    steps = np.rint(-np.log10(np.minimum(chances, 1.0)) * STEPS)
+    return (np.minimum(steps, 16 * STEPS) + 1).astype(np.uint16)
 
 
-def unquantised(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 1) / STEPS), 0.0)
+def unquantised(codes: np.ndarray, none: float) -> np.ndarray:
+    """The probabilities of the codes, and `none` where there is no code."""
+    return np.where(codes > 0, 10.0 ** ((1 - codes.astype(np.float64)) / STEPS), none)
 
 
-class Level:
-    """One level of the trie: contexts, monotone pointers to their successors, successors, codes."""
+def padded(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(-(-len(codes) // 4) * 4, np.uint16)
+    out[: len(codes)] = codes
+    return out.view(np.uint64)
+
+
+class Words:
+    """The first level: all words as successors of the root, and monotone sums of their counts."""
 
     def __init__(self, words: np.ndarray):
-        self.contexts = Sequence(words[1:])
-        at = 1 + self.contexts.words
-        self.pointers = Sequence(words[at:])
-        at += self.pointers.words
-        self.successors = Sequence(words[at:])
-        at += self.successors.words
-        self.codes = words[at:].view(np.uint16)[: int(words[0])]
+        self.keys = Sequence(words)
+        self.sums = Sequence(words[self.keys.words :])
 
     @staticmethod
     def build(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The level of sorted distinct keys (context bits above successor bits) with counts."""
-        context = keys >> np.uint64(SUCCESSOR_BITS)
-        new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        rank = np.repeat(np.arange(len(new), dtype=np.uint64), np.diff(np.r_[new, len(keys)]))
-        # Successors are numbers relative to their context; the rank above them keeps them monotone.
-        relative = (rank << np.uint64(SUCCESSOR_BITS)) | (keys & SUCCESSOR_MASK)
-        pointers = np.r_[new, len(keys)].astype(np.uint64)
-        codes = np.zeros(-(-len(keys) // 4) * 4, np.uint16)
-        codes[: len(keys)] = quantised(counts)
+        """The level of sorted distinct keys with counts."""
+        sums = np.r_[0, np.cumsum(counts)].astype(np.uint64)
+        return np.concatenate([encode(keys, 64), encode(sums, max(1, int(sums[-1]).bit_length()))])
+
+    def counts_of(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key, 0 for one not there."""
+        if not self.keys.n:
+            return np.zeros(len(keys), np.int64)
+        place = np.minimum(self.keys.search(keys), self.keys.n - 1)
+        counts = (self.sums.at(place + 1) - self.sums.at(place)).astype(np.int64)
+        return np.where(self.keys.at(place) == keys, counts, 0)
+
+
+class Lists:
+    """Contexts, and numbers of successors with their context's rank above them, so that they rise."""
+
+    def __init__(self, words: np.ndarray):
+        self.contexts = Sequence(words)
+        self.successors = Sequence(words[self.contexts.words :])
+        self.words = self.contexts.words + self.successors.words
+
+    @staticmethod
+    def build(contexts: np.ndarray, rank: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        if len(contexts) >= MOST_CONTEXTS:
+            raise ValueError("too many contexts for one part of a level")
+        relative = (rank.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successors
+        bits = min(64, SUCCESSOR_BITS + max(1, len(contexts).bit_length()))
+        return np.concatenate([encode(contexts, 64), encode(relative, bits)])
+
+    def decode(self):
+        """(contexts, rank of each successor's context, successors)."""
+        relative = self.successors.decode()
+        return self.contexts.decode(), (relative >> np.uint64(SUCCESSOR_BITS)).astype(np.int64), relative & SUCCESSOR_MASK
+
+
+class Level:
+    """A level above the words: lists, pointers to each context's first successor, and codes.
+
+    A successor has the code of its discounted probability, a context that of the weight that
+    its shorter context's probabilities have in it.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.lists = Lists(words)
+        self.pointers = Sequence(words[self.lists.words :])
+        at = self.lists.words + self.pointers.words
+        n, contexts = self.lists.successors.n, self.lists.contexts.n
+        self.codes = words[at:].view(np.uint16)[:n]
+        self.weights = words[at + -(-n // 4) :].view(np.uint16)[:contexts]
+
+    @staticmethod
+    def build(contexts, rank, successors, chances, weights) -> np.ndarray:
+        """The level of sorted contexts and, in order of (rank, successor), their successors."""
+        pointers = np.searchsorted(rank, np.arange(len(contexts) + 1)).astype(np.uint64)
         return np.concatenate(
             [
-                np.array([len(keys)], np.uint64),
-                encode(context[new], CONTEXT_BITS),
-                encode(pointers, max(1, len(keys).bit_length())),
-                encode(relative, SUCCESSOR_BITS + max(1, len(new).bit_length())),
-                codes.view(np.uint64),
+                Lists.build(contexts, rank, successors),
+                encode(pointers, max(1, len(rank).bit_length())),
+                padded(quantised(chances)),
+                padded(quantised(weights)),
             ]
         )
 
-    @staticmethod
-    def of(buffer) -> "Level":
-        return Level(np.frombuffer(buffer, np.uint64))
-
     @staticmethod
     def open(path: str) -> "Level":
         """A level in a file of its own, mapped into memory."""
         return Level(np.memmap(path, np.uint64, "r"))
 
-    def codes_of(self, keys: np.ndarray) -> np.ndarray:
-        """The code of each key, 0 for one not there: its context, then a successor of that."""
-        if not len(self.codes):
-            return np.zeros(len(keys), np.uint16)
-        context = keys >> np.uint64(SUCCESSOR_BITS)
-        rank = np.minimum(self.contexts.search(context), self.contexts.n - 1)
-        known = np.flatnonzero(self.contexts.at(rank) == context)
-        rank = rank[known]
-        first = self.pointers.at(rank).astype(np.int64)
-        last = self.pointers.at(rank + 1).astype(np.int64)
-        wanted = (rank.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | (keys[known] & SUCCESSOR_MASK)
-        place = self.successors.search(wanted, first, last)
-        there = place < last
+    def answer(self, contexts, rank, successors):
+        """(codes, weights): per successor its code in its context, per context its weight; 0 for none."""
+        codes, weights = np.zeros(len(rank), np.uint16), np.zeros(len(contexts), np.uint16)
+        if not self.lists.contexts.n:
+            return codes, weights
+        mine = np.minimum(self.lists.contexts.search(contexts), self.lists.contexts.n - 1)
+        known = self.lists.contexts.at(mine) == contexts
+        weights[known] = self.weights[mine[known]]
+        first, last = (self.pointers.at(mine + i).astype(np.int64) for i in (0, 1))
+        asked = np.flatnonzero((known & (first < last))[rank])
+        if not len(asked):
+            return codes, weights
+        rank = rank[asked]
+        wanted = (mine[rank].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successors[asked]
+        place = self.lists.successors.search(wanted, first[rank], last[rank])
+        inside = place < last[rank]
         place = np.minimum(place, len(self.codes) - 1)
-        there &= self.successors.at(place) == wanted
-        out = np.zeros(len(keys), np.uint16)
-        out[known[there]] = self.codes[place[there]]
-        return out
+        there = inside & (self.lists.successors.at(place) == wanted)
+        codes[asked[there]] = self.codes[place[there]]
+        return codes, weights

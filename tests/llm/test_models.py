@@ -86,13 +86,36 @@ def test_elias_fano_round_trip(tmp_path):
             assert (found.search(wanted) == np.searchsorted(values, wanted)).all()
     keys = np.unique(random.integers(0, 2**63, 20_000, dtype=np.uint64))
     counts = random.integers(1, 5000, len(keys))
-    data = elias_fano.Level.build(keys, counts)
+    words = elias_fano.Words(elias_fano.Words.build(keys, counts))
+    assert (words.counts_of(keys) == counts).all()
+    assert not words.counts_of(np.setdiff1d(keys + np.uint64(1), keys)).any()
+    assert not elias_fano.Words(elias_fano.Words.build(keys[:0], counts[:0])).counts_of(keys).any()
+
+
+def test_level_answers(tmp_path):
+    """Contexts with many, few and no successors; a level written to a file and mapped."""
+    random = np.random.default_rng(1)
+    contexts = np.unique(random.integers(0, 2**63, 500, dtype=np.uint64))
+    model = {}
+    for i, c in enumerate(contexts.tolist()):
+        n = (0, 1, 3, 2000)[i % 4] if i < 40 else i % 5
+        model[c] = dict.fromkeys(random.integers(0, 2**elias_fano.SUCCESSOR_BITS, n).tolist(), 0.0)
+        model[c] = {s: float(random.uniform(1e-9, 1)) for s in sorted(model[c])}
+    rank = np.repeat(np.arange(len(contexts)), [len(model[c]) for c in contexts.tolist()])
+    successors = np.array([s for c in contexts.tolist() for s in model[c]], np.uint64)
+    chances = np.array([p for c in contexts.tolist() for p in model[c].values()])
+    weights = random.uniform(1e-6, 1, len(contexts))
+    data = elias_fano.Level.build(contexts, rank, successors, chances, weights)
     data.tofile(tmp_path / "level")
     level = elias_fano.Level.open(str(tmp_path / "level"))
-    assert (level.codes_of(keys) == elias_fano.quantised(counts)).all()
-    assert np.allclose(elias_fano.unquantised(level.codes_of(keys)), counts, rtol=1e-3)
-    assert not level.codes_of(np.setdiff1d(keys + np.uint64(1), keys)).any()
-    assert data.nbytes < (8 + 2) * len(keys)
+    asked = np.unique(np.r_[contexts[::2], contexts[::3] + np.uint64(1)])
+    pairs = [(i, s) for i, c in enumerate(asked.tolist()) for s in sorted({*list(model.get(c, {}))[:50], 5, 2**36 - 1})]
+    got = level.answer(asked, np.array([i for i, _ in pairs]), np.array([s for _, s in pairs], np.uint64))
+    known = dict(zip(contexts.tolist(), weights))
+    want = [model.get(int(asked[i]), {}).get(s, 0.0) for i, s in pairs]
+    assert np.allclose(elias_fano.unquantised(got[0], 0.0), want, rtol=1e-3, atol=0)
+    assert np.allclose(elias_fano.unquantised(got[1], -1.0), [known.get(c, -1.0) for c in asked.tolist()], rtol=1e-3)
+    assert data.nbytes < 8 * len(successors) + 20 * len(contexts)
 
 
 def brute_scores(rows, order, mass):
@@ -142,6 +165,11 @@ def test_ngram_scores(odd_docs, odd_rows, no_docs, monkeypatch):
     rows = [r[:2] for r in odd_rows]
     for order in (2, 3):
         check_scores(odd_docs, rows, order)
+    # Small blocks and shards: contexts split among shards, and met by blocks that know few of their words.
+    monkeypatch.setattr(ngram_model, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(ngram_model, "SHARD_TOKENS", 2000)
+    check_scores(odd_docs, rows, 3)
+    monkeypatch.undo()
     assert ngram_model.train_and_score(no_docs, F.lit(True)).collect() == []
     unseen = ngram_model.train_and_score(odd_docs.where("doc_id = 9"), F.lit(False)).collect()
     assert [r["n_known"] for r in unseen] == [0] and unseen[0]["train_tokens"] == 0
