@@ -1,8 +1,8 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-A fingerprint is cut into six blocks of bits. Fingerprints that differ in at most four bits
-agree in two blocks at least, so each distinct fingerprint goes, once per pair of blocks,
-into the bucket of these blocks' values. Inside a bucket, fingerprints are stored as 64 bit
+A fingerprint is cut into blocks of bits, six or more. Fingerprints that differ in at most
+four bits agree in all blocks but four at least, so each distinct fingerprint goes, once per
+choice of so many blocks, into the bucket of these blocks' values. Inside a bucket, fingerprints are stored as 64 bit
 planes; the distances of one fingerprint to 64 others are counted per machine word with
 carry-save counters, and a comparison ends once all counters have passed the radius.
 Links become components by rounds of hooking to the smallest neighbour.
@@ -23,8 +23,12 @@ from .common import by_bytes, row_key, rows_once, stored, words_of
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Fixed values of the index: widths of the blocks, from the lowest bit, 64 in sum.
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Fewest and most blocks; with more of them, buckets are more and smaller.
+BLOCKS = (6, 10)
+#: Fingerprints of a bucket, on average, that more blocks are taken beyond.
+BUCKET = 64
+#: Rows of a key that one task joins; those of larger keys are dealt over tasks.
+KEY_ROWS = 1 << 14
 #: Fingerprints compared at a time; larger buckets are cut into chunks of this size.
 TILE = 2048
 QUERIES = 256
@@ -210,27 +214,51 @@ def bucket_edges(batches):
         yield from map(out, tiles(held_bucket, held_value, True)[0])
 
 
-def bucket_rows(distinct: DataFrame) -> DataFrame:
-    """A row per fingerprint and pair of blocks: `bucket`, a number that holds the pair and both values."""
-    shifts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = [
-        F.shiftrightunsigned("fingerprint", s).bitwiseAND((1 << w) - 1) for s, w in zip(shifts, BLOCKS)
-    ]
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    keys = [
-        F.lit(k << 32).cast("bigint") + F.shiftleft(block[i], BLOCKS[j]) + block[j]
-        for k, (i, j) in enumerate(pairs)
-    ]
-    return distinct.select("fingerprint", F.explode(F.array(*keys)).alias("bucket"))
+def block_count(n: int) -> int:
+    """The number of blocks for n fingerprints. Any number finds all links; it sets the work only."""
+    fits = [k for k in range(BLOCKS[0], BLOCKS[1]) if n <= BUCKET << (64 // k * (k - RADIUS))]
+    return fits[0] if fits else BLOCKS[1]
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def bucket_rows(distinct: DataFrame, blocks: int) -> DataFrame:
+    """A row per fingerprint and choice of blocks: `bucket`, a hash of the choice and the blocks' values.
+
+    Should two hashes be equal, their buckets are compared as one, which loses and adds no link.
+    """
+    widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+    block = [((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)]
+    masks = np.array([sum(chosen) for chosen in combinations(block, blocks - RADIUS)], np.uint64).view(np.int64)
+    rows = distinct.select("fingerprint", F.posexplode(F.array(*map(F.lit, masks.tolist()))).alias("_choice", "_mask"))
+    bucket = F.xxhash64("_choice", F.col("fingerprint").bitwiseAND(F.col("_mask")))
+    return rows.select("fingerprint", bucket.alias("bucket"))
+
+
+def joined(rows: DataFrame, per_key: DataFrame, key: str, by: str) -> DataFrame:
+    """`rows` joined on `key` with the stored table `per_key`, whose `_rows` is a key's number of rows.
+
+    The rows of a key of more than KEY_ROWS are dealt by the hash of `by`, and the key's own row copied
+    for each part, so that no task has all rows of a key. Such keys are at most rows / KEY_ROWS.
+    """
+    large = per_key.where(F.col("_rows") > KEY_ROWS)
+    large = stored(large.select(key, F.ceil(F.col("_rows") / KEY_ROWS).cast("bigint").alias("_parts")), "large-keys")
+    per_key = per_key.drop("_rows")
+    if large.isEmpty():
+        return rows.join(per_key, key)
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    dealt = rows.join(large, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    copies = per_key.join(large, key, "left").withColumn("_part", each).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
+def links(distinct: DataFrame, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) that connect what the links of the distinct fingerprints connect.
 
-    A bucket of more than a tile is cut into chunks by a hash; every two chunks meet in a
-    task of their own, so the bucket is compared whole, without one task holding it.
+    The number of blocks follows from the number of fingerprints unless it is given. A bucket
+    of more than a tile is cut into chunks by a hash; every two chunks meet in a task of their
+    own, so the bucket is compared whole, without one task holding it.
     """
-    rows = bucket_rows(distinct)
+    rows = bucket_rows(distinct, blocks or block_count(distinct.count()))
     large = rows.groupBy("bucket").agg(F.count("*").alias("_rows")).where(F.col("_rows") > TILE)
     large = large.select("bucket", F.ceil(F.col("_rows") / (TILE // 2)).cast("bigint").alias("_chunks"))
     # Few buckets are large: known as a table, it is joined without moving the small ones twice.
@@ -256,13 +284,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low"))
-        low = low.select("a", F.least("a", "low").alias("low"))
-        starred = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count("*").alias("_rows"))
+        starred = joined(both.where("b > a"), stored(low, "least"), "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b"))
         starred = starred.where("a <> b").distinct()
         # Now a > b throughout: hook each number's other smaller neighbours, and itself, to the smallest.
-        least = starred.groupBy("a").agg(F.min("b").alias("low"))
-        hooked = starred.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        starred = stored(starred, "starred")
+        least = starred.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("_rows"))
+        least = stored(least, "least")
+        hooked = joined(starred, least, "a", "b").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = stored(hooked.union(least.select("a", F.col("low").alias("b"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -289,8 +318,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     prints = stored(fingerprints(docs), "fingerprints")
     named = component_roots(prints)
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(smallest, "root").select("fingerprint", "component_id")
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_rows"))
+    classes = joined(named, stored(smallest, "least"), "root", "fingerprint").select("fingerprint", "component_id")
     return prints.join(classes, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
