@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,41 @@ def test_short_license(spark):
     assert {texts[r["doc_id"]][r["start"] : r["end"]].lower() for r in got} == {"all rights reserved"}
 
 
+def full_alignment(template, words):
+    """Matched words of the best local alignment, over the whole table of both texts."""
+    best, above = (0.0, 0), [(0.0, 0)] * (len(words) + 1)
+    for word in template:
+        row = [(0.0, 0)]
+        for j, other in enumerate(words, 1):
+            score, matched = max(above[j - 1], (0.0, 0)) if above[j - 1][0] > 0 else (0.0, 0)
+            same = word == other
+            ways = [(score + (1 if same else licences.MISS), matched + same)]
+            ways += [(s + licences.GAP, m) for s, m in (above[j], row[j - 1])]
+            row.append(max(ways))
+            best = max(best, row[j])
+        above = row
+    return best[1]
+
+
+def test_license_texts_altered():
+    """Every notice of 20 words or more, whole and with 5, 10 and 15 of 100 words changed, inside other text."""
+    index = licences.Index(licences.TEMPLATES)
+    random = np.random.default_rng(3)
+    long = {n: t for n, t in licences.TEMPLATES.items() if len(index.words[n]) >= 20}
+    for name, template in long.items():
+        for share in (0.0, 0.05, 0.10, 0.15):
+            words = template.split()
+            for i in np.flatnonzero(random.random(len(words)) < share).tolist():
+                words[i] = ("", f"w{i}", f"{words[i]} x{i}")[random.integers(3)]
+            copy = "\n * ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+            text = prose(11, 40) + "\n" + copy + "\n" + prose(12, 40)
+            found = licences.found_in(text, index, licences.COVERAGE)
+            assert [f[0] for f in found] == [name], (name, share, found)
+            start, end, matched = found[0][1:4]
+            assert start >= text.index("\n") and end <= len(text) - len(prose(12, 40))
+            assert matched == full_alignment(index.words[name], licences.plain_words(text)[0])
+
+
 ITEM = "A train leaves Berlin for Paris with 120 people and after 45 minutes another 120 people board the train how many people"
 SHORT = "name the largest planet we know today"
 
