@@ -1,14 +1,12 @@
 """Exact and near duplicates, and the automata's and tiles' parts, against brute force."""
 
 import hashlib
-import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from gradeweave.llm import common, exact_dedup, simhash
 
@@ -126,40 +124,6 @@ def test_large_buckets_and_long_chains(spark, monkeypatch):
     expected = dict(zip(signed, brute_components(values, signed)))
     groups = lambda d: sorted(sorted(k for k in d if d[k] == c) for c in set(d.values()))
     assert groups(roots) == groups(expected)
-    # More blocks, and centres with more edges than a task joins.
-    monkeypatch.setattr(simhash, "KEY_ROWS", 8)
-    for blocks in (7, 9):
-        found = simhash.components(simhash.links(distinct, blocks)).collect()
-        assert groups(dict(zip(signed, signed)) | {r["a"]: r["root"] for r in found}) == groups(expected)
-
-
-def test_block_count_and_buckets(spark):
-    """Any number of blocks puts fingerprints of at most four differing bits into a common bucket."""
-    assert [simhash.block_count(n) for n in (0, 10**6, 2**30, 2**35, 2**60)] == [6, 6, 7, 8, 10]
-    random = np.random.default_rng(8)
-    pairs = []
-    for value in random.integers(0, 2**63, 60, dtype=np.uint64).tolist():
-        flips = random.choice(64, 4, replace=False)
-        pairs.append((value, value ^ sum(1 << int(b) for b in flips)))
-    signed = np.array(pairs, np.uint64).view(np.int64).tolist()
-    distinct = spark.createDataFrame([(v,) for pair in signed for v in pair], "fingerprint long")
-    for blocks in (6, 7, 8, 10):
-        buckets = {}
-        for r in simhash.bucket_rows(distinct, blocks).collect():
-            buckets.setdefault(r["fingerprint"], []).append(r["bucket"])
-        assert all(len(set(b)) == math.comb(blocks, 4) for b in buckets.values())
-        assert all(set(buckets[a]) & set(buckets[b]) for a, b in signed)
-
-
-def test_joined_deals_large_keys(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "KEY_ROWS", 10)
-    rows = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 97).alias("k"), "id")
-    per_key = rows.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("_rows"))
-    got = simhash.joined(rows, per_key, "k", "id")
-    assert got.columns == ["k", "id", "low"]
-    lows = {r["k"]: r["low"] for r in per_key.collect()}
-    key = lambda i: 0 if i < 400 else i % 97
-    assert sorted(map(tuple, got.collect())) == sorted((key(i), i, lows[key(i)]) for i in range(1000))
 
 
 def test_one_of_each(odd_docs, odd_rows):
