@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeweave.functions import ranking as R
+from gradeweave.functions import short_lists
 from gradeweave.operators import scoring
 
 RATES = [1.0, 0.0, 0.5, 1.0]
@@ -186,3 +187,40 @@ def test_pairacc_of_five_thousand(spark):
     start = time.perf_counter()
     assert 0 < score.first().v < 1
     assert time.perf_counter() - start < 4  # about one second; counting all pairs takes far more
+
+
+def test_batches_score_as_columns_do(spark):
+    """Usual rows are scored by the batch; long lists, null and odd rates are left to the columns."""
+    draw = random.Random(9)
+    rows = [(None, [1.0]), ([1], None), ([], []), ([1, 2], [1.0]), ([2, 1], [None, 0.5]), ([1, 2], [math.nan, 1.0])]
+    for n in [*range(1, 8)] * 9 + [32, 33, 70]:
+        rates = [draw.choice([0.0, 1 / 3, 0.5, 1.0]) for _ in range(n)]
+        rows += [(draw.sample(range(1, n + 1), n), rates), (draw.sample(range(1, n + 1), n // 2), rates)]
+    df = spark.createDataFrame(rows, "ids array<int>, rates array<double>").repartition(3)
+    ids, rates = F.col("ids"), F.col("rates")
+    ranked = R.complete(F.when(F.size(rates) > 0, ids), F.size(rates))
+    by_columns = [f(ranked, rates) for f in (R.ndcg, R.pairacc, R.top1_acc)]
+    out = df.select("ids", "rates", R.metrics(ids, rates).alias("m"), F.struct(*by_columns).alias("c"),
+                    short_lists.short_metrics(ids, rates).alias("b")).collect()
+    assert len(out) == len(rows)
+    for row in out:
+        for got, want in zip(row.m, row.c):
+            assert got == pytest.approx(want, abs=1e-12, nan_ok=True)
+        complete = row.rates and row.ids and len(row.ids) == len(row.rates)
+        odd = complete and (len(row.rates) > 32 or any(r is None or r != r for r in row.rates))
+        assert (row.b is None) == bool(odd)
+
+
+def test_scores_of_odd_truths(spark):
+    """The reward as a column goes through batches as well, and odd truths score as defined."""
+    truths = ["[1.0, null]", "null", "x", "[]", None, str([i / 40 for i in range(40)])]
+    said = ["2, 1"] * 5 + [", ".join(map(str, range(40, 0, -1)))]
+    rows = [(i, s, t) for i, (s, t) in enumerate(zip(said, truths))]
+    for reward in (None, R.reward):
+        got = [tuple(r)[3:] for r in scored(spark, rows, reward)]
+        assert got[0][1:] == pytest.approx((1 / math.log2(3), 1.0, 1.0))
+        assert got[1:5] == [(-1.0,) * 4] * 4
+        assert got[5] == pytest.approx((1.0,) * 4)
+    wide = scoring.score_rollouts(spark.createDataFrame(rows, "i int, response string, ground_truth string"), R.reward)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
