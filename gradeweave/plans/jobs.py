@@ -46,9 +46,15 @@ def generate_job(
     problems: (problem_id, canonical_id, statement, starter_code, problem_type, test_suites).
     Without `executions` nothing is verified, and all pass rates are null.
     """
-    asked = P.with_prompts(problems, model, max_tokens)
-    rates = None if executions is None else verified_rates(asked, completions, executions, max_tests)
-    return tables.write_generated(C.generated_table(asked, completions, rates), folder, part)
+
+    def prompted(rows):
+        return P.with_prompts(rows, model, max_tokens)
+
+    rates = None
+    if executions is not None:
+        rates = verified_rates(prompted(problems), completions, executions, max_tests)
+    # Prompts hold the problem's text again: they are made where its samples are, not shuffled.
+    return tables.write_generated(C.generated_table(problems, completions, rates, prepare=prompted), folder, part)
 
 
 def group_job(

@@ -167,6 +167,33 @@ def test_generated_table(spark):
     assert C.generated_table(asked, texts.limit(0), rates).count() == 3
 
 
+def test_prompts_are_made_after_the_texts_meet(spark):
+    """Prepared before or after the join, the table is the same; only raw columns are joined."""
+    raw = spark.createDataFrame(
+        [(1, "a"), (1, "a"), (2, "long"), (3, "c"), (4, "d"), (5, "long"), (None, "e")], "problem_id long, body string"
+    )
+    texts = [(p, i, f"t{i}", None) for p, i in [(1, 7), (1, 0), (1, 3), (2, 0), (2, 9), (4, 5), (5, 6), (None, 0), (3, None)]]
+    texts = spark.createDataFrame(texts, "problem_id long, sample_idx long, output string, finish_reason string")
+    rates = spark.createDataFrame([(1, 7, 0.5), (4, 5, 1.0), (1, 0, 0.0)], "problem_id long, sample_idx long, pass_rate double")
+
+    def prepare(rows):
+        made = rows.withColumn("prompt", F.concat(F.lit("p "), "body"))
+        return made.withColumn("over_budget", F.length("prompt") > 4)
+
+    for given in (rates, None):
+        before = C.generated_table(prepare(raw), texts, given, part_rows=3)
+        after = C.generated_table(raw, texts, given, part_rows=3, prepare=prepare)
+        assert after.columns == before.columns
+        assert sorted(map(str, after.collect())) == sorted(map(str, before.collect()))
+        keys = sorted((r.problem_id or 0, r.part, r.n_parts, len(r.self_distillation_outputs)) for r in after.collect())
+        assert keys == [
+            (0, 0, 1, 0), (1, 0, 3, 1), (1, 0, 3, 1), (1, 1, 3, 1), (1, 1, 3, 1), (1, 2, 3, 1), (1, 2, 3, 1),
+            (2, 0, 1, 0), (3, 0, 1, 1), (4, 1, 2, 1), (5, 0, 1, 0),
+        ]
+        plan = after._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("AS prompt") < plan.index("Join")
+
+
 def test_attach_completions(spark):
     problems = spark.createDataFrame(
         [(1, False), (2, True), (3, False)], "problem_id long, over_budget boolean"
