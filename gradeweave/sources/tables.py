@@ -106,10 +106,11 @@ def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> str
 def write_generated(generated: DataFrame, folder: str, part: int = 0) -> str:
     """Write as shard `train-NNN.parquet` below the folder, where `read_generated` looks.
 
-    Other shards are left alone; the same shard, as of a retry, is replaced.
+    Other shards are left alone; the same shard, as of a retry, is replaced. A problem's text is
+    in several columns, so files are packed tighter than by default.
     """
     path = f"{folder.rstrip('/')}/train-{part:03d}.parquet"
-    return publish(generated.sparkSession, path, generated.write.parquet)
+    return publish(generated.sparkSession, path, generated.write.option("compression", "zstd").parquet)
 
 
 def write_groups(groups: DataFrame, folder: str, group_size: int = fx.GROUP_SIZE) -> str:
