@@ -125,9 +125,11 @@ def generated_table(
         further = further.join(rated, ["problem_id", "part"], "left")
     names = {name: f"_{name}" for name in ("part", "members", "rates", "last")}
     own = own.withColumn("part", F.lit(0).cast("bigint")).withColumnsRenamed(names)
-    first = asked.join(own, "problem_id", "left")
+    # With no number a problem has no samples; set apart, they leave both joins one shuffle of the rest.
+    known, nameless = asked.where(F.col("problem_id").isNotNull()), asked.where(F.col("problem_id").isNull())
+    first = known.join(own, "problem_id", "left").unionByName(nameless, allowMissingColumns=True)
     lasts = beyond.groupBy("problem_id").agg(F.greatest(F.max(number), F.lit(0)).alias("_last"))
-    copies = chunk_copies(asked.join(lasts, "problem_id"), "problem_id", beyond, "sample_idx", part_rows)
+    copies = chunk_copies(known.join(lasts, "problem_id"), "problem_id", beyond, "sample_idx", part_rows)
     more = copies.withColumnRenamed("_chunk", "_part").join(further.withColumnsRenamed(names), ["problem_id", "_part"])
     if prepare is not None:
         first, more = prepare(first), prepare(more)
