@@ -146,6 +146,38 @@ def test_advantage_and_summary(spark):
     )
 
 
+def test_advantage_moves_rows_once_and_broadcasts_none(spark):
+    """Rows made by an explode look few to the optimiser; they must not go through the driver, nor move twice."""
+    prompts = spark.range(3000).repartition(4).select(F.col("id").alias("p"), F.expr("sequence(0L, 7L)").alias("all"))
+    rows = prompts.select("p", F.explode("all").alias("i")).withColumn("score", F.expr("p * i % 5 / 4D"))
+    out = scoring.group_advantage(rows, "p", "i")
+    got = {(r.p, r.i): r.advantage for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastExchange" not in plan and "ReusedExchange" in plan
+    assert len(got) == 24_000
+    s = pd.Series([3 * i % 5 / 4 for i in range(8)])
+    assert [got[3, i] for i in range(8)] == pytest.approx(list((s - s.mean()) / s.std()))
+
+
+def test_advantage_across_chunks_with_odd_scores(spark):
+    """Chunks of unlike means and sizes add up to the prompt's; scores and prompts may be null, rows come twice."""
+    scores = [1e6 + i for i in range(10)] + [0.0, None, 0.25] + [None] * 4 + [-3.0] * 5
+    rows = [(p, i, s) for p in (1, 2, None) for i, s in enumerate(scores)] + [(2, 0, 7.0)]
+    rows += [(3, i, None) for i in range(6)] + [(4, 0, 0.5), (4, 5, None), (5, None, 1.0), (5, 9, 0.0)]
+    df = spark.createDataFrame(rows, "p int, i int, score double")
+    for chunk_rows in (4096, 4):
+        out = scoring.group_advantage(df, "p", "i", chunk_rows=chunk_rows)
+        assert out.columns == ["p", "i", "score", "advantage"]
+        got = out.where("p is not null").collect()
+        assert out.count() == len(got) == sum(p is not None for p, _, _ in rows)
+        for p in (1, 2, 5):
+            mine = [r for r in got if r.p == p and r.score is not None]
+            s = pd.Series([r.score for r in mine])
+            assert [r.advantage for r in mine] == pytest.approx(list((s - s.mean()) / s.std()), abs=1e-9)
+        assert all(r.advantage is None for r in got if r.score is None and r.p != 4)
+        assert [r.advantage for r in got if r.p == 4] == [0.0, 0.0]
+
+
 def test_selection_report(spark):
     df = spark.createDataFrame(
         [("a", [1, 0], [0.0, 1.0]), ("a", None, [0.0, 1.0]), ("a", [0, 1], [0.0, 0.5])],
